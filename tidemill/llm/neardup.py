@@ -81,7 +81,7 @@ def super_minhash(sets: list[np.ndarray], m: int = RANKS, chunk: int = 1 << 18)
                 break
             if left < 0.7 * len(x):  # offers to sets that are done change nothing, so they may stay for a while
                 x, d, walk = x[go], d[go], walk[go]
-            z = _mixed(x + _GOLD * np.uint64(j + 1))
+            z = _mixed(x + np.uint64(int(_GOLD) * (j + 1) % 2**64))
             k = j + ((z & np.uint64(0xFFFFFFFF)) * np.uint64(m - j) >> np.uint64(32)).astype(np.int64)
             rows = np.arange(len(x))
             slot = walk[rows, k]

@@ -165,7 +165,9 @@ def kept_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5)
     """
     signals = with_signals(docs, text)
     model = fit(signals)
-    return signals.where(posterior(model) >= threshold).select(*docs.columns)
+    # A filter would be pushed below the signals and compute them over again inside its condition; a generator stays where it is.
+    passes = F.when(posterior(model) >= threshold, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return signals.select(*docs.columns, F.explode(passes).alias("__q_passes")).drop("__q_passes")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
