@@ -114,7 +114,8 @@ def rollup(spark: SparkSession, sources: str | list[str], target: str, fmt: str
         return {"status": "skipped", "target": target}
     try:
         df = read_files(spark, sources, fmt, recursive=True, pattern=pattern)
-        files = df.select(F.count_distinct("_metadata.file_path")).first()[0] if fmt == "parquet" else len(df.inputFiles())
+        # an output folder of Spark's, with its part files, counts as one file
+        files = df.select(F.count_distinct(F.regexp_replace("_metadata.file_path", "/part-[^/]*$", ""))).first()[0] if fmt == "parquet" else len(df.inputFiles())
     except Exception as e:
         raise RollupError(f"{sources} can't be read: {e}") from e
     if not files:

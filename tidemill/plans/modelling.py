@@ -235,16 +235,16 @@ def best_run(spark: SparkSession, sf: str) -> DataFrame:
     return M.best(_runs(spark, sf), "test_score").withColumn("test_score", F.round("test_score", 8))
 
 
-@query("compare_models", "(SELECT 'score' AS by, l_suppkey AS name FROM lineitem GROUP BY 2 ORDER BY AVG(l_discount) DESC, 2 LIMIT 1) UNION ALL (SELECT 'error', l_suppkey FROM lineitem GROUP BY 2 ORDER BY AVG(l_tax), 2 LIMIT 1)")
+@query("compare_models", "(SELECT 'score' AS metric, l_suppkey AS name FROM lineitem GROUP BY 2 ORDER BY AVG(l_discount) DESC, 2 LIMIT 1) UNION ALL (SELECT 'error', l_suppkey FROM lineitem GROUP BY 2 ORDER BY AVG(l_tax), 2 LIMIT 1)")
 def compare_models(spark: SparkSession, sf: str) -> DataFrame:
     runs = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("name")).agg(F.avg("l_discount").alias("score"), F.avg("l_tax").alias("error"))
-    return M.best(runs, "score").select(F.lit("score").alias("by"), "name").unionByName(M.best(runs, "error", higher=False).select(F.lit("error").alias("by"), "name"))
+    return M.best(runs, "score").select(F.lit("score").alias("metric"), "name").unionByName(M.best(runs, "error", higher=False).select(F.lit("error").alias("metric"), "name"))
 
 
 # Post-processing ----------------------------------------------------------------------------
 
 
-@query("post_processing", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS prediction, o_custkey * 2.0 AS twice, o_custkey > 100 AS big FROM orders")
+@query("post_processing", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS prediction, CAST(o_custkey * 2 AS DOUBLE) AS twice, o_custkey > 100 AS big FROM orders")
 def post_processing(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("prediction"))
     return ml.post_process(rows, [{"name": "twice", "expression": "prediction * 2"}, {"name": "big", "expression": "prediction > 100"}])
