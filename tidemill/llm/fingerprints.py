@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import small_batches, table, written
+from tidemill.llm.shared import picked, small_batches, table, written
 
 ROW = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
 EDGE = "part int, first boolean, text string"
@@ -114,8 +114,8 @@ def collisions(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
     Only documents of buckets with several ones are read again, and each meets one other form, not all.
     """
     buckets = fingerprints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n > 1").drop("n")
-    of = fingerprints.join(buckets, "fingerprint").select(F.col("doc_id").alias("__id"), "rep").distinct().hint("shuffle_hash")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of, F.col("doc_id") == F.col("__id")).select("doc_id", "text")
+    of = fingerprints.join(buckets, "fingerprint").select(F.col("doc_id").alias("__id"), "rep").distinct()
+    own = picked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, F.col("doc_id") == F.col("__id")).select("doc_id", "text")
     forms = written(own.mapInArrow(_canonical_rows, "doc_id bigint, fingerprint string, form binary"), "forms")
     first = forms.join(buckets, (forms["fingerprint"] == buckets["fingerprint"]) & (forms["doc_id"] == buckets["rep"])).select(forms["fingerprint"], F.col("form").alias("first"))
     odd = forms.join(first.dropDuplicates(["fingerprint"]), "fingerprint").where(F.col("form") != F.col("first"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import ascii_lower, table, written
+from tidemill.llm.shared import ascii_lower, picked, table, written
 
 K = 3
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, templates: tu
     near = near.select("key", "template", "first", (F.col("last") + k - 1).alias("last"), (F.col("votes") / (length - (k - 1))).alias("votes_share")).where(F.col("votes_share") >= 0.5)
     spans = exact.unionByName(near).groupBy("key").agg(F.collect_list(F.struct("template", "first", "last", "votes_share")).alias("spans"))
     # Verification on the words of the texts that have spans.
-    own = docs.select(text_key().alias("key"), "text").join(spans.withColumnRenamed("key", "k").hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "text", "spans")
+    own = picked(docs.select(text_key().alias("key"), "text"), spans.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "text", "spans")
     own = own.select("key", license_words(F.col("text")).alias("words"), F.col("spans").alias("s")).select("key", F.explode(F.transform("s", lambda s: F.struct(
         s["template"].alias("template"), s["first"].alias("first"), s["last"].alias("last"), F.slice("words", s["first"] + 1, s["last"] - s["first"] + 1).alias("own"),
     ))).alias("s")).select("key", "s.*").distinct()

@@ -86,3 +86,15 @@ def span_text(spans: Column) -> Column:
 
 def sha256(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
+
+
+def picked(docs: DataFrame, keys: DataFrame, on: Column) -> DataFrame:
+    """docs joined with the few rows of keys that a table in the shared folder holds.
+
+    Spark is asked to filter docs by a Bloom filter of the keys (its size is bounded by Spark's
+    settings) before it shuffles their texts; the hash table is that of one partition of keys.
+    """
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    return docs.join(written(keys.withColumn("__n", F.lit(1)), "picked").where("__n > 0").hint("shuffle_hash"), on)
