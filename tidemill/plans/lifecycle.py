@@ -12,7 +12,7 @@ from tidemill.operators.tables import DatedTable, expected_files, rollup, rollup
 from tidemill.plans.registry import query, table
 from tidemill.sources import readers as R
 from tidemill.sources import writers as W
-from tidemill.sources.scratch import scratch_path, stored
+from tidemill.sources.scratch import make_dir, scratch_path, stored
 from tidemill.streaming import streams as S
 
 # Sinks -----------------------------------------------------------------------
@@ -197,19 +197,13 @@ def rollup_completeness(spark: SparkSession, sf: str) -> DataFrame:
 def rollup_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     base, e = scratch_path(spark, "tiers"), _daily_orders(spark, sf)
     W.write_partitioned(e.withColumn("file", F.concat(F.lit("data_"), F.date_format("day", "yyyy_MM_dd"))), f"{base}/parts", by="file")
-    rollup_tiers(spark, base, "{tier}/data_{period}", [], {})
+    make_dir(spark, f"{base}/daily")
     for d in [r[0] for r in e.select("day").distinct().collect()]:  # a row a day
-        W.rename_path(spark, f"{base}/parts/file=data_{d:%Y_%m_%d}", W_dir(spark, f"{base}/daily") + f"/data_{d:%Y_%m_%d}")
+        W.rename_path(spark, f"{base}/parts/file=data_{d:%Y_%m_%d}", f"{base}/daily/data_{d:%Y_%m_%d}")
     rollup_tiers(spark, base, "{tier}/data_{period}", [2024], {2024: [1]})
     return R.read_files(spark, f"{base}/yearly/data_2024").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-def W_dir(spark: SparkSession, path: str) -> str:  # noqa: N802
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
-    return path
-
-
 # Incremental refresh ------------------------------------------------------------------
 
 

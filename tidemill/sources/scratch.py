@@ -42,3 +42,8 @@ def rename_path(spark: SparkSession, old: str, new: str) -> None:
     Path = spark._jvm.org.apache.hadoop.fs.Path
     if not Path(old).getFileSystem(spark._jsc.hadoopConfiguration()).rename(Path(old), Path(new)):
         raise OSError(f"{old} couldn't be renamed to {new}")
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
