@@ -126,7 +126,13 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, templates: tu
     score = F.when(F.col("template") < len(phrases), (F.col("own") == wanted).cast("double")).otherwise(common / length)
     kept = own.withColumn("score", score).where((F.col("score") == 1) | ((F.col("template") >= len(phrases)) & (F.col("score") >= cover)))
     one = F.struct("first", "last", label.alias("label"), "score", (F.col("template") < len(phrases)).alias("base"))
-    return kept.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    spans = kept.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+
+    def beaten(s: Column) -> Column:
+        """Whether a template's span overlaps one of another template with a higher score, as versions of one license do."""
+        return ~s["base"] & F.exists("spans", lambda o: ~o["base"] & (o["first"] <= s["last"]) & (s["first"] <= o["last"]) & (o["score"] > s["score"]))
+
+    return spans.select("key", F.filter("spans", lambda s: ~beaten(s)).alias("spans"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
