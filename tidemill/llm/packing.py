@@ -201,8 +201,8 @@ def _pour(batches: Iterator[pa.RecordBatch], size: int, with_ids: bool) -> Itera
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = True, leftovers_a_task: int = 64 * OPEN) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian 32 bit).
 
-    Leftovers are at most OPEN windows a partition, of at most half a window each on average when
-    they can be merged; a task of the second step pours those of about `leftovers_a_task` / OPEN partitions.
+    Leftovers are at most OPEN windows a partition; a task of the second step pours as many ids as
+    `leftovers_a_task` windows hold.
     """
     spark = docs.sparkSession
     small_batches(spark)
