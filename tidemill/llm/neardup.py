@@ -4,13 +4,17 @@
    band keys. Documents with equal sets are linked at once: the smallest id stands for all of them.
 2. Band keys that several representatives share are buckets. In a bucket, centres are compared with
    the members that aren't yet in their group: first the smallest id, then ever more members, until
-   all have been centres or the bucket is one group. So copies are never expanded into all pairs,
-   and no pair that shares a bucket and could join two groups is left out.
-3. A pair is linked if its full shingle sets reach the similarity.
+   all have been centres or the bucket is one group. The comparison is the join's condition, so only
+   links come out of it; copies are never expanded into all pairs, and no pair that shares a bucket
+   and could join two groups is left out.
+3. Shingles that a document has alone among all documents in buckets are in no intersection, which
+   rules many documents and pairs out; so do sizes and sketches (four bits of each rank). Any other
+   pair is linked if its full shingle sets reach the similarity.
 4. Links are contracted by union-find inside partitions, then groups take their smallest id by
    rounds of smallest-label spreading with label jumping, as DataFrames in the shared folder.
 
-200 ranks in 40 bands of 5 miss a pair of similarity 0.8 with probability 1.3e-7.
+40 bands of 5 ranks miss a pair of similarity 0.8 with probability 1.3e-7; the sketches of its 400 ranks
+lie too far apart with probability below 1e-7.
 
 Defined results: null, empty and blank texts have no shingles and stand alone; a text with fewer
 words than a shingle has one shingle, its whole word sequence; rows that repeat an id count as one
@@ -25,14 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import small_batches, table, written
+from tidemill.llm.shared import picked, small_batches, table, written
 
-RANKS, BANDS = 200, 40
-#: Centres of a bucket in the first full round, and their growth from round to round.
-CENTRES, GROWTH = 32, 16
+RANKS, BANDS, ROWS = 400, 40, 5
+#: Centres of a bucket in the round after the first, and their growth from round to round.
+CENTRES, GROWTH = 8, 32
+#: A sketch has four bits of each rank. Sets of similarity 0.8 differ in 75 of 400 on average, with a deviation of at most 7.8.
+APART = 118
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,13 +65,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def super_minhash(sets: list[np.ndarray], m: int = RANKS, chunk: int = 1 << 18) -> np.ndarray:
+def super_minhash(sets: list[np.ndarray], m: int = RANKS, chunk: int = 1 << 16) -> np.ndarray:
     """SuperMinHash signatures (documents x m) of hashed sets.
 
     Each element walks its own random permutation of the m slots; at step j it offers j + u, with u
     uniform in [0, 1), to the slot it comes to. A slot keeps its smallest offer, so the ranks of an
     element are correlated, and a set is done as soon as none of its slots is above j.
     """
+    # Sets of like size together, as small ones take many steps.
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets = [sets[i] for i in order]
     out = np.full((len(sets), m), np.iinfo(np.uint64).max, np.uint64)
     flat = out.reshape(-1)
     doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -87,30 +96,54 @@ def super_minhash(sets: list[np.ndarray], m: int = RANKS, chunk: int = 1 << 18)
             slot = walk[rows, k]
             walk[rows, k] = walk[:, j]
             np.minimum.at(flat, d * m + slot, (np.uint64(j) << np.uint64(32)) | (z >> np.uint64(32)))
-    return out
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
-def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    n, m = signatures.shape
-    parts = signatures.reshape(n, bands, m // bands)
+def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A key for each band of the first bands * rows ranks."""
+    n = len(signatures)
+    parts = signatures[:, : bands * rows].reshape(n, bands, rows)
     key = _mixed(np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD, (n, bands)).copy())
-    for i in range(m // bands):
+    for i in range(rows):
         key = _mixed(key + _GOLD * parts[:, :, i])
     return key.astype(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each rank, sixteen to a word."""
+    n, m = signatures.shape
+    bits = np.zeros((n, -(-m // 16) * 16), np.uint64)
+    bits[:, :m] = _mixed(signatures) & np.uint64(15)
+    return np.bitwise_or.reduce(bits.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def apart(a: str, b: str, most: int = APART) -> Column:
+    """Whether two sketches differ in more ranks than sets that are similar enough ever would."""
+    ones = F.lit(0x1111111111111111)
+
+    def differing(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(ones))
+
+    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x) > most
+
+
 def _sign(batches: Iterator[pa.RecordBatch], k: int, enough: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     ids: list[pa.Array] = []
     sets: list[np.ndarray] = []
 
     def flushed() -> pa.RecordBatch:
-        keys = band_keys(super_minhash(sets))
+        signatures = super_minhash(sets)
+        keys, sketch = band_keys(signatures), sketches(signatures)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1), pa.int64()))
         return pa.RecordBatch.from_arrays([
             pa.concat_arrays(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-            pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1), pa.int64())),
-        ], ["doc_id", "n_shingles", "digest", "keys"])
+            lists(keys), lists(sketch),
+        ], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
     for b in batches:
         ids.append(b.column(0))
@@ -161,26 +194,45 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _shared_shingles(full: DataFrame) -> DataFrame:
+    """i and c: how many of a document's shingles another of these documents has too; the others are in no intersection."""
+    each = full.select("doc_id", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("i")).where("rows = 1").groupBy("i").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = full.groupBy(F.col("doc_id").alias("d")).agg(F.max(F.size("shingles")).alias("n"), F.count(F.lit(1)).alias("texts"))
+    both = sizes.join(alone, sizes["d"] == alone["i"], "left")
+    return both.select(F.col("d").alias("i"), (F.col("n") - F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("c"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set, component_id for every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(own.mapInArrow(lambda it: _sign(it, k), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>"), "dup-signed")
+    signed = written(own.mapInArrow(lambda it: _sign(it, k), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>"), "dup-signed")
     sets = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"))
     rep = sets.select(F.col("digest").alias("d"), F.col("id").alias("rep"))
     reps = signed.join(rep, (signed["digest"] == rep["d"]) & (signed["doc_id"] == rep["rep"]))
-    bands = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    bands = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     members = written(bands.join(shared, "key"), "dup-members")
 
     wanted = members.select(F.col("id").alias("w")).distinct()
-    texts = own.join(wanted.hint("shuffle_hash"), own["doc_id"] == wanted["w"]).select("doc_id", "text")
+    texts = picked(own, wanted, F.col("doc_id") == F.col("w")).select("doc_id", "text")
     full = texts.mapInArrow(lambda it: _shingled(it, k), "doc_id bigint, shingles array<bigint>").groupBy("doc_id", F.xxhash64("shingles").alias("h")).agg(F.first("shingles").alias("shingles")).drop("h")
     full = written(full, "dup-sets")
-
-    def close(a: str, b: str) -> str:
-        return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+    shared_n = written(_shared_shingles(full), "dup-shared")
+    members = members.join(shared_n, members["id"] == shared_n["i"]).drop("i", "size", "least").where(100 * F.col("c") >= percent * F.col("n"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    # Four bytes of the keys of the bands before this one tell whether two documents have met before.
+    marks = reps.select(F.col("doc_id").alias("i"), "sketch", F.transform("keys", lambda x: F.shiftright(x, 32).cast("int")).alias("marks"))
+    members = members.join(sizes, "key")
+    members = members.join(marks, members["id"] == marks["i"]).withColumn("earlier", F.slice("marks", F.lit(1), F.col("band")))
+    members = written(members.drop("i", "band", "marks"), "dup-members")
+
+    def possible() -> Column:
+        """Whether sizes, shared shingles and sketches of (n, c, sketch) and (cn, cc, cs) allow the similarity."""
+        most = F.least("c", "cc")
+        return (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (100 * most >= percent * (F.col("n") + F.col("cn") - most)) & ~apart("sketch", "cs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         left, right = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -188,32 +240,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         met = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
         return met.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    centre = members.where(F.col("id") == F.col("least")).select("key", F.col("id").alias("c"), F.col("n").alias("cn"))
+    centre = members.where(F.col("id") == F.col("least")).select("key", F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("sketch").alias("cs"))
     first = members.where(F.col("id") != F.col("least")).join(centre, "key")
-    tested = written(first.where(close("n", "cn")).select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), "dup-pairs")
+    tested = written(first.where(possible()).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "dup-pairs")
     links = written(linked(tested), "dup-edges")
     label = components(links)
-    centres = CENTRES
+    done, centres = 0, CENTRES
     while True:
-        # Buckets of up to so many members have had all of them as centres.
-        done = 2 if centres == CENTRES else centres // GROWTH
-        named = members.where(F.col("size") > done).join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "size", "id", "n", F.coalesce("component", "id").alias("group"))
+        # Buckets of up to `done` members have had all of them as centres; those of two were done by the first round.
+        named = members.where(F.col("size") > max(done, 2)).join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
+        place = F.abs(F.xxhash64("key", "id", F.lit("centre"))) / F.lit(float(2**63)) * F.col("size")
+        named = named.select("key", "id", "n", "c", "sketch", "earlier", place.alias("place"), F.coalesce("component", "id").alias("group"))
         split = named.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("key")
         rest = written(named.join(split, "key"), "dup-open")
         if rest.isEmpty():
             break
-        share = F.abs(F.xxhash64("key", "id", F.lit("centre"))) / F.lit(float(2**63))
-        chosen = rest.where((F.col("size") <= centres) | (share * F.col("size") < centres))
-        chosen = chosen.select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("group").alias("cg"))
-        pairs = rest.join(chosen, "key").where((F.col("group") != F.col("cg")) & F.expr(close("n", "cn")))
-        pairs = pairs.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
-        fresh = written(pairs.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
-        tested = tested.union(fresh)
-        more = written(linked(fresh), "dup-edges")
+        rows = rest.join(full, rest["id"] == full["doc_id"]).drop("doc_id")
+        chosen = rows.where(F.col("place").between(done, centres) & (F.col("place") < centres)).select(
+            "key", F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("sketch").alias("cs"), F.col("earlier").alias("ce"), F.col("group").alias("cg"), F.col("shingles").alias("centre_shingles"),
+        )
+        # Earlier centres have met all members; two centres of a round meet once; a pair meets in the first band that it shares only.
+        once = (F.col("place") >= done) & ((F.col("place") >= centres) | (F.col("centre") < F.col("id"))) & ~F.arrays_overlap("earlier", "ce")
+        alike = F.size(F.array_intersect("shingles", "centre_shingles")) * (100 + percent) >= percent * (F.size("shingles") + F.size("centre_shingles"))
+        met = rows.join(chosen, "key").where((F.col("group") != F.col("cg")) & once & possible() & alike)
+        more = written(met.select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "dup-edges")
         if not more.isEmpty():
             links = links.union(more)
             label = components(links)
-        centres *= GROWTH
+        done, centres = centres, centres * GROWTH
 
     named = rep.join(label, rep["rep"] == label["id"], "left").select("d", F.coalesce("component", "rep").alias("g"))
     out = signed.join(named, signed["digest"] == named["d"], "left")
