@@ -332,6 +332,24 @@ def test_mined_rules_against_brute_force(spark):
     assert found == {i for i in toks if any(set(m.side) <= toks[i] for m in mined)}
 
 
+def test_rules_from_whole_urls(spark):
+    """Tokens past the eighth segment or key, long slugs, and rules of more than four tokens."""
+    deep, many, slug = "/".join("abcdefghi"), "&".join(f"k{i}x=1" for i in range(20)), "s" * 70
+    pages, bad = [], {}
+    for i in range(120):
+        b = i % 3 == 0
+        pages.append((i, [f"http://x.org/{deep}/{'evil' if b else 'good'}", f"http://y.org/?{many}&{'evil' if b else 'good'}=1", f"http://z.org/{slug}{'evil' if b else 'good'}"][i % 2 if i % 4 else 2]))
+        bad[i] = b
+    for i, present in enumerate(itertools.chain.from_iterable(itertools.repeat(c, 4) for n in (4, 5) for c in itertools.combinations("vwxyu", n)), 1000):
+        pages.append((i, "http://q.org/" + "/".join(f"five{x}" for x in present)))
+        bad[i] = len(present) == 5
+    pages += [(5000, f"http://o.net/{deep}/evil"), (5001, f"http://o.net/?{many}&evil=2"), (5002, f"http://o.net/{slug}evil"), (5003, "http://o.net/fivev/fivew/fivex/fivey/fiveu"), (5004, f"http://o.net/{slug}other"), (5005, "http://o.net/fivev/fivew/fivex/fivey")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string")
+    labels = spark.createDataFrame(list(bad.items()), "page_id bigint, bad boolean")
+    got = {r.page_id: r.verdict for r in urls.judge(df, labels, (), min_support=0.01, min_confidence=0.9).collect()}
+    assert [got[i] for i in range(5000, 5006)] == ["block", "block", "block", "block", "allow", "allow"]
+
+
 # 7: packing --------------------------------------------------------------------------------
 
 

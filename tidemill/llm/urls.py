@@ -13,6 +13,7 @@ labelled pages nothing is mined; an empty table gives no rows; other columns pla
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -54,15 +55,16 @@ def best_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> tuple[
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct URL tokens, named by their place; digits count as 0, so numbered pages share tokens."""
+    """Distinct URL tokens, named by their place: the scheme, every host label, path segment and query key.
+
+    Digits in paths count as 0, so numbered pages share tokens; a part of over 64 characters stands as its hash.
+    """
+    whole = lambda kind, x: F.when(F.length(x) > 64, F.concat(F.lit(f"{kind}#:"), F.sha2(F.encode(x, "UTF-8"), 256))).otherwise(F.concat(F.lit(f"{kind}:"), x))
     labels = F.transform(F.filter(F.split(host, r"\.", -1), lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x))
-    parts = F.transform(
-        F.filter(F.slice(F.split(path, "/", -1), 1, 8), lambda x: x != ""),
-        lambda x: F.concat(F.lit("p:"), F.substring(F.regexp_replace(ascii_lower(x), "[0-9]+", "0"), 1, 64)),
-    )
+    parts = F.transform(F.filter(F.split(path, "/", -1), lambda x: x != ""), lambda x: whole("p", F.regexp_replace(ascii_lower(x), "[0-9]+", "0")))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
-    keys = F.transform(F.filter(F.slice(F.split(query, "&", -1), 1, 8), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.substring(F.substring_index(x, "=", 1), 1, 64)))
-    scheme = F.array(F.concat(F.lit("s:"), F.substring(F.substring_index(F.coalesce(url, F.lit("")), "://", 1), 1, 16)))
+    keys = F.transform(F.filter(F.split(query, "&", -1), lambda x: x != ""), lambda x: whole("q", F.substring_index(x, "=", 1)))
+    scheme = F.array(whole("s", F.substring_index(F.coalesce(url, F.lit("")), "://", 1)))
     return F.array_distinct(F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(scheme, labels, parts, keys)))
 
 
@@ -73,23 +75,44 @@ def with_tokens(pages: DataFrame) -> DataFrame:
     return out.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
 
 
-def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, max_side: int = 4) -> DataFrame:
+def alike(baskets: DataFrame, support: float) -> DataFrame:
+    """token and twin, the least token with the same baskets, for tokens of at least the support (a count of baskets).
+
+    Sets of baskets are told apart by their size and 128 bits, so no list of a token's baskets is made.
+    """
+    seen = baskets.select("basket", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("basket")).alias("h1"), F.bit_xor(F.xxhash64("basket", F.lit(1))).alias("h2")
+    ).where(F.col("n") >= support)
+    least = seen.groupBy("n", "h1", "h2").agg(F.min("token").alias("twin"))
+    return seen.join(least, ["n", "h1", "h2"]).select("token", "twin")
+
+
+def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
     """Rules (rule_id, side: tokens, confidence, support) that lead to bad.
 
     labels has page_id and bad (boolean). A rule also needs three bad pages' worth of support; a rule
-    whose left side holds that of another rule of at least its confidence is pruned. The number of
-    rules is bounded by the support, not by the number of pages.
+    whose left side holds that of another rule of at least its confidence is pruned, and no other is. The
+    number of rules is bounded by the support, not by the number of pages.
+
+    A side with two tokens of the same baskets is always pruned, as one of the two does; so one token of
+    each such set is mined, and the rules are written out for the others afterwards. Segments and keys that
+    always come together would else double the number of combinations each.
     """
     spark = rows.sparkSession
     known = labels.where(F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("__id")).agg(F.max("bad").alias("bad"))
     baskets = rows.join(known, rows["page_id"] == known["__id"]).where(F.size("tokens") > 0)
-    baskets = written(baskets.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"), "bad"), "url-baskets")
+    baskets = written(baskets.select(F.monotonically_increasing_id().alias("basket"), "tokens", "bad"), "url-baskets")
     schema = "rule_id bigint, side array<string>, confidence double, support double"
     n = baskets.count()
     if not n:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, 3 / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_side))
+    least = max(min_support, 3 / n)
+    twins = written(alike(baskets, math.floor(least * n)), "url-twins")
+    mined = baskets.select("basket", F.explode("tokens").alias("token")).join(twins, "token").where(F.col("token") == F.col("twin")).groupBy("basket").agg(F.collect_set("token").alias("own"))
+    items = F.coalesce("own", F.array().cast("array<string>"))
+    mined = baskets.join(mined, "basket", "left").select(F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(written(mined, "url-items"))
+    rules = model.associationRules.where(F.element_at("consequent", 1) == BAD)
     rules = written(rules.select(F.array_sort("antecedent").alias("side"), "confidence", "support"), "url-rules")
     wider, narrow = rules.alias("w"), rules.alias("n")
     # A narrower rule is filed under each of its tokens, so only rules that share a token meet.
@@ -99,7 +122,13 @@ def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_con
         .where((F.size("n_side") < F.size("side")) & (F.size(F.array_except("n_side", "side")) == 0) & (F.col("n_confidence") >= F.col("confidence")))
         .select("side").distinct()
     )
-    return rules.join(pruned, "side", "left_anti").select(F.xxhash64("side").alias("rule_id"), "side", "confidence", "support")
+    kept = rules.join(pruned, "side", "left_anti")
+    # Each side with each choice of one token for each set of twins.
+    sets = twins.groupBy("twin").agg(F.collect_list("token").alias("tokens"))
+    choices = kept.select("side", "confidence", "support", F.explode("side").alias("twin")).join(sets, "twin").groupBy("side", "confidence", "support").agg(F.collect_list("tokens").alias("sets"))
+    sides = F.aggregate("sets", F.array(F.array().cast("array<string>")), lambda acc, s: F.flatten(F.transform(acc, lambda a: F.transform(s, lambda t: F.array_append(a, t)))))
+    out = choices.select(F.explode(sides).alias("side"), "confidence", "support").withColumn("side", F.array_sort("side"))
+    return out.select(F.xxhash64("side").alias("rule_id"), "side", "confidence", "support")
 
 
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
