@@ -394,6 +394,18 @@ def test_encoder_is_the_library():
         assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_librarys():
+    """Against a tokenizer of the library alone, with its settings as they come."""
+    from tokenizers import Tokenizer
+
+    tok, e = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    marks = [t.content for t in tok.get_added_tokens_decoder().values()]
+    assert marks
+    for m in marks:
+        for t in [f"a {m} b", m, f"{m}{m}", f"x{m}y  {m}\n z", m[:-1], f"a {m[1:]} b", m.upper()]:
+            assert e.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 # 8: licenses ---------------------------------------------------------------------------------
 
 

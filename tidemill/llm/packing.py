@@ -8,6 +8,7 @@ leftovers: their pieces move on to fewer tasks, which pour them one after anothe
 
 Token ids are those of the tokenizers library. A text is cut by byte-level BPE's pre-tokenisation
 pattern, and the library's model encodes each distinct piece once, as pieces are encoded independently.
+A text that holds an added token's content, such as <|endoftext|>, has that token's id there, as the library has it.
 
 Defined results: a null or empty text is a document of one token, the end mark; repeated rows are
 documents of their own; a null id is kept; an empty table gives no rows; other columns play no part.
@@ -62,13 +63,14 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         step = spec.get("pre_tokenizer") or {}
         self.simple = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not spec.get("normalizer")
         # The pre-tokenisation pattern of byte-level BPE in Python's classes; the few texts with characters that these class otherwise go to the library whole.
         self.cut = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+").findall
         self.odd = frozenset(_odd_characters())
+        # Added tokens, such as the end mark, are found in the text before it is cut; texts that hold one go to the library whole too.
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         self.letters = _byte_alphabet()
         self.model, self.most = self.tokenizer.model, most
         self._forget()
@@ -92,7 +94,7 @@ class Encoder(dict):
         return n
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.simple or not self.odd.isdisjoint(set(text)):
+        if not self.simple or not self.odd.isdisjoint(set(text)) or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self) > self.most:
             self._forget()
