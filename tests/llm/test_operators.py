@@ -425,6 +425,38 @@ def test_licenses(spark, docs, empty, tmp_path):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_passages_with_changed_words(spark):
+    """Up to a fifth of a template's words changed, wherever they stand, and words between."""
+    by = {t.label: t.words.split() for t in licenses.TEMPLATES}
+    apache, mit, nc = by["apache-2"], by["mit"], by["cc-by-nc"]
+    texts = [
+        ("cc-by-nc", "licensed under cc x nc 4 0"), ("cc-by", "licensed under THE creative commons attribution 4 0 international license"), ("cc-by-nc", "licensed under cc by nc 3 0"),
+        ("apache-2", " ".join(apache[:2] + apache[3:])), ("mit", " ".join("x" if i in (4, 8, 12, 16) else w for i, w in enumerate(mit))), ("mit", " ".join(mit[:8] + ["x"] * 7 + mit[8:])),
+        ("mit", " ".join("x" if i in (0, 1, 18, 19) else w for i, w in enumerate(mit))), ("", " ".join("x" if i in (0, 1, 2, 18, 19) else w for i, w in enumerate(mit))), ("", "licensed under cc x nc 3 0"),
+    ]
+    texts += [(want, f"{prose(60)} {t} {prose(60)}") for want, t in texts]
+    texts.append(("cc-by-nc", " ".join([*nc, "and", *nc])))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.key.doc_id: [s for s in r.spans if not s.base] for r in licenses.scan(df).collect()}
+    for i, (want, t) in enumerate(texts):
+        assert {s.label for s in got.get(i, [])} == ({want} if want else set()), t
+    assert [(s.first, s.last) for s in sorted(got[len(texts) - 1], key=lambda s: s.first)] == [(0, 6), (8, 14)]
+
+
+def test_best_passage_against_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        own, wanted, gap = [r.choice("abcd") for _ in range(9)], [r.choice("abcd") for _ in range(5)], r.choice([2, 3, 8])
+        best = 0
+        for n in range(1, 6):
+            for c in itertools.combinations(range(9), n):
+                if all(y - x <= gap for x, y in itertools.pairwise(c)) and any(2 <= x <= 6 for x in c):
+                    rest = iter(wanted)
+                    best = n if all(own[x] in rest for x in c) else best
+        n, first, last = licenses.best_passage(own, wanted, 2, 6, gap)
+        assert n == best and (not n or (own[first] in wanted and own[last] in wanted and first <= last))
+
+
 # 9: fingerprints ------------------------------------------------------------------------------
 
 

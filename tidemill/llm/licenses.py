@@ -6,7 +6,9 @@ one template that lie next to each other, in shift and in place, are merged, as
 words move a passage to a neighbouring diagonal; the merged spans are then verified on the words.
 
 Phrases (the base) need all their k-grams on one diagonal and equal words. Templates need at least
-`cover` of their words, in order, inside the span.
+`cover` of their words, in order and each at most `gap` places after the one before, in a passage that
+has one of their k-grams. One hit is enough for that to be verified, and the passage is looked for as far
+before and behind the hits as the template's other words can lie; the words alone decide.
 
 Defined results: a null or blank text has no words and no labels, score 0; texts shorter than k words
 hold no place; repeated rows get equal results; a null id is an id like others; an empty table gives
@@ -81,8 +83,10 @@ def text_key() -> Column:
     return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(t, F.lit(1)).alias("h1"), F.hash(t, F.lit(2)).alias("h2"), F.length(t).alias("n"))
 
 
-def diagonals(found: DataFrame, gap: int, drift: int) -> DataFrame:
-    """Spans (key, template, first, last, votes, start_at): hits of near diagonals, merged.
+def diagonals(found: DataFrame, length: Column, gap: int, drift: int) -> DataFrame:
+    """Spans (key, template, first, last, low, high): hits of near diagonals, merged.
+
+    low and high are the first and the last place where the template's words can lie around the hits.
 
     A hit opens a new span if it lies more than `gap` words behind the last hit of its template, or
     more than `drift` diagonals from it, or goes back in the template.
@@ -93,10 +97,40 @@ def diagonals(found: DataFrame, gap: int, drift: int) -> DataFrame:
     opens = F.col("p0").isNull() | (F.col("place") - F.col("p0") > gap) | (F.abs(F.col("d") - F.col("d0")) > drift) | (F.col("at") <= F.col("a0"))
     row = row.withColumn("span", F.sum(opens.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return row.groupBy("key", "template", "span").agg(
-        F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("votes"), F.min("at").alias("start_at"), F.count_distinct("d").alias("n_diagonals"),
+        F.min("place").alias("first"), F.max("place").alias("last"),
+        F.greatest(F.min(F.col("place") - F.col("at") * gap), F.lit(0)).alias("low"), F.max(F.col("place") + (length - 1 - F.col("at")) * gap).alias("high"),
     )
 
 
+def best_passage(own: list[str], wanted: list[str], low: int, high: int, gap: int) -> tuple[int, int, int]:
+    """Number, first and last place of the most words of `wanted` found in order in `own`.
+
+    Each is at most `gap` places after the one before, and one lies from `low` to `high`; of equal numbers
+    the shortest passage is taken.
+    """
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(wanted):
+        places.setdefault(w, []).append(i)
+    met = [(j, i) for j, w in enumerate(own) for i in places.get(w, ())]
+
+    def chains(met: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """For each place the longest chain that ends there, and its start, as near as it can be."""
+        out: list[tuple[int, int]] = []
+        for n, (j, i) in enumerate(met):
+            best = (1, j)
+            for m in range(n - 1, -1, -1):
+                if j - met[m][0] > gap:
+                    break
+                if met[m][0] < j and met[m][1] < i:
+                    best = max(best, (out[m][0] + 1, out[m][1]))
+            out.append(best)
+        return out
+
+    to, back = chains(met), chains([(-j, -i) for j, i in reversed(met)])[::-1]
+    n, _, first, last = max(((t[0] + b[0] - 1, t[1] + b[1], t[1], -b[1]) for (j, _), t, b in zip(met, to, back, strict=True) if low <= j <= high), default=(0, 0, 0, 0))
+    return n, first, last
+
+
 def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, templates: tuple[Template, ...] = TEMPLATES, k: int = K, cover: float = 0.8, gap: int = 8, drift: int = 3) -> DataFrame:
     """key, places (array of start, label) of phrases, spans (array of label, first, last, score) of templates, for texts with any."""
     every = (*phrases, *templates)
@@ -105,26 +139,28 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, templates: tu
     found = written(hits(docs, every, k), "license-hits")
     # Phrases: all k-grams on one diagonal.
     exact = found.where(F.col("template") < len(phrases)).groupBy("key", "template", (F.col("place") - F.col("at")).alias("first")).agg(F.count(F.lit(1)).alias("votes"))
-    exact = exact.where(F.col("votes") == length - (k - 1)).select("key", "template", "first", (F.col("first") + length - 1).alias("last"), F.lit(1.0).alias("votes_share"))
-    near = diagonals(found.where(F.col("template") >= len(phrases)), gap, drift)
-    near = near.select("key", "template", "first", (F.col("last") + k - 1).alias("last"), (F.col("votes") / (length - (k - 1))).alias("votes_share")).where(F.col("votes_share") >= 0.5)
-    spans = exact.unionByName(near).groupBy("key").agg(F.collect_list(F.struct("template", "first", "last", "votes_share")).alias("spans"))
+    exact = exact.where(F.col("votes") == length - (k - 1)).select("key", "template", "first", (F.col("first") + length - 1).alias("last"))
+    near = diagonals(found.where(F.col("template") >= len(phrases)), length, gap, drift)
+    near = near.select("key", "template", "first", (F.col("last") + k - 1).alias("last"), "low", "high")
+    exact = exact.withColumns({"low": F.col("first"), "high": F.col("last")})
+    spans = exact.unionByName(near).groupBy("key").agg(F.collect_list(F.struct("template", "first", "last", "low", "high")).alias("spans"))
     # Verification on the words of the texts that have spans.
     own = picked(docs.select(text_key().alias("key"), "text"), spans.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "text", "spans")
     own = own.select("key", license_words(F.col("text")).alias("words"), F.col("spans").alias("s")).select("key", F.explode(F.transform("s", lambda s: F.struct(
-        s["template"].alias("template"), s["first"].alias("first"), s["last"].alias("last"), F.slice("words", s["first"] + 1, s["last"] - s["first"] + 1).alias("own"),
+        s["template"].alias("template"), s["first"].alias("first"), s["last"].alias("last"), s["low"].alias("low"), F.slice("words", s["low"] + 1, s["high"] - s["low"] + 1).alias("own"),
     ))).alias("s")).select("key", "s.*").distinct()
-    wanted = F.element_at(F.array(*[F.array(*map(F.lit, t.words.split())) for t in every]), F.col("template") + 1)
-    # Greedy common subsequence: each template word is looked for after the last one found, near it.
-    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("n"))
-
-    def step(acc: Column, w: Column) -> Column:
-        where = F.array_position(F.slice(F.col("own"), acc["at"], F.lit(gap)), w).cast("int")
-        return F.when(where > 0, F.struct((acc["at"] + where).cast("int").alias("at"), (acc["n"] + 1).cast("int").alias("n"))).otherwise(acc)
-
-    common = F.aggregate(wanted, start, step, lambda a: a["n"])
-    score = F.when(F.col("template") < len(phrases), (F.col("own") == wanted).cast("double")).otherwise(common / length)
-    kept = own.withColumn("score", score).where((F.col("score") == 1) | ((F.col("template") >= len(phrases)) & (F.col("score") >= cover)))
+    wanted = [t.words.split() for t in every]
+
+    @F.udf("struct<n:int,first:int,last:int>")
+    def passage(template, words, low, high):
+        return best_passage(words, wanted[template], low, high, gap)
+
+    equal = F.col("own") == F.element_at(F.array(*[F.array(*map(F.lit, w)) for w in wanted]), F.col("template") + 1)
+    base = own.where((F.col("template") < len(phrases)) & equal).select("key", "template", "first", "last", F.lit(1.0).alias("score"))
+    near = own.where(F.col("template") >= len(phrases)).withColumn("p", passage("template", "own", F.col("first") - F.col("low"), F.col("last") - F.col("low")))
+    near = near.select("key", "template", (F.col("low") + F.col("p.first")).alias("first"), (F.col("low") + F.col("p.last")).alias("last"), (F.col("p.n") / length).alias("score"))
+    # Spans of one passage find the same words.
+    kept = base.unionByName(near.where(F.col("score") >= cover)).distinct()
     one = F.struct("first", "last", label.alias("label"), "score", (F.col("template") < len(phrases)).alias("base"))
     spans = kept.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("spans"))
 
