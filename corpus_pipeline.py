@@ -13,7 +13,7 @@ from tidemill.llm.shared import fresh_path, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed votes of the quality rules reject go."""
+    """Documents that op3 rejects go: those that fail a base rule, and those that the weighed votes reject."""
     return quality.kept_documents(docs)
 
 

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from test_operators import SCHEMA, brute_groups, many_copies, prose, words
 
-from tidemill.llm import packing
+from tidemill.llm import packing, quality
 
 
 def test_pipeline(spark, tmp_path):
@@ -37,6 +37,18 @@ def test_pipeline(spark, tmp_path):
     assert tokens == {r.doc_id: times[r.doc_id] * (len(encode.ids(r.text or "")) + 1) for r in mixed.collect()}
 
 
+def test_quality_stage_keeps_what_op3_keeps(spark, tmp_path):
+    """Short, blank and repeated texts that the votes alone would keep go in the stage as in the operator."""
+    rows = [(i, prose(60) + ".", "en", "s1", 300, "x") for i in range(60)]
+    rows += [(100, None, "en", "s", 0, "x"), (101, " ", "en", "s", 0, "x"), (102, "A short clean text of some words.", "en", "s", 0, "x"), (103, prose(100) + " " + "a phrase of eight words that comes again " * 8 + "x.", "en", "s", 0, "x")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()}
+    op3 = quality.op3_quality_rules(spark, str(tmp_path)).collect()
+    assert got == {r.doc_id for r in op3 if r.kept} == set(range(60))
+    assert {r.doc_id for r in op3 if r.p_good >= 0.5} >= {100, 101, 102, 103}
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

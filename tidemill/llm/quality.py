@@ -158,15 +158,20 @@ def posterior(model: Model, rules: tuple[VoteRule, ...] = RULES) -> Column:
     return model.posterior([r.vote() for r in rules])
 
 
+def base_failed() -> Column:
+    """The contract's base rules: fewer than 20 words, or over 30 % of them in repeated windows."""
+    return (F.col("__q_n_words") < 20) | (100 * F.col("__q_n_repeat_words") > 30 * F.col("__q_n_words"))
+
+
 def kept_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents whose posterior probability of being good reaches the threshold.
+    """The documents that op3 keeps: no base rule fails and the posterior probability of being good reaches the threshold.
 
     The texts are read twice and never shuffled.
     """
     signals = with_signals(docs, text)
     model = fit(signals)
     # A filter would be pushed below the signals and compute them over again inside its condition; a generator stays where it is.
-    passes = F.when(posterior(model) >= threshold, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    passes = F.when(~base_failed() & (posterior(model) >= threshold), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     return signals.select(*docs.columns, F.explode(passes).alias("__q_passes")).drop("__q_passes")
 
 
@@ -174,7 +179,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     signals = written(with_signals(docs).drop("text"), "quality-signals")
     model = fit(signals)
-    failed = (F.col("__q_n_words") < 20) | (100 * F.col("__q_n_repeat_words") > 30 * F.col("__q_n_words"))
+    failed = base_failed()
     p = posterior(model)
     return signals.select(
         "doc_id", *[F.col(f"__q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
