@@ -2,24 +2,29 @@
 
 1. One pass over the texts gives each document's shingle count, a digest of its shingle set and its
    band keys. Documents with equal sets are linked at once: the smallest id stands for all of them.
-2. Band keys that several representatives share are buckets. In a bucket, centres are compared with
-   the members that aren't yet in their group: first the smallest id, then ever more members, until
-   all have been centres or the bucket is one group. The comparison is the join's condition, so only
-   links come out of it; copies are never expanded into all pairs, and no pair that shares a bucket
-   and could join two groups is left out.
-3. Shingles that a document has alone among all documents in buckets are in no intersection, which
-   rules many documents and pairs out; so do sizes and sketches (four bits of each rank). Any other
-   pair is linked if its full shingle sets reach the similarity.
-4. Links are contracted by union-find inside partitions, then groups take their smallest id by
-   rounds of smallest-label spreading with label jumping, as DataFrames in the shared folder.
-
-40 bands of 5 ranks miss a pair of similarity 0.8 with probability 1.3e-7; the sketches of its 400 ranks
-lie too far apart with probability below 1e-7.
+2. Representatives that share a band key are candidates. The candidates' components (over one edge
+   from each member of a bucket to its smallest id) are clusters, so all candidates of a document lie
+   in its own cluster, once, however many bands they share.
+3. A cluster is dealt to cells of at most CELL documents and CELL_SHINGLES shingles on average. A task
+   shingles the texts of a cell, counts the shingles that its documents share, and gives union-find
+   links for the pairs that reach the similarity; pairs never leave a cell. A cluster of one cell is
+   done then.
+4. In a larger cluster each cell also gets a few of the cluster's documents as centres, which join the
+   cells' groups. What isn't in the cluster's largest group afterwards is compared with the rest of the
+   cluster, block by block, so no pair of candidates that could join two groups is left out.
+5. A cluster of more than WIDE cells is taken apart into the buckets of its bands, which are dealt to
+   cells in the same way; its documents then meet once for each band that they share.
+
+40 bands of 5 ranks miss a pair of similarity 0.8 with probability 1.3e-7. Candidates need not share a
+band with each other, only lie in one cluster, so more links than the bands' are found, none of them
+below the similarity.
 
 Defined results: null, empty and blank texts have no shingles and stand alone; a text with fewer
 words than a shingle has one shingle, its whole word sequence; rows that repeat an id count as one
-document, linked by any of their texts; rows with a null id are linked only to equal sets; an empty
-table gives no rows; other columns play no part.
+document, linked by any of their texts; a null id is replaced by a number from 2^62 on that its text
+gives, so equal texts without ids count as one document, and a group takes such a number as its
+component only if no other document is in it; an empty table gives no rows; other columns, whatever
+their names, play no part.
 """
 
 from __future__ import annotations
@@ -32,40 +37,69 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import picked, small_batches, table, written
-
-RANKS, BANDS, ROWS = 400, 40, 5
-#: Centres of a bucket in the round after the first, and their growth from round to round.
-CENTRES, GROWTH = 8, 32
-#: A sketch has four bits of each rank. Sets of similarity 0.8 differ in 75 of 400 on average, with a deviation of at most 7.8.
-APART = 118
+from tidemill.llm.shared import Stored, picked, small_batches, table, written
+
+RANKS, BANDS, ROWS = 200, 40, 5
+#: Documents and shingles of a cell, on average at most; clusters of more cells than WIDE are compared by bucket.
+CELL, CELL_SHINGLES, WIDE = 1024, 1 << 19, 64
+#: Documents of a large cluster that go to each of its cells, about so many.
+CENTRES = 8
+#: Distinct words that a task remembers the hashes of before it starts afresh.
+WORDS = 1 << 20
+#: A node's links to larger nodes are dealt to one task for each so many links, and to at most so many tasks.
+TASK_LINKS, MOST_SALTS = 5_000_000, 16
+LINK = "u bigint, v bigint"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes; A-Z are lower-cased, words are runs without ASCII white space."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    h = xxhash.xxh3_64_intdigest
-    if len(w) <= k:
-        return np.array([h(b" ".join(w))], np.uint64)
-    if k == 2:
-        grams = {a + b" " + b for a, b in zip(w, w[1:])}  # noqa: B905
-    else:
-        grams = {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
-    out = np.fromiter(map(h, grams), np.uint64, len(grams))
-    out.sort()
-    return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def super_minhash(sets: list[np.ndarray], m: int = RANKS, chunk: int = 1 << 16) -> np.ndarray:
+class Shingler(dict):
+    """Shingle sets of texts. As a dictionary it holds the hashes of the words that it has met."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The distinct shingles of each text as sorted 64-bit hashes; A-Z are lower-cased, words are runs without ASCII white space."""
+        if len(self) > WORDS:
+            self.clear()
+        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        counts = [len(w) for w in split]
+        every = np.fromiter((self[x] for w in split for x in w), np.uint64, sum(counts))
+        n = max(len(every) - self.k + 1, 0)
+        # A shingle's hash mixes in its words' hashes one after another.
+        grams = np.zeros(n, np.uint64)
+        for i in range(self.k):
+            grams = _mixed(grams * np.uint64(31) + every[i : i + n] + _GOLD)
+        out, at = [], 0
+        for c in counts:
+            if c == 0:
+                out.append(np.empty(0, np.uint64))
+            elif c < self.k:
+                h = np.full(1, c, np.uint64)
+                for x in every[at : at + c]:
+                    h = _mixed(h * np.uint64(31) + x + _GOLD)
+                out.append(h)
+            else:
+                out.append(np.unique(grams[at : at + c - self.k + 1]))
+            at += c
+        return out
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    return Shingler(k).sets([text])[0]
+
+
+def super_minhash(sets: list[np.ndarray], m: int = RANKS, chunk: int = 1 << 15) -> np.ndarray:
     """SuperMinHash signatures (documents x m) of hashed sets.
 
     Each element walks its own random permutation of the m slots; at step j it offers j + u, with u
@@ -111,186 +145,291 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return key.astype(np.int64)
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """Four bits of each rank, sixteen to a word."""
-    n, m = signatures.shape
-    bits = np.zeros((n, -(-m // 16) * 16), np.uint64)
-    bits[:, :m] = _mixed(signatures) & np.uint64(15)
-    return np.bitwise_or.reduce(bits.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
-
-
-def apart(a: str, b: str, most: int = APART) -> Column:
-    """Whether two sketches differ in more ranks than sets that are similar enough ever would."""
-    ones = F.lit(0x1111111111111111)
-
-    def differing(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(ones))
-
-    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x) > most
-
-
 def _sign(batches: Iterator[pa.RecordBatch], k: int, enough: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    ids: list[pa.Array] = []
-    sets: list[np.ndarray] = []
+    shingler, kept, sets = Shingler(k), [], []
 
     def flushed() -> pa.RecordBatch:
-        signatures = super_minhash(sets)
-        keys, sketch = band_keys(signatures), sketches(signatures)
+        keys = band_keys(super_minhash(sets))
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1), pa.int64()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1), pa.int64()))
         return pa.RecordBatch.from_arrays([
-            pa.concat_arrays(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-            lists(keys), lists(sketch),
-        ], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
+            *(pa.concat_arrays([b.column(i) for b in kept]) for i in range(2)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists,
+        ], ["doc_id", "node", "n", "digest", "keys"])
 
     for b in batches:
-        ids.append(b.column(0))
-        sets += [shingles(t, k) for t in b.column(1).to_pylist()]
+        kept.append(b.select([0, 1]))
+        sets += shingler.sets(b.column(2).to_pylist())
         if sum(map(len, sets)) >= enough:
             yield flushed()
-            ids, sets = [], []
+            kept, sets = [], []
     if sets:
         yield flushed()
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingles(t, k).view(np.int64) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None, rare: int = 8, columns: int = 4096) -> np.ndarray:
+    """How many shingles each left set has in common with each right one (or left one): a table of at most a cell's documents each way.
 
+    Shingles of up to `rare` sets count pair by pair, the others as products of 0-1 blocks.
+    """
+    sets, n = left + (right or []), len(left)
+    size = len(sets)
+    owner = np.repeat(np.arange(size), [len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
+    held = np.diff(np.concatenate((starts, [len(flat)])))
+    pairs = [np.empty(0, np.int64)]
+    for d in range(2, rare + 1):
+        rows = owner[starts[held == d][:, None] + np.arange(d)]
+        if len(rows):
+            pairs += [rows[:, a] * size + rows[:, b] for a in range(d) for b in range(a + 1, d)]
+    out = np.bincount(np.concatenate(pairs), minlength=size * size).reshape(size, size)
+    out = out + out.T
+    out = out[:, n:] if right is not None else out
+    out = out[:n]
+    starts, held = starts[held > rare], held[held > rare]
+    for at in range(0, len(starts), columns):
+        s, h = starts[at : at + columns], held[at : at + columns]
+        ends = np.cumsum(h)
+        which = owner[np.repeat(s - ends + h, h) + np.arange(ends[-1])]
+        block = np.zeros((size, len(s)), np.float32)
+        block[which, np.repeat(np.arange(len(s)), h)] = 1
+        out += (block[:n] @ (block[n:] if right is not None else block).T).astype(np.int64)
+    return out
+
+
+def _roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each row of a symmetric table of links reaches."""
+    place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    label = place.copy()
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], len(label)).min(axis=1))
+        low = np.minimum(low, low[np.argsort(place)[low]])
+        if (low == label).all():
+            return np.sort(ids, kind="stable")[label]
+        label = low
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over a partition's links, to at most one link a node; a partition is read in blocks of links."""
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def _links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links (u, v) of a cell from sets (node, group, shingles): u's smallest linked node is v.
 
+    Without right ones all pairs of left ones are compared, else those of a left and a right one in different groups.
+    """
+    both = left + right
+    if len(both) < 2:
+        return []
+    ids, groups, sizes = np.array([x[0] for x in both]), np.array([x[1] for x in both]), np.array([len(x[2]) for x in both])
+    n, of_right = len(left), slice(len(left), None) if right else slice(None)
+    met = shared_counts([x[2] for x in left], [x[2] for x in right] if right else None)
+    near = 100 * met >= percent * (sizes[:n, None] + sizes[of_right][None, :] - met)
+    if right:
+        whole = np.zeros((len(both), len(both)), bool)
+        whole[:n, n:] = near & (groups[:n, None] != groups[n:][None, :])
+        near = whole | whole.T
+    # Rows that repeat an id are one node.
+    near |= ids[:, None] == ids[None, :]
+    root = _roots(near, ids)
+    return list({(int(u), int(v)) for u, v in zip(ids, root, strict=True) if u != v})
+
+
+def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of cells that come one after another (kind, scope, i, j, left, node, grp, whole, text)."""
+    shingler, cell, sides, whole, last = Shingler(k), None, ([], []), False, None
+    found: list[tuple] = []
     for b in batches:
-        parent: dict[int, int] = {}
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            u, v = find(u), find(v)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-        pairs = [(x, r) for x in parent if (r := find(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
-
-
-def components(links: DataFrame) -> DataFrame:
-    """id and component (smallest id reachable) of every node of links (u, v)."""
-    few = links.select("u", "v").mapInArrow(_contract, "u bigint, v bigint")
-    both = written(few.union(few.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "dup-links")
-    label = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("component")), "dup-labels")
+        keys = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+        lefts, nodes, groups, wholes, texts = (b.column(i).to_pylist() for i in range(4, 9))
+        for at, s in enumerate(shingler.sets(texts)):
+            if keys[at] != cell:
+                found += [(u, v, whole) for u, v in _links(*sides, percent)]
+                cell, sides, whole, last = keys[at], ([], []), wholes[at], None
+            this = (lefts[at], nodes[at], texts[at])
+            if this != last:
+                sides[0 if lefts[at] else 1].append((nodes[at], groups[at], s))
+            last = this
+        if len(found) > 4096:
+            yield _link_batch(found)
+            found = []
+    found += [(u, v, whole) for u, v in _links(*sides, percent)]
+    if found:
+        yield _link_batch(found)
+
+
+def _link_batch(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["u", "v", "whole"])
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find over links: the smallest id that the ends of each link reach."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
     while True:
-        near = both.join(label, both["v"] == label["id"]).groupBy("u").agg(F.min("component").alias("least"))
-        low = label.join(near, label["id"] == near["u"]).select("id", F.col("component").alias("was"), F.least("component", "least").alias("now"))
-        to = label.select(F.col("id").alias("i"), F.col("component").alias("jump"))
-        new = written(low.join(to, low["now"] == to["i"]).select("id", F.least("now", "jump").alias("component"), (F.least("now", "jump") != F.col("was")).alias("moved")), "dup-labels")
-        label = new.select("id", "component")
-        if new.where("moved").isEmpty():
-            return label
-
-
-def _shared_shingles(full: DataFrame) -> DataFrame:
-    """i and c: how many of a document's shingles another of these documents has too; the others are in no intersection."""
-    each = full.select("doc_id", F.explode("shingles").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("i")).where("rows = 1").groupBy("i").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = full.groupBy(F.col("doc_id").alias("d")).agg(F.max(F.size("shingles")).alias("n"), F.count(F.lit(1)).alias("texts"))
-    both = sizes.join(alone, sizes["d"] == alone["i"], "left")
-    return both.select(F.col("d").alias("i"), (F.col("n") - F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("c"))
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, component_id for every row of docs."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(own.mapInArrow(lambda it: _sign(it, k), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>"), "dup-signed")
-    sets = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"))
-    rep = sets.select(F.col("digest").alias("d"), F.col("id").alias("rep"))
-    reps = signed.join(rep, (signed["digest"] == rep["d"]) & (signed["doc_id"] == rep["rep"]))
-    bands = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    members = written(bands.join(shared, "key"), "dup-members")
-
-    wanted = members.select(F.col("id").alias("w")).distinct()
-    texts = picked(own, wanted, F.col("doc_id") == F.col("w")).select("doc_id", "text")
-    full = texts.mapInArrow(lambda it: _shingled(it, k), "doc_id bigint, shingles array<bigint>").groupBy("doc_id", F.xxhash64("shingles").alias("h")).agg(F.first("shingles").alias("shingles")).drop("h")
-    full = written(full, "dup-sets")
-    shared_n = written(_shared_shingles(full), "dup-shared")
-    members = members.join(shared_n, members["id"] == shared_n["i"]).drop("i", "size", "least").where(100 * F.col("c") >= percent * F.col("n"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    # Four bytes of the keys of the bands before this one tell whether two documents have met before.
-    marks = reps.select(F.col("doc_id").alias("i"), "sketch", F.transform("keys", lambda x: F.shiftright(x, 32).cast("int")).alias("marks"))
-    members = members.join(sizes, "key")
-    members = members.join(marks, members["id"] == marks["i"]).withColumn("earlier", F.slice("marks", F.lit(1), F.col("band")))
-    members = written(members.drop("i", "band", "marks"), "dup-members")
-
-    def possible() -> Column:
-        """Whether sizes, shared shingles and sketches of (n, c, sketch) and (cn, cc, cs) allow the similarity."""
-        most = F.least("c", "cc")
-        return (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (100 * most >= percent * (F.col("n") + F.col("cn") - most)) & ~apart("sketch", "cs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        left, right = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        met = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-        return met.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    centre = members.where(F.col("id") == F.col("least")).select("key", F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("sketch").alias("cs"))
-    first = members.where(F.col("id") != F.col("least")).join(centre, "key")
-    tested = written(first.where(possible()).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "dup-pairs")
-    links = written(linked(tested), "dup-edges")
-    label = components(links)
-    done, centres = 0, CENTRES
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            return ids[label[a]], ids[label[b]]
+        label = new
+
+
+def _contract(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Union-find over a task's links (u, v, side), in blocks: the distinct links of ends to their roots.
+
+    side 0: the link is known here, 1: both its ends are written here, 2: its first one is.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def contracted() -> pa.RecordBatch:
+        u, v, side = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        a, b = roots(u, v)
+        links = np.concatenate((np.stack((u, a), 1)[side > 0], np.stack((v, b), 1)[side == 1]))
+        links = np.unique(links[links[:, 0] != links[:, 1]], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, i], pa.int64()) for i in range(2)], ["u", "v"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= block:
+            yield contracted()
+            held = []
+    if held:
+        yield contracted()
+
+
+def components(links: DataFrame, keep: Stored) -> DataFrame:
+    """id and component (smallest id reachable) of every node of links (u, v).
+
+    In each round the links of a node meet in a task, which contracts them by union-find; so paths get
+    shorter by half at least. Where there are many links, those of a node to larger ones are dealt to several
+    tasks, and those to smaller ones are known to all of these.
+    """
+    links = keep.written(links.select("u", "v"), "dup-links")
+    salts = min(MOST_SALTS, 1 + links.count() // TASK_LINKS)
     while True:
-        # Buckets of up to `done` members have had all of them as centres; those of two were done by the first round.
-        named = members.where(F.col("size") > max(done, 2)).join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
-        place = F.abs(F.xxhash64("key", "id", F.lit("centre"))) / F.lit(float(2**63)) * F.col("size")
-        named = named.select("key", "id", "n", "c", "sketch", "earlier", place.alias("place"), F.coalesce("component", "id").alias("group"))
-        split = named.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("key")
-        rest = written(named.join(split, "key"), "dup-open")
-        if rest.isEmpty():
-            break
-        rows = rest.join(full, rest["id"] == full["doc_id"]).drop("doc_id")
-        chosen = rows.where(F.col("place").between(done, centres) & (F.col("place") < centres)).select(
-            "key", F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("sketch").alias("cs"), F.col("earlier").alias("ce"), F.col("group").alias("cg"), F.col("shingles").alias("centre_shingles"),
-        )
-        # Earlier centres have met all members; two centres of a round meet once; a pair meets in the first band that it shares only.
-        once = (F.col("place") >= done) & ((F.col("place") >= centres) | (F.col("centre") < F.col("id"))) & ~F.arrays_overlap("earlier", "ce")
-        alike = F.size(F.array_intersect("shingles", "centre_shingles")) * (100 + percent) >= percent * (F.size("shingles") + F.size("centre_shingles"))
-        met = rows.join(chosen, "key").where((F.col("group") != F.col("cg")) & once & possible() & alike)
-        more = written(met.select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "dup-edges")
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links)
-        done, centres = centres, centres * GROWTH
-
-    named = rep.join(label, rep["rep"] == label["id"], "left").select("d", F.coalesce("component", "rep").alias("g"))
-    out = signed.join(named, signed["digest"] == named["d"], "left")
-    return out.select("doc_id", "n_shingles", "digest", F.coalesce("g", "doc_id").alias("component_id"))
+        for _ in range(2):
+            u, v, salt = F.greatest("u", "v"), F.least("u", "v"), F.pmod(F.xxhash64(F.greatest("u", "v")), F.lit(salts)).cast("int")
+            to = [F.struct(u.alias("x"), F.lit(i).alias("salt"), F.lit(int(i == 0)).alias("side")) for i in range(salts)]
+            ends = F.array(*to, F.struct(v.alias("x"), salt.alias("salt"), F.lit(2).alias("side")))
+            links = links.select(u.alias("u"), v.alias("v"), F.explode(ends).alias("to")).repartition("to.x", "to.salt").select("u", "v", "to.side").mapInArrow(_contract, LINK)
+        links = keep.written(links, "dup-links")
+        ends = F.array(F.struct(F.col("u").alias("id"), "v"), F.struct(F.col("v").alias("id"), "v"))
+        label = links.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.min("e.v").alias("component"), (F.min("e.v") < F.max("e.v")).alias("open"))
+        label = keep.written(label, "dup-labels")
+        if label.where("open").isEmpty():
+            return label.drop("open")
+
+
+def node_of(doc_id: Column, text: Column) -> Column:
+    """A document's number: its id, or one that its text gives."""
+    return F.coalesce(doc_id.cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2).bitwiseOR(F.lit(1 << 62)))
+
+
+def _in_cells(texts: DataFrame, rows: DataFrame, keep: Stored, k: int, percent: int) -> DataFrame:
+    """Links of the cells that rows (id, kind, scope, i, j, left, grp, whole) name, with the texts of their ids."""
+    met = picked(texts, rows, F.col("node") == F.col("id"), keep.written).select("kind", "scope", "i", "j", "left", "node", "grp", "whole", "text")
+    dealt = met.repartition("kind", "scope", "i", "j").sortWithinPartitions("kind", "scope", "i", "j", "left", "node", F.xxhash64("text"))
+    return dealt.mapInArrow(lambda it: _compare(it, k, percent), "u bigint, v bigint, whole boolean")
+
+
+def _scopes(members: DataFrame, kind: int, cell: int, cell_shingles: int) -> DataFrame:
+    """members (id, n, scope) with kind, size and p, the number of cells of the scope."""
+    by = members.groupBy(F.col("scope").alias("s")).agg(F.count(F.lit(1)).alias("size"), F.ceil(F.greatest(F.count(F.lit(1)) / cell, F.sum("n") / cell_shingles)).cast("int").alias("p"))
+    return members.join(by.hint("shuffle_hash"), members["scope"] == by["s"]).select("id", "n", F.lit(kind).alias("kind"), "scope", "size", "p")
+
+
+def _links_of(texts: DataFrame, reps: DataFrame, keep: Stored, k: int, percent: int, cell: int, cell_shingles: int, wide: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links (u, v) that are final, and links that still have to be put together; None where there are none."""
+    bands = reps.select("id", "n", F.posexplode("keys").alias("band", "key"))
+    least = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("key").alias("shared"), "least")
+    # A document has at most BANDS buckets. It is linked to the smallest id of all of them, and their other smallest ids are too.
+    near = bands.join(least.hint("shuffle_hash"), F.col("key") == F.col("shared")).where("id != least").groupBy("id").agg(F.collect_set("least").alias("near"))
+    near = keep.written(near.withColumn("v", F.array_min("near")), "dup-near")
+    others = near.select(F.explode(F.array_remove("near", F.col("v"))).alias("u"), "v").distinct()
+    cluster = components(near.select(F.col("id").alias("u"), "v").union(others), keep).withColumnRenamed("id", "i")
+    members = reps.select("id", "n").join(cluster.hint("shuffle_hash"), F.col("id") == F.col("i")).select("id", "n", F.col("component").alias("scope"))
+    scopes = keep.written(_scopes(members, 0, cell, cell_shingles), "dup-scopes")
+    giant = scopes.where(F.col("p") > wide)
+    if not giant.isEmpty():
+        ids = giant.select(F.col("id").alias("i")).distinct()
+        open_bands = bands.join(ids.hint("shuffle_hash"), F.col("id") == F.col("i")).select("id", "n", F.col("key").alias("scope"))
+        own = _scopes(open_bands, 1, cell, cell_shingles).where("size > 1")
+        scopes = keep.written(scopes.where(F.col("p") <= wide).union(own), "dup-scopes")
+    slot = F.pmod(F.xxhash64("id", F.lit("slot")), "p").cast("int")
+    centre = F.abs(F.xxhash64("id", F.lit("centre"))) / F.lit(float(2**63)) * F.col("size") < CENTRES
+    every = F.sequence(F.lit(0), F.col("p") - 1)
+    first = scopes.select("id", "kind", "scope", F.explode(F.when((F.col("p") > 1) & centre, every).otherwise(F.array(slot))).alias("i"), ((F.col("p") == 1) & (F.col("kind") == 0)).alias("whole"))
+    first = first.select("id", "kind", "scope", "i", F.col("i").alias("j"), F.lit(True).alias("left"), F.col("id").alias("grp"), "whole")
+    links = keep.written(_in_cells(texts, first, keep, k, percent), "dup-edges")
+    done, rest = links.where("whole"), links.where("not whole").select("u", "v")
+    if scopes.where("p > 1 or kind = 1").isEmpty():
+        return done, None
+    large = scopes.where("p > 1")
+    label = components(rest, keep).withColumnRenamed("id", "i")
+    named = keep.written(large.join(label.hint("shuffle_hash"), F.col("id") == F.col("i"), "left").select("id", "n", "kind", "scope", "p", F.coalesce("component", "id").alias("grp")), "dup-named")
+    sizes = named.groupBy("kind", "scope", "grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    main = sizes.groupBy(F.col("kind").alias("k"), F.col("scope").alias("s")).agg(
+        F.max(F.struct("size", "grp")).alias("most"), F.sum("size").alias("docs"), F.sum("n").alias("n"), F.max(F.struct("size", "n")).alias("held"),
+    ).where("docs > most.size")
+    main = main.select("k", "s", F.col("most.grp").alias("main"), F.ceil(F.greatest((F.col("docs") - F.col("most.size")) / cell, (F.col("n") - F.col("held.n")) / cell_shingles)).cast("int").alias("po"))
+    outer = keep.written(named.join(main.hint("shuffle_hash"), (F.col("kind") == F.col("k")) & (F.col("scope") == F.col("s"))), "dup-open")
+    if outer.isEmpty():
+        return done, rest
+    # What isn't in the scope's largest group goes to one row of blocks, and each document to one column.
+    of_row, of_column = F.pmod(F.xxhash64("id", F.lit("row")), "po").cast("int"), slot
+    columns = ["id", "kind", "scope", "i", "j", "left", "grp", F.lit(False).alias("whole")]
+    apart = outer.where("grp != main").select("id", "kind", "scope", of_row.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"), "grp")
+    others = outer.select("id", "kind", "scope", F.explode(F.sequence(F.lit(0), F.col("po") - 1)).alias("i"), of_column.alias("j"), F.lit(False).alias("left"), "grp")
+    more = keep.written(_in_cells(texts, apart.select(*columns).union(others.select(*columns)), keep, k, percent), "dup-edges")
+    return done, rest.union(more.select("u", "v"))
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", cell: int = CELL, cell_shingles: int = CELL_SHINGLES, wide: int = WIDE
+) -> DataFrame:
+    """doc_id, node (doc_id or what stands for it), n_shingles, digest of the shingle set, component_id for every row of docs."""
+    small_batches(docs.sparkSession)
+    with Stored(docs.sparkSession) as keep:
+        own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), node_of(F.col(doc_id), F.col(text)).alias("node"), F.col(text).alias("text"))
+        signed = keep.written(own.mapInArrow(lambda it: _sign(it, k), "doc_id bigint, node bigint, n bigint, digest binary, keys array<bigint>"), "dup-signed")
+        sets = signed.where("digest is not null")
+        reps = keep.written(sets.groupBy("digest").agg(F.min("node").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "dup-reps")
+        done, rest = _links_of(own.select("node", "text"), reps, keep, k, percent, cell, cell_shingles, wide)
+        repeated = keep.written(signed.groupBy("node").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 < d1").select("node"), "dup-repeated")
+        if not repeated.isEmpty():
+            # An id with several sets links what stands for them.
+            rows = signed.join(repeated.withColumnRenamed("node", "m").hint("shuffle_hash"), F.col("node") == F.col("m")).select("node", F.col("digest").alias("d"))
+            ties = rows.join(reps.select("digest", "id"), F.col("d") == F.col("digest")).where("node != id").select(F.col("node").alias("u"), F.col("id").alias("v"))
+            every = done.select("u", "v").union(ties)
+            label = components(every.union(rest) if rest is not None else every, keep)
+        else:
+            label = done.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            label = label.union(components(rest, keep)) if rest is not None else label
+        label = label.withColumnRenamed("id", "i")
+        named = reps.select("digest", "id").join(label.hint("shuffle_hash"), F.col("id") == F.col("i"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "id").alias("g"))
+        out = signed.join(named.hint("shuffle_hash"), F.col("digest") == F.col("d"), "left")
+        return keep.result(out.select("doc_id", "node", F.col("n").alias("n_shingles"), "digest", F.coalesce("g", "node").alias("component_id")), "duplicates")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest id, once; of rows with a null id, equal ones once."""
+    """The documents that stay, one row of each group: that of the smallest id, with any of its rows if the id is repeated."""
     found = near_duplicates(docs, k, percent)
-    keep = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "dup-kept")
-    keep = keep.select(F.col("doc_id").alias("__id"), "__rows").hint("shuffle_hash")
-    rows = docs.join(keep, docs["doc_id"] == keep["__id"])
-    out = rows.select(*docs.columns)
-    if not keep.where("__rows > 1").isEmpty():
-        repeated = rows.where("__rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-        out = rows.where("__rows = 1").select(*docs.columns).unionByName(repeated)
-    nameless = docs.where("doc_id is null")
-    return out if nameless.isEmpty() else out.unionByName(nameless.dropDuplicates())
+    keep = found.where("node = component_id").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    keep = written(keep, "dup-kept")
+    row, node = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), node_of(docs["doc_id"], docs["text"]).alias("own")
+    rows = docs.select(row, node).join(keep.hint("shuffle_hash"), F.col("own") == F.col("node"))
+    out = rows.where("rows = 1").select("row.*")
+    if keep.where("rows > 1").isEmpty():
+        return out
+    return out.unionByName(rows.where("rows > 1").dropDuplicates(["own"]).select("row.*"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), k=2)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("node") == F.col("component_id")).alias("kept"))
 
 
 OP2_SQL = r"""

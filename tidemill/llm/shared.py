@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stored:
+    """Tables of one operator in the shared folder. As a context it removes them at the end, but for its result."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows that stay after the other tables have gone."""
+        return written(df, name)
+
+    def __enter__(self) -> Stored:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Texts can be long, so Arrow batches are kept to few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -88,8 +118,8 @@ def sha256(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 
 
-def picked(docs: DataFrame, keys: DataFrame, on: Column) -> DataFrame:
-    """docs joined with the few rows of keys that a table in the shared folder holds.
+def picked(docs: DataFrame, keys: DataFrame, on: Column, put: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """docs joined with the few rows of keys, which `put` writes to a table in the shared folder.
 
     Spark is asked to filter docs by a Bloom filter of the keys (its size is bounded by Spark's
     settings) before it shuffles their texts; the hash table is that of one partition of keys.
@@ -97,4 +127,4 @@ def picked(docs: DataFrame, keys: DataFrame, on: Column) -> DataFrame:
     conf = docs.sparkSession.conf
     conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
     conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    return docs.join(written(keys.withColumn("__n", F.lit(1)), "picked").where("__n > 0").hint("shuffle_hash"), on)
+    return docs.join(put(keys.withColumn("__n", F.lit(1)), "picked").where("__n > 0").hint("shuffle_hash"), on)
