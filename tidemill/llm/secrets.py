@@ -3,7 +3,8 @@
 Every version of a text is addressed by the SHA-256 of its bytes. A ledger table holds, for each
 blob, which rules in which versions have been applied to it and what they found. A scan takes only
 the pairs of blob and rule version that the ledger doesn't have, adds them to it, and joins the
-findings back to every path that holds the blob. Only DataFrame functions are used.
+findings back to every path that holds the blob. A finding keeps the key of the rule version that made
+it, so those of versions that are no longer asked for aren't returned. Only DataFrame functions are used.
 
 Defined results: a null text counts as empty and has no findings; repeated rows and equal texts
 share one blob, and each row gets its findings; a null id is an id like others; an empty table
@@ -24,7 +25,7 @@ _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 
 @dataclass(frozen=True)
 class Rule:
-    """A secret rule; `keep` filters its matches, `version` is raised when pattern or filter change."""
+    """A secret rule; `version` is raised when its pattern, value_group or min_value (which drops short matches) change."""
 
     kind: str
     pattern: str
@@ -57,7 +58,7 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = (*BASE, *MORE)
-_FOUND = "array<struct<start:int,ord:int,end:int,kind:string>>"
+_FOUND = "array<struct<start:int,ord:int,end:int,kind:string,rule:string>>"
 
 
 def with_blob(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,7 +72,7 @@ def _seen(ledger: DataFrame) -> DataFrame:
 
 def _applied(number: int, rule: Rule) -> Column:
     """The rule's spans in __text, where the blob still lacks them."""
-    named = F.transform(rule.spans(F.col("__text")), lambda x: F.struct(x["start"], F.lit(number).alias("ord"), x["end"], F.lit(rule.kind).alias("kind")))
+    named = F.transform(rule.spans(F.col("__text")), lambda x: F.struct(x["start"], F.lit(number).alias("ord"), x["end"], F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule")))
     return F.when(F.array_contains("__todo", rule.key), named).otherwise(F.array().cast(_FOUND))
 
 
@@ -109,34 +110,38 @@ def ledger_table(spark: SparkSession, ledger: str) -> DataFrame | None:
 
 
 def blob_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The findings of each blob that has any, under the given rule versions, by start, then kind."""
-    keys, kinds = [r.key for r in rules], [r.kind for r in rules]
-    current = F.filter("spans", lambda x: F.array_contains(F.array(*[F.lit(k) for k in kinds]), x["kind"]))
-    hit = ledger.where(F.size("spans") > 0).where(F.arrays_overlap("rules", F.array(*[F.lit(k) for k in keys])))
-    return hit.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(current)))).alias("found"))
+    """The findings of each blob that has any, of the given rule versions, by start, then the rules' order."""
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    place = F.map_from_arrays(keys, F.array(*[F.lit(i) for i in range(len(rules))]))
+    current = F.transform(F.filter("spans", lambda x: F.array_contains(keys, x["rule"])), lambda x: F.struct(x["start"], place[x["rule"]].alias("ord"), x["end"], x["kind"], x["rule"]))
+    hit = ledger.select("blob", current.cast(_FOUND).alias("spans")).where(F.size("spans") > 0)
+    return hit.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and found (start, ord, end, kind) for every row of docs."""
+    """doc_id and found (start, ord, end, kind, rule) for every row of docs."""
     paths = with_blob(docs.select(F.col(path).alias("doc_id"), F.col(text).alias("__text")), "__text").select("doc_id", "__blob")
     found = blob_findings(ledger, rules)
     return paths.join(found, paths["__blob"] == found["blob"], "left").select("doc_id", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
 
 
 def redacted(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span, overlapping ones as one, replaced by a mark."""
-    found = blob_findings(ledger, rules).select(F.col("blob").alias("__b"), F.col("found").alias("__found"))
-    rows = with_blob(docs, text)
-    rows = rows.join(found, rows["__blob"] == found["__b"], "left")
-    t = F.col(text)
+    """docs with every found span, overlapping ones as one, replaced by a mark. Rows travel as one struct, whatever their columns' names."""
+    found = blob_findings(ledger, rules)
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), docs[f"`{text}`"].alias("t"))
+    rows = rows.withColumn("own", F.unhex(sha256(F.coalesce("t", F.lit("")))))
+    rows = rows.join(found, rows["own"] == found["blob"], "left")
+    t = F.col("t")
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.concat(acc["out"], F.array(t.substr(acc["pos"] + 1, x["start"] - acc["pos"]), F.lit(mark)))
         return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(x["start"] < acc["pos"], acc["out"]).otherwise(fresh).alias("out"))
 
-    done = F.aggregate("__found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), t.substr(acc["pos"] + 1, F.length(t))))
-    return rows.withColumn(text, F.when(F.col("__found").isNull(), t).otherwise(done)).select(*docs.columns)
+    done = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), t.substr(acc["pos"] + 1, F.length(t))))
+    new = F.when(F.col("found").isNull(), t).otherwise(done)
+    return rows.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in names])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
