@@ -108,15 +108,16 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row as often as its source's passes and threshold say."""
+    """docs as the mix takes them: each row as often as its source's passes and threshold say. Rows travel as one struct, whatever their columns' names."""
     rows = written(sized(docs), "mix-sizes")
-    plan = thresholds(rows, targets(rows)).select(F.col("source").alias("__s"), "passes", "threshold")
-    h = F.xxhash64(F.col("doc_id"), F.col("text")).bitwiseAND(F.lit(2**63 - 1))
-    own = docs.withColumn("__hash", h)
-    out = own.join(plan, own["source"].eqNullSafe(plan["__s"]))
-    times = F.col("passes") + F.when((F.col("__hash") <= F.col("threshold")) & (F.col("passes") < MOST), 1).otherwise(0)
+    plan = thresholds(rows, targets(rows)).select(F.col("source").alias("s"), "passes", "threshold")
+    names = docs.columns
+    h = F.xxhash64(docs["doc_id"], docs["text"]).bitwiseAND(F.lit(2**63 - 1))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), docs["source"].alias("own"), h.alias("hash"))
+    out = own.join(plan, own["own"].eqNullSafe(plan["s"]))
+    times = F.col("passes") + F.when((F.col("hash") <= F.col("threshold")) & (F.col("passes") < MOST), 1).otherwise(0)
     each = F.sequence(F.lit(1).cast("long"), times)
-    return out.where(times > 0).withColumn("__copy", F.explode(each)).select(*docs.columns)
+    return out.where(times > 0).select("row", F.explode(each).alias("copy")).select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
