@@ -1,14 +1,16 @@
 """License scans by diagonal voting.
 
 All rolling word k-grams of the documents are hashed and joined by Spark to the places where the
-templates hold them. A hit votes for the diagonal document place minus template place. Diagonals of
-one template that lie next to each other, in shift and in place, are merged, as inserted or dropped
-words move a passage to a neighbouring diagonal; the merged spans are then verified on the words.
+templates hold them. A hit votes for the diagonal document place minus template place. Votes are
+aggregated by document, template and diagonal, into segments that end where the next hit on the diagonal
+is more than `gap` words away. Segments on diagonals next to each other (at most `drift` apart) and near
+each other in the text are merged, as inserted or dropped words move a passage to a neighbouring
+diagonal; the merged spans are then verified on the words.
 
 Phrases (the base) need all their k-grams on one diagonal and equal words. Templates need at least
 `cover` of their words, in order and each at most `gap` places after the one before, in a passage that
-has one of their k-grams. One hit is enough for that to be verified, and the passage is looked for as far
-before and behind the hits as the template's other words can lie; the words alone decide.
+has one of their k-grams. One vote is enough for that to be verified, and the passage is looked for as far
+before and behind the votes as the template's other words can lie; the words alone decide.
 
 Defined results: a null or blank text has no words and no labels, score 0; texts shorter than k words
 hold no place; repeated rows get equal results; a null id is an id like others; an empty table gives
@@ -17,11 +19,13 @@ no rows; other columns play no part.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.license_texts import PASSAGES
 from tidemill.llm.shared import ascii_lower, picked, table, written
 
 K = 3
@@ -40,18 +44,10 @@ PHRASES = (
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
 )
-TEMPLATES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    Template("gpl-3", "licensed under the gnu general public license version 3"),
-    Template("gpl-2", "licensed under the gnu general public license version 2"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0"),
-    Template("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    Template("reserved", "all rights reserved no part of this publication may be reproduced"),
-)
+NOT_A_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TEMPLATES = tuple(Template(label, " ".join(w for w in NOT_A_WORD.split(text.lower()) if w)) for label, text in PASSAGES)
+#: Places of templates that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_PLACES = 100_000
 
 
 def license_words(text: Column) -> Column:
@@ -60,21 +56,18 @@ def license_words(text: Column) -> Column:
 
 
 def _places(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataFrame:
-    """template, at, gram and the hash of each k-gram of the templates: as many rows as the templates have words."""
+    """template, at and hash of each k-gram of the templates: as many rows as the templates have words."""
     rows = [(i, at, w[at : at + k]) for i, t in enumerate(templates) for w in [t.words.split()] for at in range(len(w) - k + 1)]
-    if len(rows) > 100_000:
-        raise ValueError("templates of over 100,000 words aren't broadcast; write them as a table")
-    one = [F.struct(F.lit(i).alias("template"), F.lit(at).alias("at"), F.array(*map(F.lit, g)).alias("gram")) for i, at, g in rows]
-    return spark.range(1).select(F.explode(F.array(*one)).alias("p")).select("p.*", F.xxhash64("p.gram").alias("hash"))
+    out = spark.createDataFrame(rows, "template int, at int, gram array<string>").select("template", "at", F.xxhash64("gram").alias("hash"))
+    return F.broadcast(out) if len(rows) <= BROADCAST_PLACES else out
 
 
 def hits(docs: DataFrame, templates: tuple[Template, ...], k: int = K) -> DataFrame:
     """key (doc_id, hash and length of the text), place, template, template place of every k-gram hit."""
-    spark = docs.sparkSession
     rows = docs.select(text_key().alias("key"), license_words(F.col("text")).alias("words"))
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(F.slice("words", i, k)))
     rows = rows.where(F.size("words") >= k).select("key", F.posexplode(grams).alias("place", "hash"))
-    return rows.join(F.broadcast(_places(spark, templates, k)), "hash").select("key", "place", "template", "at").distinct()
+    return rows.join(_places(docs.sparkSession, templates, k), "hash").select("key", "place", "template", "at").distinct()
 
 
 def text_key() -> Column:
@@ -84,21 +77,26 @@ def text_key() -> Column:
 
 
 def diagonals(found: DataFrame, length: Column, gap: int, drift: int) -> DataFrame:
-    """Spans (key, template, first, last, low, high): hits of near diagonals, merged.
-
-    low and high are the first and the last place where the template's words can lie around the hits.
+    """Spans (key, template, first, last, votes, low, high): segments of near diagonals, merged.
 
-    A hit opens a new span if it lies more than `gap` words behind the last hit of its template, or
-    more than `drift` diagonals from it, or goes back in the template.
+    low and high are the first and the last place where the template's words can lie around the votes.
     """
-    by = Window.partitionBy("key", "template").orderBy("place", "at")
-    d = F.col("place") - F.col("at")
-    row = found.withColumns({"d": d, "p0": F.lag("place").over(by), "d0": F.lag(d).over(by), "a0": F.lag("at").over(by)})
-    opens = F.col("p0").isNull() | (F.col("place") - F.col("p0") > gap) | (F.abs(F.col("d") - F.col("d0")) > drift) | (F.col("at") <= F.col("a0"))
-    row = row.withColumn("span", F.sum(opens.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return row.groupBy("key", "template", "span").agg(
-        F.min("place").alias("first"), F.max("place").alias("last"),
-        F.greatest(F.min(F.col("place") - F.col("at") * gap), F.lit(0)).alias("low"), F.max(F.col("place") + (length - 1 - F.col("at")) * gap).alias("high"),
+    by = Window.partitionBy("key", "template", "d").orderBy("place")
+    row = found.withColumn("d", F.col("place") - F.col("at"))
+    row = row.withColumn("cut", F.coalesce(F.col("place") - F.lag("place").over(by) > gap, F.lit(True)).cast("int"))
+    row = row.withColumn("segment", F.sum("cut").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    segments = row.groupBy("key", "template", "d", "segment").agg(
+        F.count(F.lit(1)).alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("at").alias("at0"), F.max("at").alias("at1"),
+    )
+    # Bands of diagonals next to each other, then stretches of a band without a wide gap.
+    across = Window.partitionBy("key", "template").orderBy("d")
+    band = segments.withColumn("new", F.coalesce(F.col("d") - F.lag("d").over(across) > drift, F.lit(True)).cast("int")).withColumn("band", F.sum("new").over(across.rangeBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("key", "template", "band").orderBy("first", "d")
+    before = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    span = band.withColumn("new", F.coalesce(F.col("first") - before > gap, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return span.groupBy("key", "template", "band", "span").agg(
+        F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.greatest(F.min(F.col("first") - F.col("at0") * gap), F.lit(0)).alias("low"), F.max(F.col("last") + (length - 1 - F.col("at1")) * gap).alias("high"),
     )
 
 
@@ -151,7 +149,7 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, templates: tu
     ))).alias("s")).select("key", "s.*").distinct()
     wanted = [t.words.split() for t in every]
 
-    @F.udf("struct<n:int,first:int,last:int>")
+    @F.udf("struct<n:int,first:int,last:int>", useArrow=True)
     def passage(template, words, low, high):
         return best_passage(words, wanted[template], low, high, gap)
 
