@@ -1,8 +1,9 @@
 """URL filtering by association rules and by host rules.
 
 Labelled pages are baskets of URL tokens, with one more item where the page is bad. FP-growth mines
-the token combinations; rules that lead to the bad item and reach the wanted confidence and support
-are kept. A rule is filed under the rarest token of its left side; a URL looks up its own tokens in
+the token combinations in two thirds of them; rules that lead to the bad item and reach the wanted
+confidence and support are candidates, and those whose share of bad pages among the other third is above
+the base rate beyond chance (Wilson's lower bound) are kept. A rule is filed under the rarest token of its left side; a URL looks up its own tokens in
 that index and is blocked if it holds the whole left side of a rule that it finds. Explicit host
 and path rules go first, the longest fitting one wins.
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.shared import ascii_lower, table, written
 
 BAD = "label=bad"
+#: Deviations of Wilson's bound, and by how much it has to exceed the share of bad pages.
+DEVIATIONS, LIFT = 2.5, 1.25
 
 
 @dataclass(frozen=True)
@@ -87,11 +90,18 @@ def alike(baskets: DataFrame, support: float) -> DataFrame:
     return seen.join(least, ["n", "h1", "h2"]).select("token", "twin")
 
 
+def wilson(bad: Column, n: Column, z: float = DEVIATIONS) -> Column:
+    """The lower end of Wilson's interval of the share bad / n."""
+    p = bad / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
     """Rules (rule_id, side: tokens, confidence, support) that lead to bad.
 
-    labels has page_id and bad (boolean). A rule also needs three bad pages' worth of support; a rule
-    whose left side holds that of another rule of at least its confidence is pruned, and no other is. The
+    labels has page_id and bad (boolean); pages whose hash leaves 0 after division by 3 are held out to test
+    the rules. A rule also needs three bad pages' worth of support; a rule
+    whose left side holds that of another rule of at least its confidence is pruned. The
     number of rules is bounded by the support, not by the number of pages.
 
     A side with two tokens of the same baskets is always pruned, as one of the two does; so one token of
@@ -100,8 +110,10 @@ def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_con
     """
     spark = rows.sparkSession
     known = labels.where(F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("__id")).agg(F.max("bad").alias("bad"))
-    baskets = rows.join(known, rows["page_id"] == known["__id"]).where(F.size("tokens") > 0)
-    baskets = written(baskets.select(F.monotonically_increasing_id().alias("basket"), "tokens", "bad"), "url-baskets")
+    labelled = rows.join(known, rows["page_id"] == known["__id"]).where(F.size("tokens") > 0)
+    labelled = labelled.select(F.monotonically_increasing_id().alias("basket"), "tokens", "bad", (F.pmod(F.xxhash64("page_id"), F.lit(3)) == 0).alias("held"))
+    labelled = written(labelled, "url-baskets")
+    baskets, held = labelled.where("not held"), labelled.where("held")
     schema = "rule_id bigint, side array<string>, confidence double, support double"
     n = baskets.count()
     if not n:
@@ -128,19 +140,30 @@ def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_con
     choices = kept.select("side", "confidence", "support", F.explode("side").alias("twin")).join(sets, "twin").groupBy("side", "confidence", "support").agg(F.collect_list("tokens").alias("sets"))
     sides = F.aggregate("sets", F.array(F.array().cast("array<string>")), lambda acc, s: F.flatten(F.transform(acc, lambda a: F.transform(s, lambda t: F.array_append(a, t)))))
     out = choices.select(F.explode(sides).alias("side"), "confidence", "support").withColumn("side", F.array_sort("side"))
-    return out.select(F.xxhash64("side").alias("rule_id"), "side", "confidence", "support")
+    out = written(out.select(F.xxhash64("side").alias("rule_id"), "side", "confidence", "support"), "url-candidates")
+    # What the rules say about pages that they weren't mined from.
+    base = held.agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()[0]
+    told = rule_hits(held.select(F.col("basket").alias("page_id"), "tokens"), out).join(held.select("basket", "bad"), F.col("page_id") == F.col("basket"))
+    tested = told.groupBy(F.col("rule_id").alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    sure = tested.where(wilson(F.col("n_bad"), F.col("n")) > LIFT * base).select("r")
+    return out.join(sure, F.col("rule_id") == F.col("r")).drop("r")
 
 
-def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id and the confidence and number of the rules that each URL fits, through an inverted index."""
+def rule_hits(own: DataFrame, rules: DataFrame) -> DataFrame:
+    """page_id, rule_id and confidence of the rules that each row (page_id, tokens) fits, through an inverted index."""
     used = rules.select(F.explode("side").alias("token"), "rule_id").select("token").distinct()
-    own = rows.select("page_id", "tokens").distinct()
     seen = own.select("page_id", F.explode("tokens").alias("token"))
     counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(used, "token")
     rarest = rules.select("rule_id", "side", "confidence", F.explode("side").alias("token")).join(counts, "token", "left")
     rarest = rarest.groupBy("rule_id", "side", "confidence").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token"))).alias("token"))
     found = own.select("page_id", "tokens", F.explode("tokens").alias("token")).join(rarest, "token")
-    return found.where(F.size(F.array_except("side", "tokens")) == 0).groupBy("page_id").agg(F.max("confidence").alias("confidence"), F.count_distinct("rule_id").alias("n_rules"))
+    return found.where(F.size(F.array_except("side", "tokens")) == 0).select("page_id", "rule_id", "confidence")
+
+
+def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """page_id and the confidence and number of the rules that each URL fits, through an inverted index."""
+    own = rows.select("page_id", "tokens").distinct()
+    return rule_hits(own, rules).groupBy("page_id").agg(F.max("confidence").alias("confidence"), F.count_distinct("rule_id").alias("n_rules"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, **mining: float) -> DataFrame:
