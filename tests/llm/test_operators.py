@@ -389,23 +389,38 @@ def test_mined_rules_against_brute_force(spark):
     rows = urls.with_tokens(spark.createDataFrame(pages, "page_id bigint, url string"))
     mined = urls.mine(rows, spark.createDataFrame(list(bad.items()), "page_id bigint, bad boolean"), 0.02, 0.7).collect()
     toks = {x.page_id: set(x.tokens) for x in rows.collect()}
+    held = {x.page_id for x in rows.where(F.pmod(F.xxhash64("page_id"), F.lit(3)) == 0).collect()}
+    base = sum(bad[i] for i in held) / len(held)
     assert mined
     for m in mined:
         own = [i for i in toks if set(m.side) <= toks[i]]
-        assert abs(sum(bad[i] for i in own) / len(own) - m.confidence) < 1e-9 and m.confidence >= 0.7
+        n, k = len(set(own) - held), sum(bad[i] for i in own if i not in held)
+        assert abs(k / n - m.confidence) < 1e-9 and m.confidence >= 0.7
+        n, k, z = len(set(own) & held), sum(bad[i] for i in own if i in held), urls.DEVIATIONS
+        q = k / n
+        assert (q + z * z / 2 / n - z * (q * (1 - q) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n) > urls.LIFT * base
     found = {x.page_id for x in urls.matches(rows, spark.createDataFrame(mined)).collect()}
     assert found == {i for i in toks if any(set(m.side) <= toks[i] for m in mined)}
 
 
+def test_labels_that_urls_do_not_tell_block_nothing(spark):
+    r = random.Random(4)
+    pages = [(i, f"http://{r.choice('abcdefgh')}.{r.choice('ijklmn')}.org/{r.choice('opqrst')}/{r.choice('uvwxyz')}") for i in range(900)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, r.random() < 0.26) for i in range(0, 900, 2)], "page_id bigint, bad boolean")
+    got = urls.judge(df, labels, ()).collect()
+    assert sum(g.verdict == "block" for g in got) <= 9
+
+
 def test_rules_from_whole_urls(spark):
     """Tokens past the eighth segment or key, long slugs, and rules of more than four tokens."""
     deep, many, slug = "/".join("abcdefghi"), "&".join(f"k{i}x=1" for i in range(20)), "s" * 70
     pages, bad = [], {}
-    for i in range(120):
+    for i in range(360):
         b = i % 3 == 0
         pages.append((i, [f"http://x.org/{deep}/{'evil' if b else 'good'}", f"http://y.org/?{many}&{'evil' if b else 'good'}=1", f"http://z.org/{slug}{'evil' if b else 'good'}"][i % 2 if i % 4 else 2]))
         bad[i] = b
-    for i, present in enumerate(itertools.chain.from_iterable(itertools.repeat(c, 4) for n in (4, 5) for c in itertools.combinations("vwxyu", n)), 1000):
+    for i, present in enumerate(itertools.chain.from_iterable(itertools.repeat(c, 40) for n in (4, 5) for c in itertools.combinations("vwxyu", n)), 1000):
         pages.append((i, "http://q.org/" + "/".join(f"five{x}" for x in present)))
         bad[i] = len(present) == 5
     pages += [(5000, f"http://o.net/{deep}/evil"), (5001, f"http://o.net/?{many}&evil=2"), (5002, f"http://o.net/{slug}evil"), (5003, "http://o.net/fivev/fivew/fivex/fivey/fiveu"), (5004, f"http://o.net/{slug}other"), (5005, "http://o.net/fivev/fivew/fivex/fivey")]
