@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import checks as K
+from tidemill.operators import experiments as EX
 from tidemill.operators import incremental as I
 from tidemill.operators import metrics as M
 from tidemill.operators import ml
+from tidemill.operators.rank import key_positions
 from tidemill.operators.sqlmodels import date_params, model_sql, rendered, run_models
+from tidemill.operators.steps import run_step
 from tidemill.operators.tables import DatedTable, RollupError, rollup, rollup_tiers
 from tidemill.sources import readers as R
 from tidemill.sources import writers as W
@@ -66,8 +69,21 @@ def test_propagation(spark):
         I.change_events(spark.createDataFrame([(1,)], "x int"))
     with pytest.raises(Exception, match="no source"):
         I.change_events(spark.createDataFrame([(None,)], "source string")).collect()
-    with pytest.raises(ValueError):
-        I.propagate(start, [{"from": "normalize", "to": "normalize", "mode": "key", "key_mapping": {"entity_id": "x"}}, {"from": "normalize", "to": "n2", "mode": "key", "key_mapping": {"x": "entity_id"}}], max_levels=1)
+    loop = I.propagate(start, [{"from": "normalize", "to": "n2", "mode": "key", "key_mapping": {"entity_id": "x"}}, {"from": "n2", "to": "normalize", "mode": "key", "key_mapping": {"x": "entity_id"}}])
+    found = [(u.node, u.key_json) for u in loop.collect()]
+    assert len(found) == 3 and {("n2", '{"x":"entity-1"}'), ("normalize", '{"entity_id":"entity-1"}')} < set(found)
+
+
+def test_manifests(spark):
+    m = "map<string,string>"
+    made = [("feed", "upsert", "key", {"id": str(i)}, {"day": f"2024-01-0{1 + i % 3}"}, {"who": "a" if i % 3 else "b"}, "a" if i % 3 else None) for i in range(30)]
+    changes = spark.createDataFrame(made, f"source string, change_type string, grain string, primary_key {m}, partition_keys {m}, entity_keys {m}, who string")
+    for by in ([], ["who"]):
+        built = I.build_manifests(changes, {"pipeline": "p"}, by, most=7)
+        assert built.agg(F.sum("record_count")).first()[0] == 30 and built.count() > 3
+        back = I.manifest_changes(built)
+        assert sorted(int(r.primary_key["id"]) for r in back.collect()) == list(range(30)) and back.first().pipeline == "p"
+    assert sorted(r[0] for r in I.manifest_values(back, "day").collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
 
 
 @pytest.mark.parametrize("prefer, key", [("daily", "data_2026_03_14.parquet"), ("monthly", "data_2026_03.parquet"), ("yearly", "data_2026.parquet")])
@@ -144,6 +160,66 @@ def test_tables(spark, tmp_path):
         t.compact("2030-01")
 
 
+def test_late_days_and_repeated_compaction(spark, tmp_path):
+    """A late day, a day ingested anew, an emptied day and a compaction after the daily files went."""
+    for layout in ("yyyy-MM-dd", "yyyyMMdd"):
+        t = DatedTable(spark, "t", f"{tmp_path}/{layout}", date_format=layout)
+        make = lambda *x: spark.createDataFrame([(v,) for v in x], "n int")
+        got = lambda: sorted((str(r["dt"])[-2:], r["n"]) for r in t.read().collect())  # noqa: E731, B023
+        t.ingest(make(1), "2024-01-01")
+        t.ingest(make(2), "2024-01-02")
+        assert t.compact("2024-01") == 2
+        t.ingest(make(3), "2024-01-03")
+        t.ingest(make(20), "2024-01-02")
+        assert got() == [("01", 1), ("02", 20), ("03", 3)]
+        assert t.compact("2024-01", delete=True) == 3 and got() == [("01", 1), ("02", 20), ("03", 3)]
+        assert not [d for d in os.listdir(t.daily) if d.startswith("dt=")]
+        t.ingest(make(4), "2024-01-04")
+        assert t.compact("2024-01", delete=True) == 4 and got() == [("01", 1), ("02", 20), ("03", 3), ("04", 4)]
+        t.ingest(make(), "2024-01-03")
+        assert got() == [("01", 1), ("02", 20), ("04", 4)]
+        assert t.compact("2024-01") == 3 and t.compact("2024-01") == 3 and got() == [("01", 1), ("02", 20), ("04", 4)]
+
+
+def test_steps():
+    with pytest.raises(ValueError, match="lacks need"):
+        run_step(lambda need: need, {"other": 1})
+    with pytest.raises(TypeError):
+        run_step(lambda x=1: x, {})
+
+
+def test_datasets_by_name_or_path(spark, tmp_path):
+    df = spark.range(3)
+    df.createOrReplaceTempView("ds_view")
+    df.write.parquet(f"{tmp_path}/part.parquet")
+    df.write.option("header", True).csv(f"{tmp_path}/c.csv")
+    assert [R.load_dataset(spark, n, str(tmp_path)).count() for n in ("ds_view", f"{tmp_path}/part.parquet", "part", "c.csv")] == [3] * 4
+    with pytest.raises(FileNotFoundError):
+        R.load_dataset(spark, "nowhere", str(tmp_path))
+    assert rows(R.relations(spark, "ds_*"), "name") == [("ds_view", True)]
+    assert [r.id for r in R.preview(df, 2, ["id"]).collect()] == [0, 1]
+
+
+def test_ranks_with_many_partitions(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"))
+    got = key_positions(df, ["k"], partitions=2000)
+    assert got.where("before <> k or place <> k or total <> 5000").count() == 0 and got.count() == 5000
+
+
+def test_experiment(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), float(i % 7), 2.0 * i + i % 7, float(i > 50), i % 9) for i in range(100)], "a double, b double, y double, k double, g int")
+    configs = {"good": {"model": "ridge", "features": ["a", "b"], "target": "y", "params": {"alpha": 0.01}}, "poor": {"model": "ridge", "features": ["b"], "target": "y"}, "broken": {"model": "ridge", "features": ["zz"], "target": "y"}}
+    EX.run_experiment(df, df, configs, str(tmp_path), "e")
+    runs, metrics = spark.read.parquet(f"{tmp_path}/runs"), spark.read.parquet(f"{tmp_path}/metrics")
+    listing = {r.name: r for r in EX.run_listing(runs, metrics).collect()}
+    assert {n: r.status for n, r in listing.items()} == {"good": "success", "poor": "success", "broken": "failed"} and "zz" in listing["broken"].error
+    assert set(listing["good"].metrics) == {"test_score", "rmse", "mae"} and listing["broken"].metrics is None
+    assert EX.best_run(runs, metrics, "test_score").first().name == "good" and EX.best_run(runs, metrics, "rmse", higher=False).first().name == "good"
+    c = {"model": "logistic_regression", "features": ["a", "b"], "target": "k"}
+    shares = EX.group_scores(ml.train(df, c), df, c, "g", ["a"])
+    assert all(abs(r[1] - 1) < 1e-9 for r in shares.groupBy("g").agg(F.sum("share")).collect()) and shares.count() == 100
+
+
 def test_models_and_checks(spark, tmp_path):
     spark.createDataFrame([(1, 5, "x"), (2, 7, None)], "id int, value int, name string").write.parquet(f"{tmp_path}/a")
     config = {
@@ -205,7 +281,20 @@ def test_streams(spark, tmp_path):
     out = S.drained(S.windowed_counts(stream("6h"), "ts", "1 day"))
     assert rows(out.select(F.dayofmonth("start"), "n"), "start")[:2] == [(1, 1), (2, 1)]  # the late row of day 1 was dropped
     assert S.drained(S.deduplicated(stream("30d"), ["id"])).count() == 6
-    assert S.drained(S.entity_states(stream(None), "id", "ts", "value"), "update").count() >= 1
+    states = S.drained(S.entity_states(stream(None), "id", "ts", "value"), "update", ["id"])
+    assert rows(states, "id") == [(1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (4, 1, 1.0), (5, 1, 1.0), (6, 2, 2.0)]
+    with pytest.raises(ValueError):
+        S.drained(S.entity_states(stream(None), "id", "ts", "value"), "update")
+    base = f"{tmp_path}/states"
+    S.persist_states(S.entity_states(stream(None), "id", "ts", "value"), base, "id", every=2)
+    latest = spark.read.parquet(f"{base}/latest")
+    assert rows(latest, "id") == rows(states, "id")
+    history = spark.read.parquet(f"{base}/history")
+    assert history.count() == 7 and rows(history.where("id = 6").select("n"), "n") == [(1,), (2,)]
+    assert {r[0] for r in spark.read.parquet(f"{base}/checkpoints").select("batch").distinct().collect()} == {1, 3}
+    os.makedirs(f"{tmp_path}/none")
+    nothing = S.file_stream(spark, f"{tmp_path}/none", "id bigint, ts timestamp, value double", "ts")
+    assert S.drained(S.entity_states(nothing, "id", "ts", "value"), "update", ["id"]).count() == 0 and S.drained(nothing).count() == 0
 
 
 def test_fold_from_checkpoint_and_asof(spark):

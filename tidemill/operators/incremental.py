@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,26 +48,46 @@ def affected_keys(events: DataFrame, node: str, grain: str, columns: list[str])
     return out.where(F.size("keys") > 0).withColumn("key_json", F.to_json("keys")).dropDuplicates(["node", "grain", "key_json"])
 
 
-def propagate(start: DataFrame, edges: list[Mapping[str, Any]], max_levels: int = 50) -> DataFrame:
-    """Work units (node, grain, keys, key_json) reached from the starting ones.
+def routes(edges: list[Mapping[str, Any]]) -> dict[str, list[tuple[str, str, tuple[tuple[str, str], ...]]]]:
+    """For each node all (node, grain, key renames) that it reaches, with the renames of a path put together.
 
-    edges: {from, to, mode: partition | key | entity, key_mapping: {column of from: column of to}}. Level
-    by level until no new unit appears, so units that reach a node late go on too. The edges are few and
-    declared, so each is a filter and a rename of keys.
+    There are finitely many renames, so cycles of the graph come to an end.
     """
-    done = level = stored(start.select("node", "grain", "keys", "key_json"), "units")
-    for _ in range(max_levels):
-        steps = []
-        for e in edges:
-            pairs = [F.struct(F.lit(b).alias("key"), F.try_element_at("keys", F.lit(a)).alias("value")) for a, b in sorted(e["key_mapping"].items(), key=lambda p: p[1])]
-            keys = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
-            steps.append(level.where(F.col("node") == e["from"]).select(F.lit(e["to"]).alias("node"), F.lit(e["mode"]).alias("grain"), keys.alias("keys")).where(F.size("keys") > 0))
-        new = reduce(DataFrame.unionByName, steps).withColumn("key_json", F.to_json("keys")).dropDuplicates(["node", "grain", "key_json"])
-        level = stored(new.join(done, ["node", "grain", "key_json"], "left_anti").select("node", "grain", "keys", "key_json"), "units")
-        if level.isEmpty():
-            return done
-        done = done.unionByName(level)
-    raise ValueError("the dependencies don't come to an end")
+    out: dict[str, list] = {}
+    for start in {e["from"] for e in edges}:
+        seen, todo = [], [(start, None)]
+        while todo:
+            node, names = todo.pop()
+            for e in edges:
+                if e["from"] == node:
+                    steps = e["key_mapping"]
+                    new = dict(steps) if names is None else {a: steps[b] for a, b in names.items() if b in steps}
+                    one = (e["to"], e["mode"], tuple(sorted(new.items(), key=lambda p: p[1])))
+                    if new and one not in seen:
+                        seen.append(one)
+                        todo.append((e["to"], new))
+        out[start] = seen
+    return out
+
+
+def propagate(start: DataFrame, edges: list[Mapping[str, Any]]) -> DataFrame:
+    """Work units (node, grain, keys, key_json) reached from the starting ones, these included.
+
+    edges: {from, to, mode: partition | key | entity, key_mapping: {column of from: column of to}}. They are
+    few and declared, so all ways through them are a constant table: each unit looks its node up, and one
+    aggregation removes repeats.
+    """
+    ways = {node: found for node, found in routes(edges).items() if found}
+    units = start.select("node", "grain", "keys")
+    if ways:
+        pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+        way = lambda to, mode, names: F.struct(F.lit(to).alias("to"), F.lit(mode).alias("mode"), F.array(*[pair(a, b) for a, b in names]).alias("names"))
+        known = F.create_map(*[c for node, found in sorted(ways.items()) for c in (F.lit(node), F.array(*[way(*w) for w in found]))])
+        entries = F.transform("w.names", lambda p: F.struct(p["b"].alias("key"), F.try_element_at("keys", p["a"]).alias("value")))
+        keys = F.map_from_entries(F.filter(entries, lambda p: p["value"].isNotNull()))
+        reached = units.select("keys", F.explode(known[F.col("node")]).alias("w")).select(F.col("w.to").alias("node"), F.col("w.mode").alias("grain"), keys.alias("keys"))
+        units = units.union(reached.where(F.size("keys") > 0))
+    return units.withColumn("key_json", F.to_json("keys")).dropDuplicates(["node", "grain", "key_json"])
 
 
 def touched(df: DataFrame, column: str) -> DataFrame:
@@ -105,11 +124,10 @@ def key_upsert(incoming: DataFrame, path: str, keys: list[str], order_by: list[s
         kept = old.join(fresh.select(*keys), keys, "left_anti") if keys else old.limit(0)
         merged = kept.unionByName(fresh, allowMissingColumns=True)
     if partition:
-        merged = stored(merged, "merged")  # Spark can't overwrite what it reads
         if global_key:
-            swap_partitioned(merged, path, partition)
+            swap_partitioned(stored(merged, "merged"), path, partition)  # Spark can't overwrite what it reads
         else:
-            write_partitioned(merged, path, partition)
+            write_partitioned(merged, path, partition)  # only partitions are replaced, after all has been written beside them
         return touched(fresh, partition)
     swap(merged, path)
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
@@ -133,6 +151,25 @@ def materialise(df: DataFrame, strategy: str, path: str, **options: Any) -> Data
 MANIFEST = "manifest_version string, pipeline string, source string, normalized_dataset string, run_id string, produced_at string, mode string, changes array<struct<source:string,change_type:string,grain:string,primary_key:map<string,string>,partition_keys:map<string,string>,entity_keys:map<string,string>>>"
 
 
+def build_manifests(changes: DataFrame, header: Mapping[str, str], by: list[str] | None = None, most: int = 10_000) -> DataFrame:
+    """run_id, record_count and manifest (JSON) of changes (source, change_type, grain and the key maps), by the given columns.
+
+    A manifest has about `most` changes: those of a group are dealt to as many manifests as they need, so no
+    document grows with its group.
+    """
+    by = by or []
+    names = ["source", "change_type", "grain", *MAPS]
+    keyed = changes.select(*by, F.lit(0).alias("__all"), F.to_json(F.struct(*names)).alias("c"))
+    groups = [*by, "__all"]
+    sizes = keyed.groupBy(*[F.col(c).alias(f"__{c}") for c in groups]).agg(F.count(F.lit(1)).alias("n"))
+    rows = keyed.join(sizes, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in groups]).select(*by, "c", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / most)).cast("int").alias("part"))
+    run_id = F.concat_ws("-", *[F.col(c).cast("string") for c in by], F.col("part").cast("string"))
+    out = rows.groupBy(*by, "part").agg(F.array_sort(F.collect_list("c")).alias("all"))
+    head = F.to_json(F.struct(F.lit("1").alias("manifest_version"), *[F.lit(v).alias(k) for k, v in header.items()], run_id.alias("run_id")))
+    whole = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"changes":['), F.array_join("all", ","), F.lit("]}"))
+    return out.select(*by, run_id.alias("run_id"), F.size("all").cast("long").alias("record_count"), whole.alias("manifest"))
+
+
 def manifest_changes(df: DataFrame, column: str = "manifest") -> DataFrame:
     """One row for each change of JSON manifests, with the header's run_id."""
     m = df.select(F.from_json(column, MANIFEST).alias("m"))

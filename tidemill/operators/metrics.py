@@ -111,9 +111,8 @@ def split_time(df: DataFrame, time: str, cutoff: str | None = None, test_size: f
     """Adds is_test: at or after the cutoff, or the last share of rows in order of time and tiebreak (unique together)."""
     if cutoff is not None:
         return df.withColumn("is_test", F.col(time) >= F.lit(cutoff).cast("timestamp"))
-    ranked = global_rank(df, [time, *(tiebreak or [])])
-    n = df.count()
-    return ranked.withColumn("is_test", F.col("rank") > int(n * (1 - test_size))).drop("rank", "dense_rank", "percent_rank", "cume_dist")
+    ranked = global_rank(df, [time, *(tiebreak or [])], total=True)
+    return ranked.withColumn("is_test", F.col("rank") > F.floor(F.col("total_rows") * (1 - test_size))).drop("rank", "dense_rank", "percent_rank", "cume_dist", "total_rows")
 
 
 def split_group_time(df: DataFrame, group: str, time: str, test_size: float) -> DataFrame:

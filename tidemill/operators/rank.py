@@ -20,20 +20,20 @@ def key_positions(df: DataFrame, order_by: list[str], partitions: int | None = N
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     ranged = counts.repartitionByRange(partitions, *ordering(order_by)).withColumn("part", F.spark_partition_id())
     ranged = stored(ranged.sortWithinPartitions(*ordering(order_by)), "rank-keys")
-    # a row for each range
-    parts = sorted((r["part"], r["rows"], r["keys"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys")).collect())
-    rows_before, keys_before, total, distinct = F.lit(0), F.lit(0), 0, 0
-    for part, rows, n in parts:
-        rows_before, keys_before = F.when(F.col("part") == part, total).otherwise(rows_before), F.when(F.col("part") == part, distinct).otherwise(keys_before)
-        total, distinct = total + rows, distinct + n
+    # A row for each range, so at most `partitions` rows: they become a small table of offsets.
+    parts, offsets, total, distinct = ranged.groupBy("part").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys")).collect(), [], 0, 0
+    for r in sorted(parts):
+        offsets.append((r["part"], total, distinct))
+        total, distinct = total + r["rows"], distinct + r["keys"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "part int, rows_before bigint, keys_before bigint"))
     own = Window.partitionBy("part").orderBy(*ordering(order_by))
-    before = F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") + rows_before
-    place = F.row_number().over(own) - 1 + keys_before
-    return ranged.select(*keys, "n", before.cast("bigint").alias("before"), place.cast("bigint").alias("place"), F.lit(total).cast("bigint").alias("total"))
+    before = F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") + F.col("rows_before")
+    place = F.row_number().over(own) - 1 + F.col("keys_before")
+    return ranged.join(starts, "part").select(*keys, "n", before.cast("bigint").alias("before"), place.cast("bigint").alias("place"), F.lit(total).cast("bigint").alias("total"))
 
 
-def global_rank(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """df with rank, dense_rank, percent_rank and cume_dist over all rows; with a unique order, rank is the row number."""
+def global_rank(df: DataFrame, order_by: list[str], total: bool = False) -> DataFrame:
+    """df with rank, dense_rank, percent_rank and cume_dist over all rows, and their number on request; with a unique order, rank is the row number."""
     keys = [o.split()[0] for o in order_by]
     places = key_positions(df, order_by).select(*[F.col(k).alias(f"__{k}") for k in keys], "n", "before", "place", "total")
     same = None
@@ -43,5 +43,5 @@ def global_rank(df: DataFrame, order_by: list[str]) -> DataFrame:
     share = F.when(F.col("total") > 1, F.col("before") / (F.col("total") - 1)).otherwise(0.0)
     return df.join(places, same).select(
         *[df[c] for c in df.columns], (F.col("before") + 1).alias("rank"), (F.col("place") + 1).alias("dense_rank"),
-        share.alias("percent_rank"), ((F.col("before") + F.col("n")) / F.col("total")).alias("cume_dist"),
+        share.alias("percent_rank"), ((F.col("before") + F.col("n")) / F.col("total")).alias("cume_dist"), *([F.col("total").alias("total_rows")] if total else []),
     )

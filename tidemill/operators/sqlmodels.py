@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.operators.checks import run_checks
 from tidemill.sources.readers import register
@@ -42,11 +44,30 @@ def model_sql(model: Mapping[str, Any]) -> str:
         return f.read()
 
 
-def run_models(spark: SparkSession, config: Mapping[str, Any], params: Mapping[str, Any] | None = None, base: str = "") -> dict[str, DataFrame]:
+class ModelRun(dict):
+    """The models' DataFrames by name. As a context it lets go of materialised ones at the end."""
+
+    def counts(self) -> DataFrame:
+        """model and rows of every model, in one job."""
+        each = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("model"), "rows") for name, df in self.items()]
+        return reduce(DataFrame.union, each)
+
+    def release(self) -> None:
+        for df in self.values():
+            df.unpersist()
+
+    def __enter__(self) -> ModelRun:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
+
+
+def run_models(spark: SparkSession, config: Mapping[str, Any], params: Mapping[str, Any] | None = None, base: str = "") -> ModelRun:
     """sources, models {name, sql, materialized: view | table, output}, validations. Checks run before outputs are written (validate: after turns that round)."""
     config = rendered(config, date_params(params or {}))
     register(spark, config.get("sources", {}), base)
-    out: dict[str, DataFrame] = {}
+    out = ModelRun()
     for m in config["models"]:
         df = spark.sql(model_sql(m))
         if m.get("materialized", "view") == "table":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.exprs import partition_segment
 from tidemill.operators import incremental as I
 from tidemill.operators.history import History
+from tidemill.operators.steps import run_step
 from tidemill.operators.tables import DatedTable, expected_files, rollup, rollup_tiers
 from tidemill.plans.registry import query, table
 from tidemill.sources import readers as R
@@ -126,16 +127,55 @@ def compact_month(spark: SparkSession, sf: str) -> DataFrame:
     return t.read().select("event_id", "value", "dt")
 
 
+@query("compact_late_day", """
+WITH r AS (SELECT event_id, value, CAST(ts AS DATE) AS dt FROM events)
+SELECT event_id, CASE WHEN day(dt) = 3 THEN value * 2 WHEN day(dt) = 5 THEN value + 1 ELSE value END AS value, dt FROM r
+""")
+def compact_late_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Every month is compacted, its daily files removed; then a late day comes, one is ingested anew, and months are compacted again."""
+    t, rows = DatedTable(spark, "ev", scratch_path(spark, "table"), date_format="yyyyMMdd"), _daily_orders(spark, sf)
+    t.ingest_all(rows.where("day(day) <> 7"), "day")
+    months = [r[0] for r in rows.select(F.date_format("day", "yyyy-MM").alias("m")).distinct().orderBy("m").collect()]  # a row a month
+    for m in months:
+        t.compact(m, delete=True)
+    t.ingest_all(rows.where("day(day) in (3, 7)").withColumn("value", F.expr("CASE WHEN day(day) = 3 THEN value * 2 ELSE value END")), "day")
+    for m in months:
+        t.compact(m)
+    t.ingest_all(rows.where("day(day) = 5").withColumn("value", F.col("value") + 1), "day")
+    return t.read().select("event_id", "value", "dt")
+
+
+@query("ingest_from_source", "SELECT CAST(min(CAST(ts AS DATE)) AS DATE) AS dt, COUNT(*) AS n FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) AND event_type = 'click'")
+def ingest_from_source(spark: SparkSession, sf: str) -> DataFrame:
+    """A source function is called with the date and its own parameters."""
+    e = table(spark, sf, "events")
+
+    def clicks(date: str, kind: str) -> DataFrame:
+        return e.where((F.to_date("ts") == F.lit(date).cast("date")) & (F.col("event_type") == kind)).select("event_id", "value")
+
+    t = DatedTable(spark, "clicks", scratch_path(spark, "table"))
+    t.ingest_from(clicks, str(e.agg(F.min(F.to_date("ts"))).first()[0]), kind="click", unused=1)
+    return t.read().groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("run_step", "SELECT user_id, COUNT(*) AS n FROM events WHERE value > 20 GROUP BY 1")
+def python_step(spark: SparkSession, sf: str) -> DataFrame:
+    def busy(rows: DataFrame, least: float) -> DataFrame:
+        return rows.where(F.col("value") > least).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+    return run_step(busy, {"rows": table(spark, sf, "events"), "least": 20, "other": None})
+
+
 _FILES = """SELECT DISTINCT 'events' AS "table", 'data_' || strftime(ts, '%Y_%m_%d') || '.parquet' AS key FROM events WHERE day(ts) % 2 = 0
-UNION ALL SELECT DISTINCT 'events', 'data_' || strftime(ts, '%Y_%m') || '.parquet' FROM events UNION ALL SELECT 'events', 'data_2024.parquet'"""
+UNION ALL SELECT DISTINCT 'events', 'data_' || strftime(ts, '%Y_%m') || '.parquet' FROM events UNION ALL SELECT DISTINCT 'events', 'data_' || strftime(ts, '%Y') || '.parquet' FROM events"""
 
 
 def _catalogue(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     name = lambda f: F.concat(F.lit("data_"), F.date_format("ts", f), F.lit(".parquet")).alias("key")
     days = e.where("day(ts) % 2 = 0").select(name("yyyy_MM_dd")).distinct()
-    keys = days.union(e.select(name("yyyy_MM")).distinct()).union(spark.range(1).select(F.lit("data_2024.parquet").alias("key")))
-    return R.with_tier(keys.select(F.lit("events").alias("table"), "key"))
+    keys = days.union(e.select(name("yyyy_MM")).distinct()).union(e.select(name("yyyy")).distinct())
+    return stored(R.with_tier(keys.select(F.lit("events").alias("table"), "key")), "catalogue")
 
 
 @query("infer_tier_from_key", f"""
@@ -188,8 +228,8 @@ def rollup_simple(spark: SparkSession, sf: str) -> DataFrame:
 @query("rollup_completeness", "SELECT strftime(o_orderdate, '%Y-%m') AS \"month\", COUNT(DISTINCT CAST(o_orderdate AS DATE)) AS days, day(last_day(min(CAST(o_orderdate AS DATE)))) AS expected FROM orders GROUP BY 1")
 def rollup_completeness(spark: SparkSession, sf: str) -> DataFrame:
     days = table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count_distinct(F.col("o_orderdate").cast("date")).alias("days"))
-    need = [F.struct(F.lit(f"{y}-{m:02d}").alias("m"), F.lit(expected_files("monthly", f"{y}-{m:02d}")).cast("bigint").alias("expected")) for y in range(1995, 2002) for m in range(1, 13)]
-    table_of = spark.range(1).select(F.explode(F.array(*need)).alias("e")).select("e.*")
+    months = [r[0] for r in days.select("month").distinct().collect()]  # a row a month
+    table_of = spark.createDataFrame([(m, expected_files("monthly", m)) for m in months], "m string, expected bigint")
     return days.join(table_of, F.col("month") == F.col("m")).select("month", "days", "expected")
 
 
@@ -200,8 +240,10 @@ def rollup_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     make_dir(spark, f"{base}/daily")
     for d in [r[0] for r in e.select("day").distinct().collect()]:  # a row a day
         W.rename_path(spark, f"{base}/parts/file=data_{d:%Y_%m_%d}", f"{base}/daily/data_{d:%Y_%m_%d}")
-    rollup_tiers(spark, base, "{tier}/data_{period}", [2024], {2024: [1]})
-    return R.read_files(spark, f"{base}/yearly/data_2024").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    months = [(r[0], r[1]) for r in e.select(F.year("day"), F.month("day")).distinct().collect()]  # a row a month
+    years = sorted({y for y, _ in months})
+    rollup_tiers(spark, base, "{tier}/data_{period}", years, {y: sorted(m for x, m in months if x == y) for y in years})
+    return R.read_files(spark, [f"{base}/yearly/data_{y}" for y in years]).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 # Incremental refresh ------------------------------------------------------------------
@@ -302,22 +344,34 @@ def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_files(spark, path)
 
 
-_MANIFEST = """to_json(named_struct('manifest_version', '1', 'pipeline', 'events', 'source', 'feed', 'run_id', cast(user_id as string), 'mode', 'incremental', 'changes',
- collect_list(named_struct('source', 'feed', 'change_type', 'upsert', 'grain', 'key', 'primary_key', map('event_id', cast(event_id as string)), 'partition_keys', map('partition_date', date_format(ts, 'yyyy-MM-dd')), 'entity_keys', map('user_id', cast(user_id as string))))))"""
+def _manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes read back from manifests of at most about 50 changes each, built by user."""
+    e = table(spark, sf, "events")
+    m = lambda k, v: F.create_map(F.lit(k), v.cast("string"))
+    changes = e.select(
+        F.col("user_id").alias("user"), F.lit("feed").alias("source"), F.lit("upsert").alias("change_type"), F.lit("key").alias("grain"), m("event_id", F.col("event_id")).alias("primary_key"),
+        m("partition_date", F.date_format("ts", "yyyy-MM-dd")).alias("partition_keys"), m("user_id", F.col("user_id")).alias("entity_keys"),
+    )
+    return I.build_manifests(changes, {"pipeline": "events", "source": "feed", "mode": "incremental"}, ["user"], most=50)
 
 
-def _manifests(spark: SparkSession, sf: str) -> DataFrame:
-    return I.manifest_changes(table(spark, sf, "events").groupBy("user_id").agg(F.expr(_MANIFEST).alias("manifest")))
+@query("manifest_build", "SELECT CAST(user_id AS VARCHAR) AS user, COUNT(*) AS record_count, COUNT(*) AS changes, COUNT(DISTINCT event_id) AS events FROM events GROUP BY 1")
+def manifest_build(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that manifests state, and those of the changes read back from them."""
+    built = stored(_manifests(spark, sf), "manifests")
+    stated = built.groupBy(F.col("user").cast("string").alias("user")).agg(F.sum("record_count").alias("record_count"))
+    back = I.manifest_changes(built).groupBy(F.split("run_id", "-")[0].alias("u")).agg(F.count(F.lit(1)).alias("changes"), F.count_distinct(F.col("primary_key")["event_id"]).alias("events"))
+    return stated.join(back, F.col("user") == F.col("u")).drop("u")
 
 
 @query("manifest_partitions", "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS partition_date FROM events")
 def manifest_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    return I.manifest_values(_manifests(spark, sf), "partition_date")
+    return I.manifest_values(I.manifest_changes(_manifests(spark, sf)), "partition_date")
 
 
 @query("manifest_summary", "SELECT CAST(user_id AS VARCHAR) AS run_id, COUNT(*) AS changes, COUNT(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1")
 def manifest_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _manifests(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct(F.col("partition_keys")["partition_date"]).alias("days"))
+    return I.manifest_changes(_manifests(spark, sf)).withColumn("run_id", F.split("run_id", "-")[0]).groupBy("run_id").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct(F.col("partition_keys")["partition_date"]).alias("days"))
 
 
 # Entity state ---------------------------------------------------------------------------
@@ -400,9 +454,11 @@ def stream_watermark(spark: SparkSession, sf: str) -> DataFrame:
     return S.drained(S.windowed_counts(_stream(spark, sf), "ts", "1 day"), "append").select(F.unix_micros("start").alias("us"), "n")
 
 
-@query("stream_dedupe", "SELECT user_id, event_type, COUNT(*) > 0 AS seen FROM events GROUP BY 1, 2")
+@query("stream_dedupe", "SELECT user_id, event_type, COUNT(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) FROM events) GROUP BY 1, 2")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return S.drained(S.deduplicated(_stream(spark, sf, "60d"), ["user_id", "event_type"]), "append").select("user_id", "event_type", F.lit(True).alias("seen"))
+    """Each user's first event of a type and day, counted from what the stream let through."""
+    once = S.deduplicated(_stream(spark, sf, "60d").withColumn("day", F.to_date("ts")), ["user_id", "event_type", "day"])
+    return S.drained(once, "append").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("late_events_batch", "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n, round(SUM(value), 4) AS total FROM events GROUP BY 1")
@@ -411,7 +467,7 @@ def late_events_batch(spark: SparkSession, sf: str) -> DataFrame:
     path, feed, e = scratch_path(spark, "days"), scratch_path(spark, "feed"), table(spark, sf, "events")
     seen = e.withColumn("day", F.to_date("ts"))
     for i, cond in enumerate(("day(ts) < 10 and event_id % 5 <> 0", "day(ts) >= 10 and event_id % 5 <> 0", "event_id % 5 = 0")):
-        e.where(cond).coalesce(1).write.mode("append").parquet(f"{feed}/f{i}")
+        e.where(cond).write.mode("append").parquet(f"{feed}/f{i}")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(feed).withColumn("day", F.to_date("ts"))
     build = lambda days: seen.join(days, "day", "left_semi").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     S.stream_partitions(stream, build, path, "day")
@@ -426,6 +482,46 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_files(spark, path).select("user_id", "day", "event_id", "value")
 
 
+def _event_feed(spark: SparkSession, sf: str, parts: int = 3) -> DataFrame:
+    """A stream of events that come in several batches."""
+    feed, e = scratch_path(spark, "feed"), table(spark, sf, "events")
+    for i in range(parts):
+        e.where(F.pmod("event_id", F.lit(parts)) == i).coalesce(1).write.mode("append").parquet(f"{feed}/f{i}")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(feed).select("user_id", "ts", "value")
+
+
 @query("stream_entity_state", "SELECT user_id, COUNT(*) AS n, round(SUM(value), 4) AS total FROM events GROUP BY 1")
 def stream_entity_state(spark: SparkSession, sf: str) -> DataFrame:
-    return S.drained(S.entity_states(_stream(spark, sf, None).select("user_id", "ts", "value"), "user_id", "ts", "value"), "update").withColumn("total", F.round("total", 4))
+    """State that goes on over batches; the last of each user."""
+    return S.drained(S.entity_states(_event_feed(spark, sf), "user_id", "ts", "value"), "update", ["user_id"]).withColumn("total", F.round("total", 4))
+
+
+@query("stream_state_tables", """
+WITH b AS (SELECT user_id, event_id % 3 AS b, value FROM events), s AS (SELECT DISTINCT user_id, b FROM b)
+SELECT user_id, (SELECT COUNT(*) FROM events e WHERE e.user_id = s.user_id) AS latest_n, COUNT(*) AS history_rows, (SELECT COUNT(*) FROM events e WHERE e.user_id = s.user_id) AS checkpoint_n FROM s GROUP BY 1
+""")
+def stream_state_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest states, the history of each batch's changes, and the last checkpoint."""
+    base = scratch_path(spark, "states")
+    S.persist_states(S.entity_states(_event_feed(spark, sf), "user_id", "ts", "value"), base, "user_id", every=1)
+    history = R.read_files(spark, f"{base}/history").groupBy("user_id").agg(F.count(F.lit(1)).alias("history_rows"))
+    last = R.read_files(spark, f"{base}/checkpoints").groupBy("user_id").agg(F.max_by("n", "batch").alias("checkpoint_n"))
+    return R.read_files(spark, f"{base}/latest").select("user_id", F.col("n").alias("latest_n")).join(history, "user_id").join(last, "user_id")
+
+
+class _Clicks(S.StateProcessor):
+    """The largest value and the number of values over 50."""
+
+    schema = "top double, high bigint"
+
+    def start(self) -> tuple:
+        return (0.0, 0)
+
+    def apply(self, state: tuple, events) -> tuple:  # noqa: ANN001
+        return (max(state[0], float(events[self.value].max())), state[1] + int((events[self.value] > 50).sum()))
+
+
+@query("stream_custom_state", "SELECT user_id, greatest(0, MAX(value)) AS top, COUNT(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY 1")
+def stream_custom_state(spark: SparkSession, sf: str) -> DataFrame:
+    """A processor of one's own."""
+    return S.drained(S.entity_states(_event_feed(spark, sf), "user_id", "ts", "value", _Clicks("value")), "update", ["user_id"])

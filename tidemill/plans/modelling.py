@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import checks as K
+from tidemill.operators import experiments as EX
 from tidemill.operators import metrics as M
 from tidemill.operators import ml
 from tidemill.operators.features import aggregate
@@ -28,6 +29,14 @@ def sql_models(spark: SparkSession, sf: str) -> DataFrame:
     })["sm_busy"]
 
 
+@query("sql_model_counts", "SELECT 'mc_by_customer' AS model, COUNT(DISTINCT o_custkey) AS \"rows\" FROM orders UNION ALL SELECT 'mc_all', COUNT(*) FROM orders")
+def sql_model_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The row count of each model."""
+    models = [{"name": "mc_by_customer", "sql": "SELECT o_custkey, COUNT(*) AS n FROM mc_orders GROUP BY 1", "materialized": "table"}, {"name": "mc_all", "sql": "SELECT * FROM mc_orders"}]
+    with run_models(spark, {"sources": {"mc_orders": {"path": f"{sf}/orders.parquet"}}, "models": models}) as run:
+        return stored(run.counts(), "model-counts")
+
+
 @query("sql_models_templated", "SELECT CAST(o_orderdate AS DATE) AS day, COUNT(*) AS n FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderstatus = 'F' GROUP BY 1")
 def sql_models_templated(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "templated")
@@ -325,3 +334,70 @@ def feature_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     scored = table(spark, sf, "lineitem").where("l_quantity > 10 and l_discount > 0.05")
     W.write_output(scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"), path)
     return read_files(spark, path)
+
+
+# Experiments: what doesn't depend on the fit is checked in SQL ------------------------------------
+
+
+def _experiment(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    path, rows = scratch_path(spark, "experiment"), _training(spark, sf)
+    configs = {
+        "ridge": _CONFIGS["ridge"], "trees": {**_CONFIGS["boosting"], "params": {"n_estimators": 2}}, "leaky": {**_CONFIGS["ridge"], "leakage_columns": ["l_tax"]},
+        "odd": {**_CONFIGS["ridge"], "model": "no such model"},
+    }
+    EX.run_experiment(rows.where("not is_test"), rows.where("is_test"), configs, path, "lines")
+    return spark.read.parquet(f"{path}/runs"), spark.read.parquet(f"{path}/metrics")
+
+
+@query("experiment_runs", "SELECT name, status, n_metrics FROM (VALUES ('ridge', 'success', 3), ('trees', 'success', 3), ('leaky', 'failed', 0), ('odd', 'failed', 0)) t(name, status, n_metrics) WHERE (SELECT COUNT(*) FROM lineitem) > 0")
+def experiment_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run with its status and number of metrics; two of four configurations fail, the others go on."""
+    return EX.run_listing(*_experiment(spark, sf)).select("name", "status", F.coalesce(F.cardinality("metrics"), F.lit(0)).alias("n_metrics"))
+
+
+@query("experiment_best", "SELECT 'test_score' AS metric, true AS is_best FROM lineitem LIMIT 1")
+def experiment_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The best run by R squared, held against the best of all metrics."""
+    runs, metrics = _experiment(spark, sf)
+    top = metrics.where("metric = 'test_score'").agg(F.max("value").alias("top"))
+    return EX.best_run(runs, metrics, "test_score").join(top, F.col("value") == F.col("top"), "left").select(F.lit("test_score").alias("metric"), F.col("top").isNotNull().alias("is_best"))
+
+
+@query("group_score_shares", "SELECT l_orderkey, COUNT(*) AS n, 1.0 :: DOUBLE AS total FROM lineitem GROUP BY 1")
+def group_score_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a trained model compared inside each order: the shares of a group add up to 1."""
+    rows, config = _training(spark, sf), _CONFIGS["ridge"]
+    config = {**config, "target": "price", "features": ["l_discount", "l_tax", "l_quantity"]}
+    scaled = rows.withColumn("price", F.col("l_extendedprice") / 10000)
+    out = EX.group_scores(ml.train(scaled.where("not is_test"), config), scaled, config, "l_orderkey", LINE_KEY[1:])
+    return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("share"), 6).alias("total"))
+
+
+@query("test_output_columns", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_extendedprice AS l_extendedprice_actual, true AS predicted FROM lineitem")
+def test_output_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The test output's keys, features and actual values for all rows; the prediction is there."""
+    rows, config = _training(spark, sf), _CONFIGS["ridge"]
+    out = ml.predictions(ml.train(rows.where("not is_test"), config), rows, config, ["l_orderkey", "l_linenumber", *config["features"]])
+    return out.select("l_orderkey", "l_linenumber", *config["features"], "l_extendedprice_actual", F.col("l_extendedprice_pred").isNotNull().alias("predicted"))
+
+
+_SCORED = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST('10' AS VARCHAR) AS param_min_quantity, true AS sums_to_one FROM lineitem WHERE l_quantity > 10"
+
+
+@query("predict_batch_columns", _SCORED)
+def predict_batch_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Row keys and parameters of batch scoring; the classes' probabilities add up to 1."""
+    out = _predicted(spark, sf)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "param_min_quantity", (F.abs(F.col("prob_other") + F.col("prob_returned") - 1) < 1e-6).alias("sums_to_one"))
+
+
+@query("predict_roundtrip", "SELECT l_orderkey, l_linenumber, DATE '2024-02-01' AS dt, true AS same FROM lineitem WHERE l_quantity > 10")
+def predict_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions read back from a dated table, row by row as they were scored, with the features that were scored beside them."""
+    path, out = scratch_path(spark, "prediction-table"), _predicted(spark, sf)
+    W.write_partitioned(W.with_ingest_date(out, "parameter", "run_date", {"run_date": "2024-02-01"}), path, by="dt")
+    row = lambda df: F.xxhash64(*[df[c] for c in sorted(out.columns)])
+    back = read_files(spark, path)
+    back = back.select("l_orderkey", "l_linenumber", "dt", row(back).alias("h"))
+    sent = out.select(row(out).alias("sent")).distinct()
+    return back.join(sent, F.col("h") == F.col("sent"), "left").select("l_orderkey", "l_linenumber", "dt", F.col("sent").isNotNull().alias("same"))

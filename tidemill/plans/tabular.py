@@ -11,6 +11,7 @@ from tidemill.operators.dataset import build_dataset, merge_sources
 from tidemill.operators.history import History
 from tidemill.operators.rank import global_rank
 from tidemill.plans.registry import query, table
+from tidemill.sources import readers as R
 from tidemill.sources.readers import read_files, register
 from tidemill.sources.scratch import scratch_path
 
@@ -279,7 +280,14 @@ def param_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {"o": table(spark, sf, "orders").where("o_custkey % 3 <> 0"), "c": table(spark, sf, "customer").where("c_custkey % 5 <> 0"), "n": table(spark, sf, "nation")}
+    """All orders and customers; some keys are moved out of range, so that both sides have rows without a partner."""
+    orders = table(spark, sf, "orders").withColumn("o_custkey", F.expr("CASE WHEN o_custkey % 3 = 0 THEN -o_custkey ELSE o_custkey END"))
+    customers = table(spark, sf, "customer").withColumn("c_custkey", F.expr("CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END"))
+    return {"o": orders, "c": customers, "n": table(spark, sf, "nation")}
+
+
+_O = "(SELECT * REPLACE (CASE WHEN o_custkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey) FROM orders)"
+_C = "(SELECT * REPLACE (CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS c_custkey) FROM customer)"
 
 
 def _merged(spark: SparkSession, sf: str, how: str) -> DataFrame:
@@ -289,14 +297,14 @@ def _merged(spark: SparkSession, sf: str, how: str) -> DataFrame:
 
 
 def _merge_sql(how: str) -> str:
-    return f"SELECT o_orderkey, c_custkey, COALESCE(c_mktsegment, 'none') AS segment FROM (SELECT * FROM orders WHERE o_custkey % 3 <> 0) {how} JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey"
+    return f"SELECT o_orderkey, c_custkey, COALESCE(c_mktsegment, 'none') AS segment FROM {_O} {how} JOIN {_C} ON o_custkey = c_custkey"
 
 
 for _how, _sql in (("left", "LEFT"), ("inner", "INNER"), ("right", "RIGHT"), ("outer", "FULL")):
     query(f"merge_{'full' if _how == 'outer' else _how}", _merge_sql(_sql))(lambda spark, sf, how=_how: _merged(spark, sf, how))
 
 
-@query("merge_multi", "SELECT o_orderkey, c_name, n_name, CAST(round_even(o_totalprice, 0) AS INT) AS price FROM (SELECT * FROM orders WHERE o_custkey % 3 <> 0) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+@query("merge_multi", f"SELECT o_orderkey, c_name, n_name, CAST(round_even(o_totalprice, 0) AS INT) AS price FROM {_O} LEFT JOIN {_C} ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def merge_multi(spark: SparkSession, sf: str) -> DataFrame:
     return merge_sources(_sources(spark, sf), {
         "sources": [{"name": "o"}, {"name": "c", "join": {"type": "left", "on": [{"left": "o.o_custkey", "right": "c.c_custkey"}]}}, {"name": "n", "join": {"type": "left", "on": [{"left": "c.c_nationkey", "right": "n.n_nationkey"}]}}],
@@ -391,10 +399,10 @@ def global_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("p_partkey", "rank", "dense_rank", F.round("percent_rank", 8).alias("percent_rank"), F.round("cume_dist", 8).alias("cume_dist"))
 
 
-@query("order_nulls_last", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS k FROM orders ORDER BY k NULLS LAST, o_orderkey DESC LIMIT 500")
+@query("order_nulls_last", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS k FROM orders ORDER BY k NULLS LAST, o_orderkey DESC")
 def order_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("k"))
-    return rows.orderBy(*X.ordering(["k", "o_orderkey DESC"])).limit(500)
+    return rows.orderBy(*X.ordering(["k", "o_orderkey DESC"]))
 
 
 @query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -526,3 +534,29 @@ SELECT event_id, COUNT(*) OVER {_ALL} AS seen, round(AVG(value) OVER {_ALL} + 1e
   round((epoch_us(ts) - LAG(epoch_us(ts)) OVER ({_W})) / 86400000000.0 + 1e-9, 6) AS gap, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS fresh
 FROM events WHERE value > 0
 """)(flagship)
+
+
+# Catalogue ------------------------------------------------------------------------
+
+
+@query("load_dataset", "SELECT o_orderkey, 'name' AS via FROM orders UNION ALL SELECT o_orderkey, 'path' FROM orders UNION ALL SELECT o_orderkey, 'folder' FROM orders")
+def load_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "orders").createOrReplaceTempView("ld_orders")
+    found = [("name", R.load_dataset(spark, "ld_orders")), ("path", R.load_dataset(spark, f"{sf}/orders.parquet")), ("folder", R.load_dataset(spark, "orders", base=sf))]
+    parts = [df.select("o_orderkey", F.lit(via).alias("via")) for via, df in found]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("list_relations", "SELECT name, CAST(count(*) AS BIGINT) AS \"rows\" FROM (SELECT 'lr_nation' AS name FROM nation UNION ALL SELECT 'lr_orders' FROM orders) GROUP BY 1")
+def list_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered relations by name, with the rows of each."""
+    for name in ("orders", "nation"):
+        table(spark, sf, name).createOrReplaceTempView(f"lr_{name}")
+    names = R.relations(spark, "lr_*").select("name")
+    counts = spark.table("lr_orders").select(F.lit("lr_orders").alias("name")).union(spark.table("lr_nation").select(F.lit("lr_nation").alias("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    return names.join(counts, "name")
+
+
+@query("preview_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")
+def preview_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return R.preview(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), order_by=["o_orderkey"])

@@ -67,18 +67,14 @@ def profile_path(spark: SparkSession, table: Mapping[str, Any], intent: str, ove
 
 def with_tier(files: DataFrame, key: str = "key") -> DataFrame:
     """Adds tier, start_date and end_date from names that end in _YYYY_MM_DD, _YYYY_MM or _YYYY (before the extension)."""
+    # The suffix is taken once; its number of parts says the tier.
     stem = F.regexp_replace(F.col(key), r"(\.[A-Za-z0-9]+)+$", "")
-    part = lambda n, i: F.regexp_extract(stem, r"_(\d{4})" + r"_(\d{2})" * n + "$", i)
-    day, month, year = part(2, 1) != "", part(1, 1) != "", part(0, 1) != ""
-    # A day's suffix also ends like a month's or a year's, so days are asked first.
-    start = (
-        F.when(day, F.concat_ws("-", part(2, 1), part(2, 2), part(2, 3)))
-        .when(month, F.concat_ws("-", part(1, 1), part(1, 2), F.lit("01"))).when(year, F.concat(part(0, 1), F.lit("-01-01")))
-    ).try_cast("date")
-    tier = F.when(start.isNull(), None).when(day, "daily").when(month, "monthly").when(year, "yearly")
-    out = files.withColumns({"tier": tier, "start_date": start})
+    out = files.withColumn("__parts", F.split(F.regexp_extract(stem, r"_(\d{4}(?:_\d{2}){0,2})$", 1), "_"))
+    part, n = lambda i: F.get("__parts", F.lit(i)), F.size("__parts")
+    start = F.concat_ws("-", part(0), F.coalesce(part(1), F.lit("01")), F.coalesce(part(2), F.lit("01"))).try_cast("date")
+    out = out.withColumn("start_date", start).withColumn("tier", F.when(F.col("start_date").isNull(), None).when(n == 3, "daily").when(n == 2, "monthly").otherwise("yearly"))
     end = F.when(F.col("tier") == "daily", F.col("start_date")).when(F.col("tier") == "monthly", F.last_day("start_date")).when(F.col("tier") == "yearly", F.date_add(F.add_months("start_date", 12), -1))
-    return out.withColumn("end_date", end)
+    return out.withColumn("end_date", end).select(*files.columns, "tier", "start_date", "end_date")
 
 
 def tier_priority(tier: Column, prefer: str) -> Column:
@@ -104,12 +100,38 @@ def resolve_slices(catalogue: DataFrame, dates: DataFrame, prefer: str = "daily"
 
 
 def read_slices(spark: SparkSession, base: str, resolved: DataFrame, date_column: str, fmt: str = "parquet") -> DataFrame:
-    """Rows of the resolved dates, each from the one file chosen for it, so mixed tiers aren't counted twice."""
-    chosen = [(r["key"], r["dates"]) for r in resolved.groupBy("key").agg(F.collect_set("date").alias("dates")).collect()]  # a row a file
-    out = None
-    for key, dates in sorted(chosen):
-        df = read_files(spark, f"{base}/{key}", fmt).where(F.col(date_column).cast("date").isin(dates))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    """Rows of the resolved dates, each from the one file chosen for it, so mixed tiers aren't counted twice.
+
+    All chosen files are one scan; a row stays if its file is the one of its date. Only file names, as many as
+    the catalogue has, come to the driver.
+    """
+    keys = [r["key"] for r in resolved.select("key").distinct().collect()]
+    if not keys:
         raise FileNotFoundError("no file covers the dates")
-    return out
+    rows = read_files(spark, [f"{base}/{k}" for k in sorted(keys)], fmt, union_by_name=True)
+    chosen = resolved.select(F.col("key").alias("__key"), F.col("date").alias("__date")).distinct()
+    # A key is a file, or a folder with part files.
+    file = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "/part-[^/]*$", "")
+    rows = rows.select("*", file.alias("__file"), F.col(date_column).cast("date").alias("__day"))
+    return rows.join(chosen, (F.col("__day") == F.col("__date")) & F.col("__file").endswith(F.concat(F.lit("/"), F.col("__key"))), "left_semi").drop("__file", "__day")
+
+
+def load_dataset(spark: SparkSession, name: str, base: str = "", fmt: str | None = None) -> DataFrame:
+    """A registered relation of that name; else the file or folder at that path or under the base folder, its format by its ending."""
+    if re.fullmatch(r"[\w.]+", name) and spark.catalog.tableExists(name):
+        return spark.table(name)
+    for path in (name, f"{base}/{name}", f"{base}/{name}.parquet"):
+        if path_exists(spark, path):
+            ending = re.search(r"\.(parquet|csv|jsonl|json)(\.gz)?$", path)
+            return read_files(spark, path, fmt or (ending[1] if ending else "parquet"))
+    raise FileNotFoundError(f"{name!r} is neither a relation nor a path")
+
+
+def relations(spark: SparkSession, pattern: str | None = None) -> DataFrame:
+    """name and temporary of the registered relations."""
+    return spark.createDataFrame([(t.name, t.isTemporary) for t in spark.catalog.listTables(pattern=pattern)], "name string, temporary boolean")
+
+
+def preview(df: DataFrame, rows: int = 10, order_by: list[str] | None = None) -> DataFrame:
+    """The first rows, in a stated order so that reruns agree."""
+    return (df.orderBy(*order_by) if order_by else df).limit(rows)

@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, in a temporary folder."""
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset, a temporary folder serves a single machine; on a cluster it is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-scratch-")
-        _own[app] = root
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = _temporary(spark)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def _temporary(spark: SparkSession) -> str:
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-scratch-")
+        atexit.register(shutil.rmtree, _own[app], True)
+    return _own[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -27,12 +40,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes what this process has put into the shared folder; DataFrames that read it can't be used any more."""
+    while _made:
+        remove_path(spark, _made.pop())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in its own file system, local or remote."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def has_partitions(spark: SparkSession, path: str, column: str) -> bool:
+    """Whether a partitioned table has any partition."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}=*")
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemill.operators.incremental import key_upsert, partition_replace
-from tidemill.sources.scratch import scratch_path
+from tidemill.sources.scratch import path_exists, scratch_path, stored
 
 _UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days"}
 
@@ -36,19 +36,28 @@ def file_stream(spark: SparkSession, folder: str, schema: Any, time: str, allowe
     return out.withWatermark(time, lateness(allowed)) if allowed else out
 
 
-def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a streaming query over all there is, into a table in the shared folder, and returns its rows."""
+def drained(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a streaming query over all there is, into a table in the shared folder, and returns its rows; none where nothing came.
+
+    In complete mode each batch is the whole result. In update mode a batch has the keys that changed, so it
+    replaces their rows.
+    """
     spark = df.sparkSession
     base = scratch_path(spark, "stream")
     if mode == "append":
         df.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{base}/out")
+    else:
+        if mode == "update" and not keys:
+            raise ValueError("update mode needs the keys of its rows")
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        def put(batch: DataFrame, number: int) -> None:
+            if mode == "update":
+                key_upsert(batch, f"{base}/out", keys, keys)
+            else:
+                batch.write.mode("overwrite").parquet(f"{base}/out")
 
-    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+        df.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out") if path_exists(spark, f"{base}/out") else spark.createDataFrame([], df.schema)
 
 
 def windowed_counts(df: DataFrame, time: str, length: str, slide: str | None = None, by: list[str] | None = None, value: str | None = None) -> DataFrame:
@@ -83,15 +92,49 @@ def stream_partitions(df: DataFrame, source: Callable[[DataFrame], DataFrame], p
     for_each_batch(df, lambda batch, _: partition_replace(source(batch.select(by).distinct()), path, by) and None)
 
 
-def entity_states(df: DataFrame, entity: str, time: str, value: str) -> DataFrame:
-    """entity, n, total after each batch of events: keyed state that goes on between batches."""
+class StateProcessor:
+    """Keyed state: what it holds (schema, a tuple's columns), how it begins and how an entity's new events change it. This one counts and sums a column."""
+
+    schema = "n bigint, total double"
+
+    def __init__(self, value: str) -> None:
+        self.value = value
+
+    def start(self) -> tuple:
+        return (0, 0.0)
+
+    def apply(self, state: tuple, events: pd.DataFrame) -> tuple:
+        return (state[0] + len(events), state[1] + float(events[self.value].sum()))
+
+
+def entity_states(df: DataFrame, entity: str, time: str, value: str, processor: StateProcessor | None = None) -> DataFrame:
+    """entity and its state after each batch of events; the state goes on between batches. A batch's events of an entity are applied in order of time, in frames of bounded size."""
+    own = processor or StateProcessor(value)
+    names = [c.split()[0] for c in own.schema.split(", ")]
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
+        now = state.get if state.exists else own.start()
         for f in frames:
-            n, total = n + len(f), total + float(f[value].sum())
-        state.update((n, total))
-        yield pd.DataFrame({entity: [key[0]], "n": [n], "total": [total]})
+            now = own.apply(now, f.sort_values(time, kind="stable"))
+        state.update(now)
+        yield pd.DataFrame({entity: [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
 
     kind = dict(df.dtypes)[entity]
-    return df.groupBy(entity).applyInPandasWithState(fold, f"{entity} {kind}, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
+    return df.groupBy(entity).applyInPandasWithState(fold, f"{entity} {kind}, {own.schema}", own.schema, "update", GroupStateTimeout.NoTimeout)
+
+
+def persist_states(states: DataFrame, base: str, entity: str, every: int = 10) -> None:
+    """Keeps a stream of states (in update mode) as latest, the state of each entity; history/batch=N, those that a batch changed; and checkpoints/batch=N, the latest ones after each `every` batches.
+
+    A batch that runs again replaces what it wrote, so reruns after a failure leave the same tables.
+    """
+    spark = states.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = stored(batch, "states")
+        rows.write.mode("overwrite").parquet(f"{base}/history/batch={number}")
+        key_upsert(rows, f"{base}/latest", [entity], [entity])
+        if (number + 1) % every == 0:
+            spark.read.parquet(f"{base}/latest").write.mode("overwrite").parquet(f"{base}/checkpoints/batch={number}")
+
+    states.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/stream").outputMode("update").trigger(availableNow=True).start().awaitTermination()
