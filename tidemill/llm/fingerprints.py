@@ -2,8 +2,9 @@
 
 A text's canonical form is its NFKC normalisation, case-folded, with runs of white space as single
 spaces and none at the ends. Its fingerprint is the 128-bit xxh3 hash of that form in hex. Documents
-with equal fingerprints form a bucket; inside it the canonical bytes are compared with those of the
-bucket's document of the smallest id, and a document whose bytes differ gets the SHA-256 of its form
+with equal fingerprints form a bucket. Inside it the canonical bytes are compared by their SHA-256, of
+which each partition passes on only the distinct ones, so a bucket of any size takes a few rows and no
+texts are moved again; documents whose bytes differ from those of the bucket's least digest get theirs
 added to the fingerprint, so equal fingerprints mean equal forms.
 
 Neighbours: documents are dealt out by ranges of doc_id and sorted, descending, inside partitions;
@@ -26,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import picked, small_batches, table, written
+from tidemill.llm.shared import small_batches, table, written
 
-ROW = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+ROW = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, digest binary"
 EDGE = "part int, first boolean, text string"
-_ROW_TYPES = [("doc_id", pa.int64()), ("n_chars", pa.int64())] + [(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")]
+_ROW_TYPES = [("doc_id", pa.int64()), ("n_chars", pa.int64())] + [(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")] + [("digest", pa.binary())]
 _EDGE_TYPES = [("part", pa.int32()), ("first", pa.bool_()), ("text", pa.string())]
 
 
@@ -48,9 +49,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half] if half else text
 
 
-def _row(doc_id: int | None, text: str, following: str, own: str, after: str) -> tuple:
+def _marks(text: str) -> tuple[str, bytes]:
+    """A text's fingerprint and the SHA-256 of its canonical form."""
+    form = canonical(text)
+    return xxhash.xxh3_128_hexdigest(form), hashlib.sha256(form).digest()
+
+
+def _row(doc_id: int | None, text: str, own: str, digest: bytes, following: str, after: str) -> tuple:
     new = edited(text, following)
-    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, own if new == text else fingerprint(new), after)
+    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, own if new == text else fingerprint(new), after, digest)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,26 +71,26 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = fingerprint(text)
+            own, digest = _marks(text)
             if last is None:
-                rows.append((None,) * 3 + (own,) + (None,) * 2 + (part, True, text))
+                rows.append((None,) * 3 + (own,) + (None,) * 3 + (part, True, text))
             else:
-                rows.append(_row(*last[:2], text, last[2], own) + (None,) * 3)
-            last = (doc_id, text, own)
+                rows.append(_row(*last, text, own) + (None,) * 3)
+            last = (doc_id, text, own, digest)
         if rows:
             yield batch(rows)
     if last:
-        yield batch([(last[0], None, None, last[2], None, None, part, False, last[1])])
+        yield batch([(last[0], None, None, last[2], None, None, last[3], part, False, last[1])])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [_row(*r) for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)]
+        rows = [_row(*r) for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_ROW_TYPES)], [n for n, _ in _ROW_TYPES])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint of every row (doc_id, text)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint, digest of every row (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -95,42 +102,29 @@ def with_next(docs: DataFrame) -> DataFrame:
     parts = sorted(r["part"] for r in edges.where("first").select("part").collect())  # a number a partition
     if not parts:
         return rows.drop("part", "first", "text")
-    follows = F.create_map(*[F.lit(x) for p, q in zip(parts, [*parts[1:], parts[0]], strict=True) for x in (p, q)])
-    last = edges.where("not first").select("doc_id", "text", "fingerprint", follows[F.col("part")].alias("to"))
+    # The partition that follows each one: as many rows as partitions.
+    follows = spark.createDataFrame(list(zip(parts, [*parts[1:], parts[0]], strict=True)), "part int, to int")
+    last = edges.where("not first").select("part", "doc_id", "text", "fingerprint", "digest").join(F.broadcast(follows), "part")
     head = edges.where("first").select(F.col("part").alias("to"), F.col("text").alias("following"), F.col("fingerprint").alias("after"))
-    joined = last.join(head, "to").select("doc_id", "text", "following", "fingerprint", "after")
+    joined = last.join(head, "to").select("doc_id", "text", "fingerprint", "digest", "following", "after")
     return rows.where("part is null").drop("part", "first", "text").unionByName(joined.mapInArrow(_edges, ROW))
 
 
-def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        forms = [canonical(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_hexdigest(f) for f in forms]), pa.array(forms, pa.binary())], ["doc_id", "fingerprint", "form"])
-
-
-def collisions(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """fingerprint and sha (hex) of documents whose canonical bytes differ from those of the first document of their bucket.
-
-    Only documents of buckets with several ones are read again, and each meets one other form, not all.
-    """
-    buckets = fingerprints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n > 1").drop("n")
-    of = fingerprints.join(buckets, "fingerprint").select(F.col("doc_id").alias("__id"), "rep").distinct()
-    own = picked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, F.col("doc_id") == F.col("__id")).select("doc_id", "text")
-    forms = written(own.mapInArrow(_canonical_rows, "doc_id bigint, fingerprint string, form binary"), "forms")
-    first = forms.join(buckets, (forms["fingerprint"] == buckets["fingerprint"]) & (forms["doc_id"] == buckets["rep"])).select(forms["fingerprint"], F.col("form").alias("first"))
-    odd = forms.join(first.dropDuplicates(["fingerprint"]), "fingerprint").where(F.col("form") != F.col("first"))
-    return odd.select("doc_id", "fingerprint", F.sha2("form", 256).alias("sha")).distinct()
+def collisions(rows: DataFrame) -> DataFrame:
+    """fingerprint and first (its least digest) of the buckets that hold different bytes."""
+    held = rows.groupBy("fingerprint").agg(F.min("digest").alias("first"), F.max("digest").alias("last"))
+    return held.where("first <> last").select("fingerprint", "first")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """with_next() with the bucket check: fingerprints are made distinct where canonical bytes differ."""
     rows = with_next(docs)
-    odd = written(collisions(docs, rows.select("doc_id", "fingerprint")), "collisions")
+    odd = written(collisions(rows), "collisions").select(F.col("fingerprint").alias("f"), "first")
     if odd.isEmpty():
         return rows
-    sha = odd.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__f"), "sha")
-    both = rows.join(sha, (rows["doc_id"] == sha["__id"]) & (rows["fingerprint"] == sha["__f"]), "left")
-    return both.withColumn("fingerprint", F.concat_ws("-", "fingerprint", "sha")).drop("__id", "__f", "sha")
+    both = rows.join(odd, F.col("fingerprint") == F.col("f"), "left")
+    more = F.when(F.col("digest") != F.col("first"), F.lower(F.hex("digest")))
+    return both.withColumn("fingerprint", F.concat_ws("-", "fingerprint", more)).drop("f", "first")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
