@@ -57,10 +57,15 @@ def prepared(df: DataFrame, config: Mapping[str, Any], fill: float | None = None
     return out.withColumn("label", F.col(config["target"]).cast("double")) if config.get("target") in df.columns else out
 
 
+def with_target(df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
+    """The rows that have a target."""
+    return df.na.drop(subset=[config["target"]])
+
+
 def train(df: DataFrame, config: Mapping[str, Any]) -> PipelineModel:
     """Fits on rows with a target."""
     check_features(df, config)
-    return estimator(config).fit(prepared(df.na.drop(subset=[config["target"]]), config))
+    return estimator(config).fit(prepared(with_target(df, config), config))
 
 
 def cross_validated(df: DataFrame, config: Mapping[str, Any], folds: int = 3) -> float:
@@ -69,7 +74,7 @@ def cross_validated(df: DataFrame, config: Mapping[str, Any], folds: int = 3) ->
     regress = config["model"] in ("ridge", "random_forest_regressor", "gradient_boosting_regressor")
     judge = RegressionEvaluator(metricName="rmse") if regress else MulticlassClassificationEvaluator(metricName="accuracy")
     cv = CrossValidator(estimator=estimator(config), estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=42)
-    return cv.fit(prepared(df.na.drop(subset=[config["target"]]), config)).avgMetrics[0]
+    return cv.fit(prepared(with_target(df, config), config)).avgMetrics[0]
 
 
 def predictions(model: PipelineModel, df: DataFrame, config: Mapping[str, Any], keep: list[str]) -> DataFrame:

@@ -331,6 +331,24 @@ def key_upsert_unpartitioned(spark: SparkSession, sf: str) -> DataFrame:
     return _upserted(spark, sf, None)
 
 
+@query("strategies", """
+SELECT s AS strategy, event_id, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value FROM events, (VALUES ('full_refresh'), ('partition_replace'), ('key_upsert'), ('entity_state_update')) t(s)
+""")
+def strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """The same change by each of the four strategies."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    new = e.withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1).otherwise(F.col("value")))
+    out = None
+    for name in ("full_refresh", "partition_replace", "key_upsert", "entity_state_update"):
+        path = scratch_path(spark, name)
+        W.write_partitioned(e, path, by="event_type") if name != "full_refresh" else W.write_output(e, path)
+        change = new if name == "full_refresh" else new.where("event_type = 'click'")
+        I.materialise(change, name, path, partition="event_type", keys=["event_id"], order_by=["event_id"])
+        part = R.read_files(spark, path).select(F.lit(name).alias("strategy"), "event_id", "value")
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("incremental_refresh", "SELECT event_id, user_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events")
 def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Features of the first 20 days, then only the users with later events anew; equals a full computation."""

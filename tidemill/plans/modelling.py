@@ -328,12 +328,27 @@ def predict_to_table(spark: SparkSession, sf: str) -> DataFrame:
     return read_files(spark, path)
 
 
-@query("feature_snapshot", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM lineitem WHERE l_quantity > 10 AND l_discount > 0.05")
+@query("feature_snapshot", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, true AS scored FROM lineitem WHERE l_quantity > 10 AND l_discount > 0.05")
 def feature_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "snapshot")
-    scored = table(spark, sf, "lineitem").where("l_quantity > 10 and l_discount > 0.05")
-    W.write_output(scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"), path)
-    return read_files(spark, path)
+    """One filtered table is scored and kept, so the snapshot has exactly the rows of the predictions."""
+    path, keys = scratch_path(spark, "snapshot"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows, config = _training(spark, sf), _CONFIGS["logistic"]
+    picked = stored(rows.where("l_quantity > 10 and l_discount > 0.05"), "scored-features")
+    W.write_output(picked.select(*LINE_KEY, "l_quantity", "l_discount"), path)
+    out = ml.score(ml.train(rows.where("not is_test"), config), picked, config, LINE_KEY)
+    back = read_files(spark, path)
+    done = out.select(*[F.col(k).alias(f"p_{k}") for k in LINE_KEY]).distinct()
+    met = back.join(done, [back[k] == done[f"p_{k}"] for k in LINE_KEY], "left")
+    return met.select(*keys, "l_quantity", "l_discount", F.col("p_l_orderkey").isNotNull().alias("scored"))
+
+
+@query("rows_with_a_target", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_extendedprice END AS price, 1 AS folds FROM lineitem WHERE l_returnflag <> 'N'")
+def rows_with_a_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a target aren't trained on; cross-validation runs over the others."""
+    rows = table(spark, sf, "lineitem").withColumn("price", F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice")))
+    config = {"model": "ridge", "target": "price", "features": _FEATURES, "params": {"alpha": 0.1}}
+    score = ml.cross_validated(rows, config, 2)
+    return ml.with_target(rows, config).select("l_orderkey", "l_linenumber", "price", F.lit(1 if score > 0 else 0).alias("folds"))
 
 
 # Experiments: what doesn't depend on the fit is checked in SQL ------------------------------------

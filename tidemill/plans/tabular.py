@@ -560,3 +560,11 @@ def list_relations(spark: SparkSession, sf: str) -> DataFrame:
 @query("preview_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")
 def preview_rows(spark: SparkSession, sf: str) -> DataFrame:
     return R.preview(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), order_by=["o_orderkey"])
+
+
+@query("empty_feature", "SELECT o_orderkey, o_totalprice * 2 AS twice, CAST(NULL AS DOUBLE) AS nothing FROM orders")
+def empty_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """A feature without an expression is a column of nulls."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    out = FE.build_features(rows, {"include_source_columns": True, "features": [{"name": "twice", "expression": "o_totalprice * 2"}, {"name": "nothing"}]})
+    return out.select("o_orderkey", "twice", F.col("nothing").cast("double").alias("nothing"))
