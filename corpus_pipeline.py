@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows to the
 shared folder and reads them again as the next stage's documents.
+
+Defined results: null, empty and blank texts fail the quality stage's base rules; an empty table gives
+empty ones all along; of rows that repeat an id, and of groups of copies, one row stays; a null id is a
+document like others; the mix repeats rows; other columns, whatever their names, pass through all stages
+but the last.
 """
 
 from __future__ import annotations
