@@ -84,12 +84,22 @@ def group_metrics(df: DataFrame, group: str, label: str, p: str, tiebreak: list[
     return best.crossJoin(loss)  # two single rows
 
 
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a numeric column: the mean of the one or two middle values, found among counted distinct values dealt out by ranges."""
+    places = key_positions(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), ["v"])
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = places.where((F.col("before") <= high) & (F.col("before") + F.col("n") > low))
+    return middle.agg((F.min("v") + F.max("v")) / 2).first()[0]
+
+
 def impute_stats(df: DataFrame, columns: list[str], approximate: bool = False) -> dict[str, Any]:
     """Medians of numeric columns, the most frequent value of others."""
     kinds = {f.name: f.dataType for f in df.schema}
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approximate else F.median
-    aggs = [(median(c) if isinstance(kinds[c], T.NumericType) else F.mode(c, True)).alias(c) for c in columns]
-    return df.agg(*aggs).first().asDict()
+    numeric = [c for c in columns if isinstance(kinds[c], T.NumericType)]
+    out = df.agg(*[F.mode(c, True).alias(c) for c in columns if c not in numeric]).first().asDict() if len(numeric) < len(columns) else {}
+    if approximate and numeric:
+        return out | df.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in numeric]).first().asDict()
+    return out | {c: exact_median(df, c) for c in numeric}
 
 
 def impute(df: DataFrame, stats: dict[str, Any]) -> DataFrame:
