@@ -46,8 +46,8 @@ CELL, CELL_SHINGLES, WIDE = 1024, 1 << 19, 64
 CENTRES = 8
 #: Distinct words that a task remembers the hashes of before it starts afresh.
 WORDS = 1 << 20
-#: A node's links to larger nodes are dealt to one task for each so many links, and to at most so many tasks.
-TASK_LINKS, MOST_SALTS = 5_000_000, 16
+#: A node's links to larger nodes are dealt to one task for each so many sets, and to at most so many tasks.
+TASK_SETS, MOST_SALTS = 5_000_000, 16
 LINK = "u bigint, v bigint"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -280,14 +280,14 @@ def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _contract(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Union-find over a task's links (u, v, side), in blocks: the distinct links of ends to their roots.
 
-    side 0: the link is known here, 1: both its ends are written here, 2: its first one is.
+    side 0: the link is known here, 1: both its ends are written here, 2: its first one is, if its root is news.
     """
     held: list[pa.RecordBatch] = []
 
     def contracted() -> pa.RecordBatch:
         u, v, side = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
         a, b = roots(u, v)
-        links = np.concatenate((np.stack((u, a), 1)[side > 0], np.stack((v, b), 1)[side == 1]))
+        links = np.concatenate((np.stack((u, a), 1)[(side == 1) | (side == 2) & (a != v)], np.stack((v, b), 1)[side == 1]))
         links = np.unique(links[links[:, 0] != links[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(links[:, i], pa.int64()) for i in range(2)], ["u", "v"])
 
@@ -300,15 +300,13 @@ def _contract(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterat
         yield contracted()
 
 
-def components(links: DataFrame, keep: Stored) -> DataFrame:
+def components(links: DataFrame, keep: Stored, salts: int = 1) -> DataFrame:
     """id and component (smallest id reachable) of every node of links (u, v).
 
     In each round the links of a node meet in a task, which contracts them by union-find; so paths get
-    shorter by half at least. Where there are many links, those of a node to larger ones are dealt to several
-    tasks, and those to smaller ones are known to all of these.
+    shorter by half at least. The links of a node to larger ones are dealt to `salts` tasks, and those to
+    smaller ones are known to all of these.
     """
-    links = keep.written(links.select("u", "v"), "dup-links")
-    salts = min(MOST_SALTS, 1 + links.count() // TASK_LINKS)
     while True:
         for _ in range(2):
             u, v, salt = F.greatest("u", "v"), F.least("u", "v"), F.pmod(F.xxhash64(F.greatest("u", "v")), F.lit(salts)).cast("int")
@@ -319,7 +317,7 @@ def components(links: DataFrame, keep: Stored) -> DataFrame:
         ends = F.array(F.struct(F.col("u").alias("id"), "v"), F.struct(F.col("v").alias("id"), "v"))
         label = links.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.min("e.v").alias("component"), (F.min("e.v") < F.max("e.v")).alias("open"))
         label = keep.written(label, "dup-labels")
-        if label.where("open").isEmpty():
+        if not label.agg(F.max("open")).first()[0]:
             return label.drop("open")
 
 
@@ -347,14 +345,15 @@ def _links_of(texts: DataFrame, reps: DataFrame, keep: Stored, k: int, percent:
     least = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("key").alias("shared"), "least")
     # A document has at most BANDS buckets. It is linked to the smallest id of all of them, and their other smallest ids are too.
     near = bands.join(least.hint("shuffle_hash"), F.col("key") == F.col("shared")).where("id != least").groupBy("id").agg(F.collect_set("least").alias("near"))
-    near = keep.written(near.withColumn("v", F.array_min("near")), "dup-near")
-    others = near.select(F.explode(F.array_remove("near", F.col("v"))).alias("u"), "v").distinct()
-    cluster = components(near.select(F.col("id").alias("u"), "v").union(others), keep).withColumnRenamed("id", "i")
+    near = near.withColumn("v", F.array_min("near"))
+    links = near.select(F.explode(F.array_append(F.array_remove("near", F.col("v")), F.col("id"))).alias("u"), "v").distinct()
+    salts = min(MOST_SALTS, 1 + reps.count() // TASK_SETS)
+    cluster = components(links, keep, salts).withColumnRenamed("id", "i")
     members = reps.select("id", "n").join(cluster.hint("shuffle_hash"), F.col("id") == F.col("i")).select("id", "n", F.col("component").alias("scope"))
     scopes = keep.written(_scopes(members, 0, cell, cell_shingles), "dup-scopes")
-    giant = scopes.where(F.col("p") > wide)
-    if not giant.isEmpty():
-        ids = giant.select(F.col("id").alias("i")).distinct()
+    cells = scopes.agg(F.max("p")).first()[0] or 0
+    if cells > wide:
+        ids = scopes.where(F.col("p") > wide).select(F.col("id").alias("i")).distinct()
         open_bands = bands.join(ids.hint("shuffle_hash"), F.col("id") == F.col("i")).select("id", "n", F.col("key").alias("scope"))
         own = _scopes(open_bands, 1, cell, cell_shingles).where("size > 1")
         scopes = keep.written(scopes.where(F.col("p") <= wide).union(own), "dup-scopes")
@@ -365,10 +364,10 @@ def _links_of(texts: DataFrame, reps: DataFrame, keep: Stored, k: int, percent:
     first = first.select("id", "kind", "scope", "i", F.col("i").alias("j"), F.lit(True).alias("left"), F.col("id").alias("grp"), "whole")
     links = keep.written(_in_cells(texts, first, keep, k, percent), "dup-edges")
     done, rest = links.where("whole"), links.where("not whole").select("u", "v")
-    if scopes.where("p > 1 or kind = 1").isEmpty():
+    if cells <= 1:
         return done, None
     large = scopes.where("p > 1")
-    label = components(rest, keep).withColumnRenamed("id", "i")
+    label = components(rest, keep, salts).withColumnRenamed("id", "i")
     named = keep.written(large.join(label.hint("shuffle_hash"), F.col("id") == F.col("i"), "left").select("id", "n", "kind", "scope", "p", F.coalesce("component", "id").alias("grp")), "dup-named")
     sizes = named.groupBy("kind", "scope", "grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
     main = sizes.groupBy(F.col("kind").alias("k"), F.col("scope").alias("s")).agg(
@@ -376,7 +375,7 @@ def _links_of(texts: DataFrame, reps: DataFrame, keep: Stored, k: int, percent:
     ).where("docs > most.size")
     main = main.select("k", "s", F.col("most.grp").alias("main"), F.ceil(F.greatest((F.col("docs") - F.col("most.size")) / cell, (F.col("n") - F.col("held.n")) / cell_shingles)).cast("int").alias("po"))
     outer = keep.written(named.join(main.hint("shuffle_hash"), (F.col("kind") == F.col("k")) & (F.col("scope") == F.col("s"))), "dup-open")
-    if outer.isEmpty():
+    if not outer.count():
         return done, rest
     # What isn't in the scope's largest group goes to one row of blocks, and each document to one column.
     of_row, of_column = F.pmod(F.xxhash64("id", F.lit("row")), "po").cast("int"), slot
@@ -398,10 +397,10 @@ def near_duplicates(
         sets = signed.where("digest is not null")
         reps = keep.written(sets.groupBy("digest").agg(F.min("node").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "dup-reps")
         done, rest = _links_of(own.select("node", "text"), reps, keep, k, percent, cell, cell_shingles, wide)
-        repeated = keep.written(signed.groupBy("node").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 < d1").select("node"), "dup-repeated")
-        if not repeated.isEmpty():
+        repeated = signed.groupBy("node").agg((F.min("digest") < F.max("digest")).alias("twice"))
+        if repeated.agg(F.max("twice")).first()[0]:
             # An id with several sets links what stands for them.
-            rows = signed.join(repeated.withColumnRenamed("node", "m").hint("shuffle_hash"), F.col("node") == F.col("m")).select("node", F.col("digest").alias("d"))
+            rows = signed.join(repeated.where("twice").select(F.col("node").alias("m")).hint("shuffle_hash"), F.col("node") == F.col("m")).select("node", F.col("digest").alias("d"))
             ties = rows.join(reps.select("digest", "id"), F.col("d") == F.col("digest")).where("node != id").select(F.col("node").alias("u"), F.col("id").alias("v"))
             every = done.select("u", "v").union(ties)
             label = components(every.union(rest) if rest is not None else every, keep)
@@ -422,7 +421,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     row, node = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), node_of(docs["doc_id"], docs["text"]).alias("own")
     rows = docs.select(row, node).join(keep.hint("shuffle_hash"), F.col("own") == F.col("node"))
     out = rows.where("rows = 1").select("row.*")
-    if keep.where("rows > 1").isEmpty():
+    if (keep.agg(F.max("rows")).first()[0] or 0) <= 1:
         return out
     return out.unionByName(rows.where("rows > 1").dropDuplicates(["own"]).select("row.*"))
 
