@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,13 +20,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary folder serves a single machine, as in tests; on a cluster it is an error."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, _own[app], True)
     return _own[app]
 
 
