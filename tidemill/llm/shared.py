@@ -17,6 +17,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own: dict[str, str] = {}
+#: Paths that this process has given out, until release() has removed them.
+made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -73,6 +77,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Removes what was made after the first `since` paths, but for those to keep. DataFrames that read it can't be used any more."""
+    for path in made[since:]:
+        if path not in keep:
+            remove(spark, path)
+    made[since:] = keep
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Texts can be long, so Arrow batches are kept to few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
