@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import mixing, neardup, packing, quality, secrets
-from tidemill.llm.shared import fresh_path, written
+from tidemill.llm.shared import fresh_path, made, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = len(made)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        rows = stage(spark, docs, sf_dir)
+        path = fresh_path(spark, f"pipeline-{name}")
+        rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        # A stage's rows are all that the next one needs.
+        release(spark, first, (path,))
     return docs
