@@ -305,6 +305,20 @@ def test_quality_learns_rules():
     assert all(abs(a - q) < 0.06 for a, q in zip(m.right_good, rates, strict=True))
 
 
+def test_votes_find_junk_without_labels(spark):
+    """Two kinds of junk that no base rule fails are rejected by the weighed votes, clean texts are kept."""
+    r = random.Random(12)
+    clean = lambda: "\n".join(" ".join(r.choice(VOCAB) for _ in range(r.randint(8, 14))).capitalize() + "." for _ in range(r.randint(4, 8)))
+    rows = [(i, clean()) for i in range(300)]
+    rows += [(1000 + i, " | ".join(clean().split())) for i in range(20)] + [(2000 + i, " ".join(w + r.choice(["$$$", "%%%", "&&&"]) for w in clean().split())) for i in range(20)]
+    kept = {x.doc_id for x in quality.kept_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    failed = {x.doc_id for x in quality.with_signals(spark.createDataFrame(rows, "doc_id bigint, text string")).where(quality.base_failed()).collect()}
+    good = {i for i in range(300) if i not in failed}
+    assert len(good) > 100 and len(kept & good) >= 0.98 * len(good)
+    assert not {i for i in kept if i >= 1000}
+
+
+
 # 4: chat -----------------------------------------------------------------------------
 
 

@@ -3,8 +3,10 @@
 Each rule reads a signal of the text and votes good (1), bad (-1) or abstains (0). Counts of the vote
 patterns over all documents are enough to estimate, without labels, how often each rule is right
 about good and about bad documents; there are at most 3 to the number of rules patterns, whatever
-the size of the corpus. A document's posterior probability of being good, a sum of log odds over its
-votes, takes the place of "passes every filter". Only DataFrame functions touch the texts.
+the size of the corpus. A rule may turn out to say nothing about bad documents (most of them are long
+enough), but never to be right less often than by chance, so good stays good. A document's posterior
+probability of being good, a sum of log odds over its votes, takes the place of "passes every filter".
+Only DataFrame functions touch the texts.
 
 Defined results: null, empty and blank texts have no words, and every rule abstains on them; very
 short texts are judged by the rules that still apply; repeated rows get equal results; an empty
@@ -23,8 +25,11 @@ from pyspark.sql import functions as F
 from tidemill.llm.shared import SPACE_CHARS, UPPER, table, words, written
 
 WINDOW = 8
+START = (0.97, 0.3)
 SYMBOLS = "#*$%&|<>"
-SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ended", "n_repeat_words", "n_distinct", "n_capitals", "n_chars")
+#: Signs that aren't sentence punctuation, and digits.
+MARKS = "#*$%&|<>+/=@[]^_`{}~\\0123456789"
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_ended", "n_repeat_words", "n_distinct", "n_capitals", "n_chars")
 
 
 def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -35,15 +40,16 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     q = lambda name: F.col(f"__q_{name}")
     t = F.coalesce(F.col(text), F.lit(""))
+    marked = t.rlike("[" + "".join(f"\\{c}" if not c.isdigit() else c for c in MARKS) + "]")
     out = docs.withColumns({
         "__q_words": words(F.col(text)),
         "__q_full": F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""),
-        "__q_n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "__q_n_symbols": F.when(marked, F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).otherwise(0).cast("long"),
+        "__q_n_marks": F.when(marked, F.length(t) - F.length(F.translate(t, MARKS, ""))).otherwise(0).cast("long"),
         "__q_n_capitals": (F.length(t) - F.length(F.translate(t, UPPER, ""))).cast("long"),
         "__q_n_chars": F.length(t).cast("long"),
     })
     n = F.size("__q_words")
-    hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__q_words", i, WINDOW)))
     ended = F.filter("__q_full", lambda x: F.rtrim(x).rlike(r"[.!?]\s*$"))
     out = out.withColumns({
         "__q_n_words": n.cast("long"),
@@ -52,8 +58,13 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
         "__q_n_lines": F.size("__q_full").cast("long"),
         "__q_n_dup_lines": (F.size("__q_full") - F.size(F.array_distinct("__q_full"))).cast("long"),
         "__q_n_ended": F.size(ended).cast("long"),
-        "__q_windows": F.when(n > WINDOW, hashes).otherwise(F.array().cast("array<bigint>")),
+        "__q_w1": F.when(n > WINDOW, F.transform("__q_words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")),
     })
+    # Hashes of one word, then of two, four and eight in a row: each is made of two of the step before.
+    out = out.withColumn("__q_w2", _doubled("__q_w1", 1)).withColumn("__q_w4", _doubled("__q_w2", 2))
+    # A window of eight that comes twice repeats five windows of four.
+    again = F.size("__q_w4") - F.size(F.array_distinct("__q_w4")) >= WINDOW // 2 + 1
+    out = out.withColumn("__q_windows", F.when(again, _doubled("__q_w4", 4)).otherwise(F.array().cast("array<bigint>"))).drop("__q_w1", "__q_w2", "__q_w4")
     # Most texts have no window twice; only the others are sorted.
     tagged = F.array_sort(F.transform("__q_windows", lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
     out = out.withColumn("__q_tagged", F.when(F.size(F.array_distinct("__q_windows")) < F.size("__q_windows"), tagged).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
@@ -72,6 +83,12 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("__q_words", "__q_full", "__q_windows", "__q_tagged", "__q_at")
 
 
+def _doubled(hashes: str, step: int) -> Column:
+    """Hashes of windows of twice `step` words from those of `step` words."""
+    n = F.greatest(F.size(hashes) - step, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
+
 @dataclass(frozen=True)
 class VoteRule:
     """Votes bad where `bad` holds, else good where `good` holds, else abstains."""
@@ -88,6 +105,7 @@ RULES = (
     VoteRule("length", "false", "__q_n_words >= 50"),
     VoteRule("word_length", "__q_n_words >= 5 and (__q_word_chars < 3.5 * __q_n_words or __q_word_chars > 7 * __q_n_words)", "__q_n_words >= 20 and __q_word_chars between 4 * __q_n_words and 6.5 * __q_n_words"),
     VoteRule("symbols", "10 * __q_n_symbols > __q_n_words", "__q_n_words >= 5 and __q_n_symbols = 0"),
+    VoteRule("marks", "__q_n_words >= 5 and 4 * __q_n_marks > __q_n_words", "__q_n_words >= 5 and 20 * __q_n_marks <= __q_n_words"),
     VoteRule("lines", "__q_n_dup_lines >= 2 and 10 * __q_n_dup_lines > 3 * __q_n_lines", "__q_n_lines >= 4 and __q_n_dup_lines = 0"),
     VoteRule("repeats", "10 * __q_n_repeat_words > 3 * __q_n_words", "__q_n_words >= 30 and 20 * __q_n_repeat_words <= __q_n_words"),
     VoteRule("vocabulary", "__q_n_words >= 20 and 100 * __q_n_distinct < 25 * __q_n_words and __q_n_distinct < 100", "__q_n_words >= 20 and 100 * __q_n_distinct >= 40 * __q_n_words"),
@@ -118,9 +136,15 @@ class Model:
         return 1 / (1 + F.exp(-total))
 
 
-def fit_patterns(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100, prior: float = 0.85) -> Model:
-    """Expectation-maximisation over counted vote patterns; accuracies stay in [0.55, 0.98], so that good stays good."""
-    model = Model(prior, (0.8,) * n_rules, (0.8,) * n_rules)
+def fit_patterns(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, prior: float = 0.85) -> Model:
+    """Expectation-maximisation over counted vote patterns.
+
+    At the start each rule is right about START[0] of good and START[1] of bad documents: it seldom
+    accuses a good one, and misses most bad ones. Four prior votes of that kind hold rules that hardly vote.
+    Accuracies stay up to 0.99; the two of a rule add up to 1 at least, as a vote is never evidence
+    against itself.
+    """
+    model = Model(prior, (START[0],) * n_rules, (START[1],) * n_rules)
     total = sum(n for _, n in patterns)
     if not total:
         return model
@@ -130,17 +154,18 @@ def fit_patterns(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, roun
         p_good = []
         for votes, _ in patterns:
             z = odds + sum(good[j] if v == 1 else bad[j] if v == -1 else 0 for j, v in enumerate(votes))
-            p_good.append(1 / (1 + math.exp(-z)))
+            p_good.append(1 / (1 + math.exp(-held(z, -500, 500))))
         share = sum(p * n for p, (_, n) in zip(p_good, patterns, strict=True)) / total
         rights = []
-        for side in (1, -1):
+        for side, start in zip((1, -1), START, strict=True):
             each = []
             for j in range(n_rules):
                 w = [((p if side == 1 else 1 - p) * n, v[j]) for p, (v, n) in zip(p_good, patterns, strict=True) if v[j]]
-                # four prior votes, three of them right, for rules that hardly vote
-                each.append(held((3 + sum(x for x, v in w if v == side)) / (4 + sum(x for x, _ in w)), 0.55, 0.98))
-            rights.append(tuple(each))
-        new = Model(held(share, 0.5, 0.98), *rights)
+                each.append((4 * start + sum(x for x, v in w if v == side)) / (4 + sum(x for x, _ in w)))
+            rights.append(each)
+        right_good = [held(a, 0.5, 0.99) for a in rights[0]]
+        right_bad = [held(b, 1 - a, 0.99) for a, b in zip(right_good, rights[1], strict=True)]
+        new = Model(held(share, 0.5, 0.99), tuple(right_good), tuple(right_bad))
         if max(abs(a - b) for a, b in zip((new.prior, *new.right_good, *new.right_bad), (model.prior, *model.right_good, *model.right_bad), strict=True)) < 1e-9:
             return new
         model = new
@@ -166,13 +191,11 @@ def base_failed() -> Column:
 def kept_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that op3 keeps: no base rule fails and the posterior probability of being good reaches the threshold.
 
-    The texts are read twice and never shuffled.
+    The documents are written once with the signals, so these are computed once, and never shuffled.
     """
-    signals = with_signals(docs, text)
+    signals = written(with_signals(docs, text), "quality-signals")
     model = fit(signals)
-    # A filter would be pushed below the signals and compute them over again inside its condition; a generator stays where it is.
-    passes = F.when(~base_failed() & (posterior(model) >= threshold), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return signals.select(*docs.columns, F.explode(passes).alias("__q_passes")).drop("__q_passes")
+    return signals.where(~base_failed() & (posterior(model) >= threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
