@@ -6,8 +6,9 @@ fullest window is topped up with the start of the piece, unless only a few place
 out; the remaining piece is placed again. Windows still open at the end of a partition are the
 leftovers: their pieces move on to fewer tasks, which pour them one after another into full windows.
 
-Token ids are those of the tokenizers library. A text is cut by byte-level BPE's pre-tokenisation
-pattern, and the library's model encodes each distinct piece once, as pieces are encoded independently.
+Token ids are those of the tokenizers library. A text is cut at its spaces into chunks, these by
+byte-level BPE's pre-tokenisation pattern into pieces, and a worker lets the library's model encode each
+distinct piece once, as pieces are encoded independently.
 A text that holds an added token's content, such as <|endoftext|>, has that token's id there, as the library has it.
 
 Defined results: a null or empty text is a document of one token, the end mark; repeated rows are
@@ -22,6 +23,7 @@ import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,11 +56,12 @@ def _byte_alphabet() -> dict[int, str]:
 class Encoder(dict):
     """ids of texts, equal to the library's own.
 
-    As a dictionary it numbers the distinct pieces that it has met; the library's model encodes a
-    piece when it is first asked for. Beyond `most` pieces it starts afresh.
+    As a dictionary it numbers the distinct chunks that it has met: what stands between two spaces of a
+    text, with the space before it, or, marked by a leading space, a chunk that starts a text. The library's
+    model encodes each distinct piece of a chunk once. Beyond `most` chunks it starts afresh.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,44 +69,112 @@ class Encoder(dict):
         spec = json.loads(self.tokenizer.to_str())
         step = spec.get("pre_tokenizer") or {}
         self.simple = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not spec.get("normalizer")
-        # The pre-tokenisation pattern of byte-level BPE in Python's classes; the few texts with characters that these class otherwise go to the library whole.
+        # The pre-tokenisation pattern of byte-level BPE in Python's classes; chunks with characters that these class otherwise go to the library whole.
         self.cut = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+").findall
         self.odd = frozenset(_odd_characters())
         # Added tokens, such as the end mark, are found in the text before it is cut; texts that hold one go to the library whole too.
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         self.letters = _byte_alphabet()
+        self.space = self.letters[32]
         self.model, self.most = self.tokenizer.model, most
         self._forget()
 
     def _forget(self) -> None:
         self.clear()
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def __missing__(self, piece: str) -> int:
-        got = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        n = len(self)
-        if n == len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * n), np.resize(self.count, 2 * n)
-        while self.used + len(got) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.first[n], self.count[n] = self.used, len(got)
-        self.flat[self.used : self.used + len(got)] = got
-        self.used += len(got)
-        self[piece] = n
+        self.pieces: dict[str, bytes] = {}
+        self.fresh: list[str] = []
+        self.first, self.count, self.unsafe = (np.empty(0, t) for t in (np.int64, np.int64, bool))
+        self.flat = np.empty(0, np.uint32)
+
+    def _plain(self, text: str) -> bool:
+        """Whether the library has nothing to find in the text but pieces that Python's pattern finds too."""
+        return self.simple and self.odd.isdisjoint(text) and not any(a in text for a in self.added)
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            # Letters and a space before them need no byte by byte translation where they are ASCII.
+            plain = piece.isascii() and piece[1:].isalpha() and piece[0] == " "
+            letters = f"{self.space}{piece[1:]}" if plain else piece.encode().decode("latin-1").translate(self.letters)
+            got = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return got
+
+    def _cut(self, text: str) -> bytes:
+        """The ids of a plain text; each piece is encoded once. A word, and a word with a sign behind it, need no search for pieces."""
+        word = text[1:]
+        if text[:1] == " " and word.isalpha():
+            return self._piece(text)
+        if text[:1] == " " and word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self._piece(text[:-1]) + self._piece(text[-1])
+        return b"".join(map(self._piece, self.cut(text)))
+
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit numbers, one after another."""
+        return self._cut(text) if self._plain(text) else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.fresh.append(chunk)
         return n
 
-    def ids(self, text: str) -> np.ndarray:
-        if not self.simple or not self.odd.isdisjoint(set(text)) or any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self) > self.most:
+    def _learn(self) -> None:
+        """Encodes the chunks that were met for the first time."""
+        texts = [c[1:] if c.startswith(" ") else f" {c}" for c in self.fresh]
+        whole = self._cut if self._plain("".join(texts)) else self._whole
+        got = [whole(t) for t in texts]
+        count = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        # White space after a space may belong to one piece with white space before it.
+        self.unsafe = np.concatenate((self.unsafe, np.fromiter((not c or c[0] != " " and c[0].isspace() for c in self.fresh), bool, len(got))))
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(got), np.uint32)))
+        self.fresh = []
+
+    def ids(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, and the end id behind them.
+
+        Spaces that no white space follows start a piece, so chunks are encoded independently; a text with
+        another space is cut by the pattern as a whole.
+        """
+        if len(self) > self.most or len(self.pieces) > self.most:
             self._forget()
-        pieces = self.cut(text)
-        which = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        counts = self.count[which]
+        last = np.array([] if end is None else [end], np.uint32)
+        whole_text = lambda t: np.append(np.frombuffer(self._whole(t), np.uint32), last)
+        if not self.simple:
+            return [whole_text(t) for t in texts]
+        chunks, counts = [], []
+        for text in texts:
+            own = text.split(" ")
+            own[0] = f" {own[0]}"
+            chunks += own
+            counts.append(len(own))
+        which = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        if self.fresh:
+            self._learn()
         ends = np.cumsum(counts)
-        step = np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.flat[np.repeat(self.first[which] - ends + counts, counts) + step]
+        whole = np.bincount(np.searchsorted(ends, np.flatnonzero(self.unsafe[which]), side="right"), minlength=len(texts))
+        each = self.count[which]
+        to = np.cumsum(each)
+        flat = self.flat[np.repeat(self.first[which] - to + each, each) + np.arange(int(to[-1]) if len(to) else 0)]
+        out, at = [], 0
+        for text, stop, odd in zip(texts, to[ends - 1].tolist() if texts else [], whole.tolist(), strict=True):
+            if odd or any(a in text for a in self.added):
+                out.append(whole_text(text))
+            else:
+                out.append(np.append(flat[at:stop], last))
+            at = stop
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker, which later tasks find as earlier ones left it."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _rows(pieces: list[tuple]) -> pa.RecordBatch:
@@ -163,13 +234,11 @@ class Packer:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode, packer = Encoder(path), Packer(size, OPEN, TOP_UP)
+    encode, packer = encoder(path), Packer(size, OPEN, TOP_UP)
     sequence, rows = TaskContext.get().partitionId() << 33, []
-    end = np.array([END_ID], np.uint32)
     for b in batches:
-        docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for doc, text in zip(docs, texts, strict=True):
-            for window in packer.add(doc, np.concatenate((encode.ids(text or ""), end))):
+        for doc, ids in zip(b.column(0).to_pylist(), encode.ids(b.column(1).to_pylist(), END_ID), strict=True):
+            for window in packer.add(doc, ids):
                 rows += _out(window, sequence, with_ids)
                 sequence += 1
         if len(rows) > 4096:
