@@ -35,12 +35,12 @@ def source_order(sizes: DataFrame) -> DataFrame:
     ranged = sums.repartitionByRange(8, *by).withColumn("part", F.spark_partition_id())
     ranged = written(ranged.sortWithinPartitions(*by), "mix-ranges")
     own = Window.partitionBy("part").orderBy(*by)
-    counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    offset, before = F.lit(0), 0
-    for part in sorted(counts):
-        offset = F.when(F.col("part") == part, before).otherwise(offset)
-        before += counts[part]
-    return ranged.select("source", "source_size", (offset + F.row_number().over(own) - 1).cast("long").alias("place"))
+    counts, offsets, before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect(), [], 0  # a row a partition
+    for r in sorted(counts):
+        offsets.append((r["part"], before))
+        before += r["n"]
+    starts = F.broadcast(sizes.sparkSession.createDataFrame(offsets, "part int, before bigint"))
+    return ranged.join(starts, "part").select("source", "source_size", (F.col("before") + F.row_number().over(own) - 1).cast("long").alias("place"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
