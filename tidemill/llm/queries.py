@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import chat, fingerprints, licenses, mixing, neardup, packing, pii, quality, secrets, urls
+from tidemill.llm import chat, fingerprints, licenses, manifest, mixing, neardup, packing, pii, quality, secrets, urls
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_personal_data": pii.op10_personal_data,
+        "op12_merkle_manifest": manifest.op12_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": neardup.OP2_SQL, "op4_chat_format": chat.OP4_SQL}
+    return {"op2_near_duplicates": neardup.OP2_SQL, "op4_chat_format": chat.OP4_SQL, "op12_merkle_manifest": manifest.OP12_SQL}
