@@ -353,11 +353,11 @@ _BOOK = """b{k} AS MATERIALIZED (
 )"""
 OP13_SQL = f"""
 WITH kept AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS entry
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS nth
   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), parts AS MATERIALIZED (
-  SELECT vec_id, entry, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x FROM kept, range(16) r(part)
-), b0 AS MATERIALIZED (SELECT part, entry, x FROM parts WHERE entry < 64),
+  SELECT vec_id, nth, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x FROM kept, range(16) r(part)
+), b0 AS MATERIALIZED (SELECT part, nth AS entry, x FROM parts WHERE nth < 64),
 {_NEAREST.format(k=0)}, {_BOOK.format(k=1, j=0)}, {_NEAREST.format(k=1)}, {_BOOK.format(k=2, j=1)}, {_NEAREST.format(k=2)},
 codes AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM n2 GROUP BY vec_id),
 book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM b2)
