@@ -29,7 +29,7 @@ def test_partition_replace_leaves_others_alone(spark, tmp_path):
     make = lambda *x: spark.createDataFrame(x, "id bigint, bucket string, value bigint")
     I.partition_replace(make((1, "A", 10), (2, "B", 20)), path, "bucket")
     assert rows(I.partition_replace(make((1, "A", 99), (3, "A", 30)), path, "bucket"), "bucket") == [("A", 2)]
-    assert rows(spark.read.parquet(path).select("id", "bucket", "value"), "id") == [(1, "A", 99), (2, "B", 20), (3, "A", 30)]
+    assert rows(R.read_files(spark, path).select("id", "bucket", "value"), "id") == [(1, "A", 99), (2, "B", 20), (3, "A", 30)]
 
 
 def test_key_upsert(spark, tmp_path):
@@ -39,7 +39,7 @@ def test_key_upsert(spark, tmp_path):
     new = make(("1", "e2", 0, 1), ("1", "e2", 200, 2), ("1", "e4", 40, 1))
     for _ in range(2):  # once more changes nothing
         assert rows(I.key_upsert(new, path, keys, ["seq"], "day"), "day") == [("1",)]
-        got = spark.read.parquet(path).select(F.col("day").cast("string"), "e", "value")
+        got = R.read_files(spark, path).select("day", "e", "value")
         assert rows(got, "day", "e") == [("1", "e1", 10), ("1", "e2", 200), ("1", "e4", 40), ("2", "e3", 30)]
 
 
@@ -49,7 +49,7 @@ def test_key_upsert_of_a_moved_key(spark, tmp_path):
         make = lambda *x: spark.createDataFrame(x, "day string, e string, seq int")
         I.key_upsert(make(("a", "e1", 1)), path, ["e"], ["seq"], "day")
         I.key_upsert(make(("b", "e1", 2)), path, ["e"], ["seq"], "day", global_key=whole)
-        assert spark.read.parquet(path).count() == left
+        assert R.read_files(spark, path).count() == left
 
 
 def test_propagation(spark):
@@ -287,11 +287,11 @@ def test_streams(spark, tmp_path):
         S.drained(S.entity_states(stream(None), "id", "ts", "value"), "update")
     base = f"{tmp_path}/states"
     S.persist_states(S.entity_states(stream(None), "id", "ts", "value"), base, "id", every=2)
-    latest = spark.read.parquet(f"{base}/latest")
+    latest = R.read_files(spark, f"{base}/latest")
     assert rows(latest, "id") == rows(states, "id")
     history = spark.read.parquet(f"{base}/history")
     assert history.count() == 7 and rows(history.where("id = 6").select("n"), "n") == [(1,), (2,)]
-    assert {r[0] for r in spark.read.parquet(f"{base}/checkpoints").select("batch").distinct().collect()} == {1, 3}
+    assert S.checkpoints(spark, base) == [1, 3] and rows(S.checkpoint(spark, base, 1), "id") == [(1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0)]
     os.makedirs(f"{tmp_path}/none")
     nothing = S.file_stream(spark, f"{tmp_path}/none", "id bigint, ts timestamp, value double", "ts")
     assert S.drained(S.entity_states(nothing, "id", "ts", "value"), "update", ["id"]).count() == 0 and S.drained(nothing).count() == 0

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import ordering
-from tidemill.sources.scratch import path_exists, stored
-from tidemill.sources.writers import swap, write_partitioned
+from tidemill.sources.snapshots import SnapshotTable
 
 MAPS = ("primary_key", "partition_keys", "entity_keys")
 
@@ -95,52 +94,55 @@ def touched(df: DataFrame, column: str) -> DataFrame:
 
 
 def keep_last(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    """The last row of each key by order_by."""
+    """The last row of each key by order_by; without keys, all rows.
+
+    Where all orders go one way it is a partial aggregation, which no hot key gathers in one task.
+    """
+    if not keys:
+        return df
+    down, names = {o.upper().endswith(" DESC") for o in order_by}, [o.split()[0] for o in order_by]
+    if len(down) == 1:
+        pick = F.min_by if down.pop() else F.max_by
+        rest = [F.col(f"`{c}`") for c in df.columns]
+        return df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*names)).alias("__row")).select("__row.*")
     order = [F.col(o.split()[0]).asc_nulls_first() if o.upper().endswith(" DESC") else F.col(o.split()[0]).desc_nulls_last() for o in order_by]
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
-def partition_replace(df: DataFrame, path: str, by: str, sort_by: list[str] | None = None) -> DataFrame:
-    """Rewrites the partitions that df has rows of; returns them with their row counts."""
-    counts = stored(df.groupBy(by).agg(F.count(F.lit(1)).alias("rows")), "touched")
-    write_partitioned(df, path, by, sort_by=sort_by)
-    return counts
+def partition_replace(df: DataFrame, path: str, by: str, sort_by: list[str] | None = None, stream: tuple[str, int] | None = None) -> DataFrame:
+    """Replaces the partitions that df has rows of, in one commit; returns them with their row counts."""
+    t = SnapshotTable(df.sparkSession, path, partition=by)
+    t.adopt()
+    return t.committed(t.replace_units(df, sort_by, stream)).groupBy(by).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def key_upsert(incoming: DataFrame, path: str, keys: list[str], order_by: list[str], partition: str | None = None, global_key: bool = False) -> DataFrame:
-    """Incoming rows, the last of each key, replace existing rows of their keys; returns the touched partitions or one row with the row count.
+def key_upsert(
+    incoming: DataFrame, path: str, keys: list[str], order_by: list[str], partition: str | None = None, global_key: bool = False, deleted: str | None = None, stream: tuple[str, int] | None = None
+) -> DataFrame:
+    """Incoming rows, the last of each key, replace existing rows of their keys, in one commit; returns the touched partitions or one row with the row count.
 
-    With a partition only the touched partitions are read and rewritten; global_key also removes the
-    old row of a key that came to another partition.
+    A commit writes the incoming rows only; with a partition, keys are those of a partition, and global_key also
+    removes the old row of a key that came to another one. Rows whose boolean column `deleted` is true remove
+    their keys. Without keys the incoming rows become the table. A stream's batch, (name, number), counts once.
     """
-    spark = incoming.sparkSession
-    fresh = stored(keep_last(incoming, keys, order_by) if keys else incoming, "incoming")
-    if not path_exists(spark, path):
-        merged = fresh
+    t = SnapshotTable(incoming.sparkSession, path, keys, partition)
+    t.adopt()
+    if keys:
+        name = t.upsert(keep_last(incoming, keys, order_by), deleted, global_key and partition is not None, stream)
     else:
-        old = spark.read.parquet(path)
-        if partition and not global_key:
-            old = old.join(touched(fresh, partition), partition, "left_semi")
-        kept = old.join(fresh.select(*keys), keys, "left_anti") if keys else old.limit(0)
-        merged = kept.unionByName(fresh, allowMissingColumns=True)
+        name = t.replace_all(incoming, stream=stream)
     if partition:
-        if global_key:
-            swap_partitioned(stored(merged, "merged"), path, partition)  # Spark can't overwrite what it reads
-        else:
-            write_partitioned(merged, path, partition)  # only partitions are replaced, after all has been written beside them
-        return touched(fresh, partition)
-    swap(merged, path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
-
-
-def swap_partitioned(df: DataFrame, path: str, partition: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(path)
+        return touched(t.committed(name), partition)
+    return t.read().agg(F.count(F.lit(1)).alias("rows"))
 
 
 def materialise(df: DataFrame, strategy: str, path: str, **options: Any) -> DataFrame | None:
     """full_refresh, partition_replace, key_upsert or entity_state_update."""
     if strategy == "full_refresh":
-        return swap(df, path)
+        t = SnapshotTable(df.sparkSession, path)
+        t.adopt()
+        t.replace_all(df)
+        return None
     if strategy == "partition_replace":
         return partition_replace(df, path, options["partition"], options.get("sort_by"))
     if strategy in ("key_upsert", "entity_state_update"):

@@ -13,7 +13,7 @@ from tidemill.operators.tables import DatedTable, expected_files, rollup, rollup
 from tidemill.plans.registry import query, table
 from tidemill.sources import readers as R
 from tidemill.sources import writers as W
-from tidemill.sources.scratch import make_dir, scratch_path, stored
+from tidemill.sources.scratch import make_dir, rename_path, scratch_path, stored
 from tidemill.streaming import streams as S
 
 # Sinks -----------------------------------------------------------------------
@@ -33,7 +33,7 @@ _STATUS = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
 def write_replace_partition(spark: SparkSession, sf: str) -> DataFrame:
     path, o = scratch_path(spark, "buckets"), table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     W.write_partitioned(o.where("o_orderkey % 4 <> 2"), path, expression="cast(o_orderkey % 4 as int)", column="bucket", sort_by=["o_orderkey"])
-    W.write_partitioned(o.where("o_orderkey % 4 = 1").withColumn("o_totalprice", F.col("o_totalprice") * 2), path, expression="cast(o_orderkey % 4 as int)", column="bucket")
+    W.write_partitioned(o.where("o_orderkey % 4 = 1").withColumn("o_totalprice", F.col("o_totalprice") * 2), path, expression="cast(o_orderkey % 4 as int)", column="bucket", atomic=True)
     return R.read_files(spark, path)
 
 
@@ -239,7 +239,7 @@ def rollup_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     W.write_partitioned(e.withColumn("file", F.concat(F.lit("data_"), F.date_format("day", "yyyy_MM_dd"))), f"{base}/parts", by="file")
     make_dir(spark, f"{base}/daily")
     for d in [r[0] for r in e.select("day").distinct().collect()]:  # a row a day
-        W.rename_path(spark, f"{base}/parts/file=data_{d:%Y_%m_%d}", f"{base}/daily/data_{d:%Y_%m_%d}")
+        rename_path(spark, f"{base}/parts/file=data_{d:%Y_%m_%d}", f"{base}/daily/data_{d:%Y_%m_%d}")
     months = [(r[0], r[1]) for r in e.select(F.year("day"), F.month("day")).distinct().collect()]  # a row a month
     years = sorted({y for y, _ in months})
     rollup_tiers(spark, base, "{tier}/data_{period}", years, {y: sorted(m for x, m in months if x == y) for y in years})
@@ -523,13 +523,14 @@ def stream_state_tables(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "states")
     S.persist_states(S.entity_states(_event_feed(spark, sf), "user_id", "ts", "value"), base, "user_id", every=1)
     history = R.read_files(spark, f"{base}/history").groupBy("user_id").agg(F.count(F.lit(1)).alias("history_rows"))
-    last = R.read_files(spark, f"{base}/checkpoints").groupBy("user_id").agg(F.max_by("n", "batch").alias("checkpoint_n"))
+    last = S.checkpoint(spark, base).select("user_id", F.col("n").alias("checkpoint_n"))
     return R.read_files(spark, f"{base}/latest").select("user_id", F.col("n").alias("latest_n")).join(history, "user_id").join(last, "user_id")
 
 
 class _Clicks(S.StateProcessor):
-    """The largest value and the number of values over 50."""
+    """The largest value and the number of values over 50, which don't depend on the order."""
 
+    ordered = False
     schema = "top double, high bigint"
 
     def start(self) -> tuple:
@@ -543,3 +544,41 @@ class _Clicks(S.StateProcessor):
 def stream_custom_state(spark: SparkSession, sf: str) -> DataFrame:
     """A processor of one's own."""
     return S.drained(S.entity_states(_event_feed(spark, sf), "user_id", "ts", "value", _Clicks("value")), "update", ["user_id"])
+
+
+class _Rises(S.StateProcessor):
+    """How often the value rose from an event to the next one, and the last value: a fold that depends on the order."""
+
+    schema = "n bigint, rises bigint, last double"
+
+    def start(self) -> tuple:
+        return (0, 0, None)
+
+    def apply(self, state: tuple, events) -> tuple:  # noqa: ANN001
+        n, rises, last = state
+        for v in events[self.value].tolist():
+            n, rises, last = n + 1, rises + int(last is not None and v > last), v
+        return (n, rises, last)
+
+
+def _unsorted_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in batches of some days, each up to four days late, with a watermark that waits for them."""
+    feed, e = scratch_path(spark, "feed"), table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    came = e.withColumn("batch", F.floor((F.dayofmonth("ts") + F.pmod("event_id", F.lit(5))) / 8))
+    came.write.partitionBy("batch").parquet(feed)
+    names = sorted((r[0] for r in came.select("batch").distinct().collect()))  # a row a batch
+    for i, n in enumerate(names):  # files are taken by their age
+        rename_path(spark, f"{feed}/batch={n}", f"{feed}/f{i:03d}")
+    return S.file_stream(spark, f"{feed}/*", e.schema, "ts", "5d", 1)
+
+
+_RISES = """
+WITH w AS (SELECT user_id, ts, event_id, value, value > LAG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rose FROM events WHERE ts <= (SELECT MAX(ts) - INTERVAL 5 DAY FROM events))
+SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE rose) AS rises, arg_max(value, (ts, event_id)) AS "last" FROM w GROUP BY 1
+"""
+
+
+@query("stream_ordered_state", _RISES)
+def stream_ordered_state(spark: SparkSession, sf: str) -> DataFrame:
+    """An order-dependent fold of events that come out of order: each waits for the watermark."""
+    return S.drained(S.entity_states(_unsorted_feed(spark, sf), "user_id", "ts", "value", _Rises("value"), tiebreak=["event_id"]), "update", ["user_id"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.sources.scratch import path_exists
+from tidemill.sources.snapshots import is_snapshot_table, read_snapshot
 
 #: Which storage profile a run reads, by intent.
 PROFILES = {"daily": "raw_append", "backfill": "rollup_cold", "features": "serving_entity", "inference": "serving_entity"}
@@ -18,13 +19,15 @@ TIERS = {"daily": ("daily", "monthly", "yearly"), "monthly": ("monthly", "daily"
 
 
 def read_files(spark: SparkSession, paths: str | list[str], fmt: str = "parquet", recursive: bool = False, union_by_name: bool = False, pattern: str | None = None, schema: str | None = None) -> DataFrame:
-    """parquet, csv (header, inferred types), json, jsonl; gzip by file extension; schemas of parquet files united by name on request."""
+    """parquet, csv (header, inferred types), json, jsonl; gzip by file extension; schemas of parquet files united by name on request. A snapshot table gives its newest snapshot."""
     reader = spark.read.option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if schema:
         reader = reader.schema(schema)
     if fmt == "parquet":
+        if isinstance(paths, str) and is_snapshot_table(spark, paths):
+            return read_snapshot(spark, paths)
         return reader.option("mergeSchema", union_by_name).parquet(*([paths] if isinstance(paths, str) else paths))
     if fmt == "csv":
         return reader.option("header", True).option("inferSchema", schema is None).option("mode", "FAILFAST").csv(paths)

@@ -72,3 +72,47 @@ def rename_path(spark: SparkSession, old: str, new: str) -> None:
 def make_dir(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's children; none of a missing folder's."""
+    fs, where = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = _file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, where = _file_system(spark, path)
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def rename_new(spark: SparkSession, old: str, new: str) -> bool:
+    """Renames a file unless the new name is taken, in one step; whether it did."""
+    jvm = spark._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_file_system(spark, new)[0].getUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(Path(old), Path(new), how)
+    except Exception as e:
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True

@@ -1,8 +1,7 @@
-"""Sinks: single and partitioned outputs, replace and append, formats, skipping, staged swaps, run logs."""
+"""Sinks: single and partitioned outputs, replace and append, formats, skipping, run logs."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 from typing import Any
 
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import ordering
-from tidemill.sources.scratch import path_exists, remove_path, rename_path
+from tidemill.sources.scratch import path_exists
+from tidemill.sources.snapshots import SnapshotTable
 
 
 def write_output(df: DataFrame, path: str, fmt: str = "parquet", sort_by: list[str] | None = None, mode: str = "overwrite", gzip: bool = False) -> None:
@@ -30,9 +30,10 @@ def write_output(df: DataFrame, path: str, fmt: str = "parquet", sort_by: list[s
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def write_partitioned(df: DataFrame, path: str, by: str | None = None, expression: str | None = None, column: str | None = None, mode: str = "replace_partition", sort_by: list[str] | None = None) -> None:
+def write_partitioned(df: DataFrame, path: str, by: str | None = None, expression: str | None = None, column: str | None = None, mode: str = "replace_partition", sort_by: list[str] | None = None, atomic: bool = False) -> None:
     """Partitioned parquet: replace_partition rewrites only the partitions that df has rows of, append adds files.
 
+    atomic: the partitions are replaced by one commit to a snapshot table, so that no reader and no crash comes in between.
     The rebalancing by partition lets Spark split a partition that holds most of the rows.
     """
     if expression and not column:
@@ -41,6 +42,11 @@ def write_partitioned(df: DataFrame, path: str, by: str | None = None, expressio
         df, by = df.withColumn(column, F.expr(expression)), column
     if mode not in ("replace_partition", "append"):
         raise ValueError(f"unknown mode {mode!r}")
+    if atomic and mode == "replace_partition":
+        t = SnapshotTable(df.sparkSession, path, partition=by)
+        t.adopt()
+        t.replace_units(df, sort_by)
+        return
     df = df.hint("rebalance", by)
     df = df.sortWithinPartitions(F.col(by), *(ordering(sort_by) if sort_by else []))
     writer = df.write.partitionBy(by)
@@ -58,17 +64,6 @@ def write_if_missing(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
     return True
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Replaces the folder that df may read from: written beside it, then renamed into its place."""
-    spark, new, old = df.sparkSession, f"{path}-new-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    if path_exists(spark, path):
-        rename_path(spark, path, old)
-    rename_path(spark, new, path)
-    if path_exists(spark, old):
-        remove_path(spark, old)
-
-
 def with_ingest_date(df: DataFrame, mode: str, value: Any = None, params: Mapping[str, Any] | None = None) -> DataFrame:
     """Adds dt: today, a literal, a parameter's value or a column's."""
     if mode == "today":

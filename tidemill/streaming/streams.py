@@ -9,10 +9,13 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidemill.operators.incremental import key_upsert, partition_replace
 from tidemill.sources.scratch import path_exists, scratch_path, stored
+from tidemill.sources.snapshots import SnapshotTable, is_snapshot_table, read_snapshot
 
 _UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days"}
 
@@ -36,6 +39,22 @@ def file_stream(spark: SparkSession, folder: str, schema: Any, time: str, allowe
     return out.withWatermark(time, lateness(allowed)) if allowed else out
 
 
+#: Keeps state on disk, so that it may outgrow memory; the ordered folds need it.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _run(writer: DataStreamWriter, spark: SparkSession, out: str | None = None) -> None:
+    """Runs a stream over all that there is."""
+    before = spark.conf.get(_STORE[0])
+    spark.conf.set(*_STORE)
+    try:
+        writer = writer.trigger(availableNow=True)
+        running = writer.start(out) if out else writer.start()
+    finally:
+        spark.conf.set(_STORE[0], before)
+    running.awaitTermination()
+
+
 def drained(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Runs a streaming query over all there is, into a table in the shared folder, and returns its rows; none where nothing came.
 
@@ -45,19 +64,21 @@ def drained(df: DataFrame, mode: str = "append", keys: list[str] | None = None)
     spark = df.sparkSession
     base = scratch_path(spark, "stream")
     if mode == "append":
-        df.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
-    else:
-        if mode == "update" and not keys:
-            raise ValueError("update mode needs the keys of its rows")
-
-        def put(batch: DataFrame, number: int) -> None:
-            if mode == "update":
-                key_upsert(batch, f"{base}/out", keys, keys)
-            else:
-                batch.write.mode("overwrite").parquet(f"{base}/out")
+        _run(df.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append"), spark, f"{base}/out")
+        return spark.read.schema(df.schema).parquet(f"{base}/out") if path_exists(spark, f"{base}/out") else spark.createDataFrame([], df.schema)
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
+    for_each_batch(df, lambda batch, stream: upserted(batch, f"{base}/out", keys, stream) if mode == "update" else replaced(batch, f"{base}/out", stream), mode, f"{base}/state")
+    return read_snapshot(spark, f"{base}/out") if is_snapshot_table(spark, f"{base}/out") else spark.createDataFrame([], df.schema)
+
+
+def upserted(batch: DataFrame, path: str, keys: list[str], stream: tuple[str, int]) -> None:
+    """A batch whose rows are one for each key."""
+    SnapshotTable(batch.sparkSession, path, keys).upsert(batch, stream=stream)
 
-        df.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out") if path_exists(spark, f"{base}/out") else spark.createDataFrame([], df.schema)
+
+def replaced(batch: DataFrame, path: str, stream: tuple[str, int]) -> None:
+    SnapshotTable(batch.sparkSession, path).replace_all(batch, stream=stream)
 
 
 def windowed_counts(df: DataFrame, time: str, length: str, slide: str | None = None, by: list[str] | None = None, value: str | None = None) -> DataFrame:
@@ -77,29 +98,48 @@ def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys)
 
 
-def for_each_batch(df: DataFrame, put: Callable[[DataFrame, int], None]) -> None:
-    state = scratch_path(df.sparkSession, "stream-state")
-    df.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+def for_each_batch(df: DataFrame, put: Callable[[DataFrame, tuple[str, int]], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Runs a stream over all there is; put gets each batch and (the stream's checkpoint, the batch's number), which name the batch if it runs again."""
+    state = checkpoint or scratch_path(df.sparkSession, "stream-state")
+    _run(df.writeStream.foreachBatch(lambda batch, number: put(batch, (state, number))).option("checkpointLocation", state).outputMode(mode), df.sparkSession)
 
 
-def stream_upsert(df: DataFrame, path: str, keys: list[str], order_by: list[str], partition: str | None = None) -> None:
-    """Upserts every batch of a change feed into the table at the path."""
-    for_each_batch(df, lambda batch, _: key_upsert(batch, path, keys, order_by, partition) and None)
+def stream_upsert(df: DataFrame, path: str, keys: list[str], order_by: list[str], partition: str | None = None, deleted: str | None = None, checkpoint: str | None = None) -> None:
+    """Upserts every batch of a change feed into the table at the path, once, whatever runs again; with a checkpoint of one's own the stream can go on later."""
+    for_each_batch(df, lambda batch, stream: key_upsert(batch, path, keys, order_by, partition, deleted=deleted, stream=stream) and None, checkpoint=checkpoint)
 
 
-def stream_partitions(df: DataFrame, source: Callable[[DataFrame], DataFrame], path: str, by: str) -> None:
+def stream_partitions(df: DataFrame, source: Callable[[DataFrame], DataFrame], path: str, by: str, checkpoint: str | None = None) -> None:
     """Every batch, late rows included, has the partitions it touches built anew from their source."""
-    for_each_batch(df, lambda batch, _: partition_replace(source(batch.select(by).distinct()), path, by) and None)
+    for_each_batch(df, lambda batch, stream: partition_replace(source(batch.select(by).distinct()), path, by, stream=stream) and None, checkpoint=checkpoint)
 
 
 class StateProcessor:
-    """Keyed state: what it holds (schema, a tuple's columns), how it begins and how an entity's new events change it. This one counts and sums a column."""
+    """Keyed state: what it holds (schema, a tuple's columns), how it begins and how an entity's new events, a frame, change it.
 
-    schema = "n bigint, total double"
+    An ordered processor gets an entity's events in order of time, whatever frames and batches they come in. One
+    that isn't, whose state doesn't depend on the order, gets them as they come.
+    """
+
+    schema = ""
+    ordered = True
 
     def __init__(self, value: str) -> None:
         self.value = value
 
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def apply(self, state: tuple, events: pd.DataFrame) -> tuple:
+        raise NotImplementedError
+
+
+class Totals(StateProcessor):
+    """The number of events and the sum of a column."""
+
+    schema = "n bigint, total double"
+    ordered = False
+
     def start(self) -> tuple:
         return (0, 0.0)
 
@@ -107,34 +147,155 @@ class StateProcessor:
         return (state[0] + len(events), state[1] + float(events[self.value].sum()))
 
 
-def entity_states(df: DataFrame, entity: str, time: str, value: str, processor: StateProcessor | None = None) -> DataFrame:
-    """entity and its state after each batch of events; the state goes on between batches. A batch's events of an entity are applied in order of time, in frames of bounded size."""
-    own = processor or StateProcessor(value)
-    names = [c.split()[0] for c in own.schema.split(", ")]
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else own.start()
-        for f in frames:
-            now = own.apply(now, f.sort_values(time, kind="stable"))
-        state.update(now)
-        yield pd.DataFrame({entity: [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
+def entity_states(
+    df: DataFrame, entity: str, time: str, value: str, processor: StateProcessor | None = None, tiebreak: list[str] | None = None, start: DataFrame | None = None, idle: str | None = None
+) -> DataFrame:
+    """entity and its state after each batch of events; the state goes on between batches, and begins with that of `start` (entity and the state's columns), such as a checkpoint's.
 
+    Events for an ordered processor wait in the state until the watermark, which df needs, has passed them; a timer
+    then folds them in order of time and tiebreak. Events that come after the watermark are dropped, as by
+    Spark's windows. idle: an entity's state begins anew after more than so long without events, and is removed when the watermark has come so far.
+    """
+    own = processor or Totals(value)
     kind = dict(df.dtypes)[entity]
-    return df.groupBy(entity).applyInPandasWithState(fold, f"{entity} {kind}, {own.schema}", own.schema, "update", GroupStateTimeout.NoTimeout)
+    out = f"{entity} {kind}, {own.schema}"
+    names = [c.split()[0] for c in own.schema.split(", ")]
+    if not own.ordered and start is None and idle is None:
+
+        def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            now = state.get if state.exists else own.start()
+            for f in frames:
+                now = own.apply(now, f)
+            state.update(now)
+            yield pd.DataFrame({entity: [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
+
+        return df.groupBy(entity).applyInPandasWithState(fold, out, own.schema, "update", GroupStateTimeout.NoTimeout)
+    columns = df.drop(entity).schema
+    wait = OrderedFold(own, entity, time, [time, *(tiebreak or [])], columns, 1000 * _seconds(idle) if idle else None)
+    begin = start.select(entity, *names).groupBy(entity) if start is not None else None
+    return df.groupBy(entity).transformWithStateInPandas(wait, out, "Update", "EventTime", begin)
+
+
+def _seconds(text: str) -> int:
+    n, unit = lateness(text).split()
+    return int(n) * {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}[unit]
+
+
+class OrderedFold(StatefulProcessor):
+    """An entity's state, its events that wait for the watermark, and one timer: for the earliest of them, else for the entity's end."""
+
+    #: Events that a processor gets at a time.
+    FRAME = 10_000
+
+    def __init__(self, own: StateProcessor, entity: str, time: str, order: list[str], columns: StructType, idle_ms: int | None) -> None:
+        self.own, self.entity, self.time, self.order, self.columns, self.idle_ms = own, entity, time, order, columns, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.own.schema)
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.last = handle.getValueState("last", "at bigint, timer bigint")
+
+    def _millis(self, t: Any) -> int:
+        return pd.Timestamp(t, tz=None if getattr(t, "tzinfo", None) else "UTC").value // 1_000_000
+
+    def _wake(self, at: int) -> None:
+        """Sets the entity's timer, if it has none that is earlier."""
+        last, timer = self.last.get() if self.last.exists() else (None, None)
+        if timer is None or at < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+            self.last.update((last, at))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for f in rows:
+            events = f[self.columns.names].astype(object).where(f[self.columns.names].notna(), None)
+            self.waiting.appendList([tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r) for r in events.itertuples(index=False)])
+            self._wake(self._millis(f[self.time].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        events = pd.DataFrame(list(self.waiting.get()), columns=self.columns.names) if self.waiting.exists() else pd.DataFrame(columns=self.columns.names)
+        last, _ = self.last.get()
+        self.last.update((last, None))
+        at = events[self.time].map(self._millis).astype("int64")
+        due, rest = events[at <= passed], events[at > passed]
+        if len(due):
+            due = due.assign(__at=at[at <= passed]).sort_values(self.order, kind="stable")
+            now = self.state.get() if self.state.exists() else self.own.start()
+            for run in self._runs(due, last):
+                if run is None:
+                    now = self.own.start()
+                    continue
+                for i in range(0, len(run), self.FRAME):
+                    now = self.own.apply(now, run.iloc[i : i + self.FRAME])
+            last = int(due["__at"].max())
+            self.state.update(now)
+            self.last.update((last, None))
+            names = [c.split()[0] for c in self.own.schema.split(", ")]
+            yield pd.DataFrame({self.entity: [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
+        if len(rest):
+            self.waiting.put([tuple(r) for r in rest.astype(object).where(rest.notna(), None).itertuples(index=False)])
+            self._wake(int(at[at > passed].min()))
+            return
+        self.waiting.clear()
+        if self.idle_ms is not None and last is not None:
+            if last + self.idle_ms > passed:
+                self._wake(last + self.idle_ms)
+            else:
+                self.state.clear()
+                self.last.clear()
+
+    def _runs(self, due: pd.DataFrame, last: int | None) -> Iterator[pd.DataFrame | None]:
+        """Events in order, with None where the entity was idle for too long before the next ones."""
+        if self.idle_ms is None:
+            yield due
+            return
+        before = due["__at"].shift()
+        before.iloc[0] = due["__at"].iloc[0] if last is None else last
+        number = (due["__at"] - before > self.idle_ms).cumsum()
+        for n, run in due.groupby(number):
+            if n:
+                yield None
+            yield run
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N802, N803
+        names = [c.split()[0] for c in self.own.schema.split(", ")]
+        values = initialState[names].astype(object).where(initialState[names].notna(), None)
+        self.state.update(tuple(values.iloc[0].tolist()))
+
+    def close(self) -> None:
+        pass
 
 
 def persist_states(states: DataFrame, base: str, entity: str, every: int = 10) -> None:
-    """Keeps a stream of states (in update mode) as latest, the state of each entity; history/batch=N, those that a batch changed; and checkpoints/batch=N, the latest ones after each `every` batches.
+    """Keeps a stream of states (in update mode) as latest, the state of each entity; history/batch=N, those that a batch changed; and a checkpoint after each `every` batches, a snapshot of latest that keeps its name.
 
     A batch that runs again replaces what it wrote, so reruns after a failure leave the same tables.
     """
     spark = states.sparkSession
+    latest = SnapshotTable(spark, f"{base}/latest", [entity])
 
-    def put(batch: DataFrame, number: int) -> None:
-        rows = stored(batch, "states")
+    def put(batch: DataFrame, stream: tuple[str, int]) -> None:
+        rows, number = stored(batch, "states"), stream[1]
         rows.write.mode("overwrite").parquet(f"{base}/history/batch={number}")
-        key_upsert(rows, f"{base}/latest", [entity], [entity])
+        latest.upsert(rows, stream=stream)
         if (number + 1) % every == 0:
-            spark.read.parquet(f"{base}/latest").write.mode("overwrite").parquet(f"{base}/checkpoints/batch={number}")
+            latest.tag(f"batch={number}")
+
+    for_each_batch(states, put, "update", f"{base}/stream")
+
+
+def checkpoints(spark: SparkSession, base: str) -> list[int]:
+    """The batches after which persist_states has kept a checkpoint."""
+    return sorted(int(t.removeprefix("batch=")) for t in SnapshotTable(spark, f"{base}/latest").snapshot()["tags"])
+
 
-    states.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/stream").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+def checkpoint(spark: SparkSession, base: str, batch: int | None = None) -> DataFrame:
+    """The states of a checkpoint, the last one by default: a start for entity_states and for fold_states."""
+    known = checkpoints(spark, base)
+    if not known or batch is not None and batch not in known:
+        raise FileNotFoundError(f"{base} has checkpoints after the batches {known}")
+    return SnapshotTable(spark, f"{base}/latest").read(tag=f"batch={known[-1] if batch is None else batch}")
