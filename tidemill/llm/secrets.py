@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import fresh_path, regex_spans, sha256, span_text, table, written
+from tidemill.llm.shared import distinct_sorted, fresh_path, let, regex_spans, running, sha256, span_text, table, written
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -115,7 +115,7 @@ def blob_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
     place = F.map_from_arrays(keys, F.array(*[F.lit(i) for i in range(len(rules))]))
     current = F.transform(F.filter("spans", lambda x: F.array_contains(keys, x["rule"])), lambda x: F.struct(x["start"], place[x["rule"]].alias("ord"), x["end"], x["kind"], x["rule"]))
     hit = ledger.select("blob", current.cast(_FOUND).alias("spans")).where(F.size("spans") > 0)
-    return hit.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found"))
+    return hit.groupBy("blob").agg(distinct_sorted(F.flatten(F.collect_list("spans"))).alias("found"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,13 +133,19 @@ def redacted(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     rows = rows.withColumn("own", F.unhex(sha256(F.coalesce("t", F.lit("")))))
     rows = rows.join(found, rows["own"] == found["blob"], "left")
     t = F.col("t")
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(t.substr(acc["pos"] + 1, x["start"] - acc["pos"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(x["start"] < acc["pos"], acc["out"]).otherwise(fresh).alias("out"))
+    def marked(spans: Column) -> Column:
+        # How far the spans before each one reach; what starts inside them is part of their mark.
+        def pieces(reach: Column) -> Column:
+            def piece(x: Column, i: Column) -> Column:
+                done = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+                return F.when(x["start"] < done, "").otherwise(F.concat(t.substr(done + 1, x["start"] - done), F.lit(mark)))
 
-    done = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), t.substr(acc["pos"] + 1, F.length(t))))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), t.substr(F.element_at(reach, -1) + 1, F.length(t)))
+
+        return let(running(F.transform(spans, lambda x: x["end"]), F.greatest), pieces)
+
+    done = let(F.col("found"), marked)
     new = F.when(F.col("found").isNull(), t).otherwise(done)
     return rows.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in names])
 

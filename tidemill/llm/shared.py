@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own: dict[str, str] = {}
-#: Paths that this process has given out, until release() has removed them.
-made: list[str] = []
+#: What the paths given out are noted in: of the run that this thread or task is in, if it is in one.
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    made.append(path)
+    if (run := _run.get()) is not None:
+        run.append(path)
     return path
 
 
@@ -77,12 +79,25 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Removes what was made after the first `since` paths, but for those to keep. DataFrames that read it can't be used any more."""
-    for path in made[since:]:
-        if path not in keep:
-            remove(spark, path)
-    made[since:] = keep
+class Run:
+    """A run that owns the paths given out inside it, as a context: other runs of the process have their own."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Run:
+        self._before = _run.set(self.paths)
+        return self
+
+    def release(self, *keep: str) -> None:
+        """Removes the run's tables but for those to keep. DataFrames that read them can't be used any more."""
+        for path in self.paths:
+            if path not in keep:
+                remove(self.spark, path)
+        self.paths[:] = keep
+
+    def __exit__(self, *_: object) -> None:
+        _run.reset(self._before)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -107,23 +122,59 @@ def words(text: Column) -> Column:
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
-def regex_spans(text: Column, pattern: str) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over each prefix of an array, for an associative op: a pass for each doubling of the reach, so no accumulator grows with each element."""
+    shifts = F.transform(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k) < F.size(values)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(shifts, values, lambda acc, d: F.transform(acc, lambda v, i: F.when(i >= d, op(F.get(acc, i - d), v)).otherwise(v)))
+
+
+def totals(values: Column) -> Column:
+    """Running sums of an array of integers."""
+    return running(values, lambda a, b: (a + b).cast("int"))
+
+
+def regex_spans(text: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
     """Leftmost non-overlapping matches of a pattern that has no empty match, as (start, end, hit) in code points.
 
-    split() and regexp_extract_all() walk the same matches, so the lengths of the parts between
-    the matches and of the matches add up to their places.
+    split() and regexp_extract_all() walk the same matches, so the running sums of the lengths of the parts
+    between the matches and of the matches are their places. before and after: so many characters around a match
+    at most, as further fields; after, not more than a match is long.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("part"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    kind = SPAN[:-2] + (",before:string,after:string>>" if before or after else ">>")
+    length = lambda p: (F.length(p["part"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).cast("int")
+
+    def spans(ps: Column) -> Column:
+        def placed(p: Column, end: Column) -> Column:
+            return F.struct((end - F.length(p["hit"])).cast("int").alias("start"), end.alias("end"), p["hit"].alias("hit"))
+
+        out = F.zip_with(ps, totals(F.transform(ps, length)), placed)
+        if before or after:
+            tail = running(F.transform(ps, lambda p: F.right(F.concat(p["part"], F.coalesce(p["hit"], F.lit(""))), F.lit(before))), lambda a, b: F.right(F.concat(a, b), F.lit(before)))
+
+            def around(tails: Column) -> Column:
+                def one(x: Column, i: Column) -> Column:
+                    own, following = F.get(ps, i), F.get(ps, i + 1)
+                    led = F.right(F.concat(F.when(i > 0, F.get(tails, i - 1)).otherwise(""), own["part"]), F.lit(before))
+                    return F.struct(x["start"], x["end"], x["hit"], led.alias("before"), F.left(F.concat(following["part"], F.coalesce(following["hit"], F.lit(""))), F.lit(after)).alias("after"))
+
+                return F.transform(out, one)
+
+            out = let(tail, around)
+        return F.filter(out, lambda x: x["hit"].isNotNull())
+
+    return F.when(text.rlike(pattern), let(pairs, spans)).otherwise(F.array().cast(kind))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = (acc["pos"] + F.length(x["part"])).cast("int")
-        e = (s + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("int")
-        one = F.array(F.struct(s.alias("start"), e.alias("end"), x["hit"].alias("hit")))
-        return F.struct(e.alias("pos"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+def distinct_sorted(values: Column) -> Column:
+    """The distinct values of an array in order, by comparing neighbours."""
+    return let(F.array_sort(values), lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1))))
 
 
 def span_text(spans: Column) -> Column:
