@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import mixing, neardup, packing, quality, secrets
-from tidemill.llm.shared import fresh_path, made, release
+from tidemill.llm.shared import Run, fresh_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return neardup.one_of_each(docs, k=5, percent=80)
 
 
-def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; n_chars keeps the length of the source text."""
-    ledger = secrets.scan(docs, fresh_path(spark, "secret-ledger"))
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
+    """Secrets in texts are replaced by a mark; n_chars keeps the length of the source text. With a ledger that stays, a later run scans only what it hasn't seen."""
+    ledger = secrets.scan(docs, ledger_path or fresh_path(spark, "secret-ledger"))
     return secrets.redacted(docs, ledger)
 
 
@@ -55,14 +55,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = len(made)
-    for name, stage in STAGES:
-        rows = stage(spark, docs, sf_dir)
-        path = fresh_path(spark, f"pipeline-{name}")
-        rows.write.parquet(path)
-        docs = spark.read.schema(rows.schema).parquet(path)
-        # A stage's rows are all that the next one needs.
-        release(spark, first, (path,))
+    with Run(spark) as own:
+        for name, stage in STAGES:
+            rows = stage(spark, docs, sf_dir, ledger_path) if stage is secret_stage else stage(spark, docs, sf_dir)
+            path = fresh_path(spark, f"pipeline-{name}")
+            rows.write.parquet(path)
+            docs = spark.read.schema(rows.schema).parquet(path)
+            own.release(path)  # a stage's rows are all that the next one needs
     return docs
