@@ -16,9 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import sha256, table
+from tidemill.llm.shared import let, sha256, table, totals
 
-_RUN = "array<struct<role:string,texts:array<string>>>"
 _MASK = "array<struct<start:int,end:int>>"
 NEXT, END = "<next>", "<end>"
 
@@ -36,30 +35,21 @@ def chat_format(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
     row = F.struct(F.col("turn").isNull().alias("late"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = turns.select("conv_id", row.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        text = escaped(x["text"])
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(text)).alias("texts"))))
-        added = F.concat(acc, F.array(F.struct(escaped(x["role"]).alias("role"), F.array(text).alias("texts"))))
-        return F.when((F.size(acc) > 0) & (last["role"] == escaped(x["role"])), joined).otherwise(added)
-
-    runs = convs.select("conv_id", F.aggregate("turns", F.array().cast(_RUN), merge).alias("runs"))
-    head = lambda r: F.concat(F.lit("<turn:"), r["role"], F.lit(">"))
-    block = lambda r: F.concat(head(r), F.array_join(r["texts"], NEXT), F.lit(END))
-    role_is = lambda r: r["role"].isin(*trained)  # noqa: E731  a trained role has none of the escaped characters
-
-    def mask(acc: Column, r: Column) -> Column:
-        def inner(a: Column, t: Column) -> Column:
-            end = (a["pos"] + F.length(t)).cast("int")
-            one = F.array(F.struct(a["pos"].alias("start"), end.alias("end")))
-            return F.struct((end + len(NEXT)).cast("int").alias("pos"), F.when(role_is(r), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
-
-        begun = F.struct((acc["pos"] + F.length(head(r))).cast("int").alias("pos"), acc["out"].alias("out"))
-        done = F.aggregate(r["texts"], begun, inner)
-        return F.struct((done["pos"] - len(NEXT) + len(END)).cast("int").alias("pos"), done["out"].alias("out"))
-
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(_MASK).alias("out"))
-    return runs.select("conv_id", F.array_join(F.transform("runs", block), "").alias("formatted"), F.aggregate("runs", zero, mask, lambda a: a["out"]).alias("loss_mask"))
+    # Each turn with what stands before its text: the mark of its run, or the one inside a run.
+    def opened(all_turns: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            same = F.when(i > 0, F.get(all_turns, i - 1)["role"] == x["role"]).otherwise(False)
+            head = F.concat(F.when(i > 0, END).otherwise(""), F.lit("<turn:"), escaped(x["role"]), F.lit(">"))
+            return F.struct(x["role"].alias("role"), F.when(same, NEXT).otherwise(head).alias("mark"), escaped(x["text"]).alias("text"))
+
+        return F.transform(all_turns, one)
+
+    pieces = convs.select("conv_id", let(F.col("turns"), opened).alias("pieces"))
+    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(END))
+    ends = totals(F.transform("pieces", lambda p: (F.length(p["mark"]) + F.length(p["text"])).cast("int")))
+    spans = F.zip_with("pieces", ends, lambda p, end: F.struct((end - F.length(p["text"])).cast("int").alias("start"), end.alias("end"), p["role"].isin(*trained).alias("trained")))
+    mask = F.transform(F.filter(spans, lambda s: s["trained"]), lambda s: F.struct(s["start"], s["end"]))
+    return pieces.select("conv_id", formatted.alias("formatted"), mask.cast(_MASK).alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:
