@@ -58,10 +58,13 @@ class Encoder(dict):
 
     As a dictionary it numbers the distinct chunks that it has met: what stands between two spaces of a
     text, with the space before it, or, marked by a leading space, a chunk that starts a text. The library's
-    model encodes each distinct piece of a chunk once. Beyond `most` chunks it starts afresh.
+    model encodes each distinct piece of a chunk once. Beyond `most` chunks or `most_bytes` of what they take it
+    starts afresh, and texts with a chunk of over LONG characters are cut as a whole, so that none is kept.
     """
 
-    def __init__(self, path: str, most: int = 1_600_000) -> None:
+    LONG = 64
+
+    def __init__(self, path: str, most: int = 1_600_000, most_bytes: int = 1 << 28) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,7 +79,7 @@ class Encoder(dict):
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         self.letters = _byte_alphabet()
         self.space = self.letters[32]
-        self.model, self.most = self.tokenizer.model, most
+        self.model, self.most, self.most_bytes = self.tokenizer.model, most, most_bytes
         self._forget()
 
     def _forget(self) -> None:
@@ -84,7 +87,7 @@ class Encoder(dict):
         self.pieces: dict[str, bytes] = {}
         self.fresh: list[str] = []
         self.first, self.count, self.unsafe = (np.empty(0, t) for t in (np.int64, np.int64, bool))
-        self.flat = np.empty(0, np.uint32)
+        self.flat, self.used, self.held = np.empty(0, np.uint32), 0, 0
 
     def _plain(self, text: str) -> bool:
         """Whether the library has nothing to find in the text but pieces that Python's pattern finds too."""
@@ -96,7 +99,10 @@ class Encoder(dict):
             # Letters and a space before them need no byte by byte translation where they are ASCII.
             plain = piece.isascii() and piece[1:].isalpha() and piece[0] == " "
             letters = f"{self.space}{piece[1:]}" if plain else piece.encode().decode("latin-1").translate(self.letters)
-            got = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            got = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(piece) <= self.LONG:
+                self.pieces[piece] = got
+                self.held += 200 + len(piece) + len(got)  # two objects and an entry of a dictionary
         return got
 
     def _cut(self, text: str) -> bytes:
@@ -123,11 +129,18 @@ class Encoder(dict):
         whole = self._cut if self._plain("".join(texts)) else self._whole
         got = [whole(t) for t in texts]
         count = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(count) - count))
+        self.held += sum(map(len, self.fresh)) + sum(map(len, got)) + 200 * len(got)
+        self.first = np.concatenate((self.first, self.used + np.cumsum(count) - count))
         self.count = np.concatenate((self.count, count))
         # White space after a space may belong to one piece with white space before it.
         self.unsafe = np.concatenate((self.unsafe, np.fromiter((not c or c[0] != " " and c[0].isspace() for c in self.fresh), bool, len(got))))
-        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(got), np.uint32)))
+        new = np.frombuffer(b"".join(got), np.uint32)
+        if self.used + len(new) > len(self.flat):  # grows by doubling
+            grown = np.empty(2 * (self.used + len(new)), np.uint32)
+            grown[: self.used] = self.flat[: self.used]
+            self.flat = grown
+        self.flat[self.used : self.used + len(new)] = new
+        self.used += len(new)
         self.fresh = []
 
     def ids(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
@@ -136,7 +149,7 @@ class Encoder(dict):
         Spaces that no white space follows start a piece, so chunks are encoded independently; a text with
         another space is cut by the pattern as a whole.
         """
-        if len(self) > self.most or len(self.pieces) > self.most:
+        if len(self) > self.most or len(self.pieces) > self.most or self.held > self.most_bytes:
             self._forget()
         last = np.array([] if end is None else [end], np.uint32)
         whole_text = lambda t: np.append(np.frombuffer(self._whole(t), np.uint32), last)
@@ -146,6 +159,8 @@ class Encoder(dict):
         for text in texts:
             own = text.split(" ")
             own[0] = f" {own[0]}"
+            if max(map(len, own)) > self.LONG:
+                own = ["\t"]  # unsafe: the text is cut as a whole
             chunks += own
             counts.append(len(own))
         which = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
