@@ -75,7 +75,7 @@ def words(t):
 def test_against_sql(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     con, sf = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     queries.queries()[name](spark, sf).write.parquet(f"{tmp_path}/out")
     got, want = con.sql(f"SELECT * FROM '{tmp_path}/out/*.parquet'").df(), con.sql(queries.oracle_sql()[name]).df()
@@ -682,3 +682,62 @@ def test_looser_personal_data_is_added(spark):
     # One document, and none that base kinds match, get a model all the same.
     one = pii.find(spark.createDataFrame([(1, "call (415) 555-2671 on 2024-01-15")], "doc_id bigint, text string")).first()
     assert [(s.kind, s.start, s.end) for s in one.added] == [("phone", 5, 19)]
+
+
+# Sizes that must not cost their square ------------------------------------------------
+
+
+def seconds(df):
+    import time
+
+    began = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_spans_of_texts_with_very_many_matches(spark):
+    from tidemill.llm.shared import regex_spans
+
+    texts = [" ".join(f"{i:016x}{'' if i % 3 else ' z'}" for i in range(n)) for n in (3, 1000, 40_000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in df.select("doc_id", regex_spans(F.col("text"), "[0-9a-f]{16,}", 9, 3).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i].s] == [(m.start(), m.end(), m[0], t[max(0, m.start() - 9) : m.start()], t[m.end() : m.end() + 3]) for m in re.finditer("[0-9a-f]{16,}", t)]
+    small, large = (df.where(F.col("doc_id") == i).select(regex_spans(F.col("text"), "[0-9a-f]{16,}")) for i in (1, 2))
+    seconds(small)
+    assert seconds(large) < 5 + 80 * seconds(small)
+    led = secrets.scan(df.limit(2), fresh_path(spark, "ledger"))
+    for r in secrets.redacted(df.limit(2), led).collect():
+        assert r.text == re.sub("[0-9a-f]{16,}", "[SECRET]", texts[r.doc_id])
+
+
+def test_a_conversation_of_many_thousand_turns(spark):
+    turns = [(1, i, ["user", "assistant", "assistant", None][i % 4], f"<{i}\\") for i in range(20_000)]
+    out = chat.chat_format(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    r = out.select("formatted", "loss_mask", chat.read_turns(F.col("formatted")).alias("turns")).first()
+    assert [tuple(x) for x in r.turns] == [(role or "", text) for _, _, role, text in turns]
+    esc = lambda t: t.replace("\\", "\\b").replace("<", "\\l").replace(">", "\\g")
+    assert [r.formatted[a:z] for a, z in r.loss_mask] == [esc(t) for _, _, role, t in turns if role == "assistant"]
+
+
+def test_texts_without_spaces_are_not_kept_by_the_encoder():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    enc, whole = packing.Encoder(path, most_bytes=1 << 20), Tokenizer.from_file(path)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(20_000)) for _ in range(20)] + ["plain words", "x" * 70 + " y z", " ".join(f"w{i}" for i in range(3000)), "", "  two"]
+    for _ in range(2):
+        for t, got in zip(texts, enc.ids(texts), strict=True):
+            assert got.tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert all(len(c) <= 65 for c in enc) and all(len(p) <= 64 for p in enc.pieces) and enc.held < 1 << 22
+
+
+def test_many_rows_of_one_id_are_dealt_out(spark):
+    rows = [(None if i % 2 else 7, f"text {i} " * 5) for i in range(4000)] + [(None, "same")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fingerprints.fingerprints(docs)
+    assert got.count() == len(rows)
+    plan = got.select("doc_id").distinct().count()
+    assert plan == 2
+    sizes = docs.repartitionByRange(4, F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 64), F.rand(9)).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r[1] for r in sizes) < 3000

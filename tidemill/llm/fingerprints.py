@@ -96,7 +96,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = own.repartitionByRange(n, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*by)
+    # Rows of one id, or without any, are dealt by their texts' beginnings too, and equal ones by chance: their order is a matter of choice.
+    dealt = own.repartitionByRange(n, by[0], F.substring("text", 1, 64).asc(), F.rand(9)).sortWithinPartitions(*by)
     rows = written(dealt.mapInArrow(_neighbours, f"{ROW}, {EDGE}"), "neighbours")
     edges = rows.where("part is not null")
     parts = sorted(r["part"] for r in edges.where("first").select("part").collect())  # a number a partition
