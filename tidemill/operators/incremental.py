@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import ordering
+from tidemill.operators import segments
 from tidemill.sources.snapshots import SnapshotTable
 
 MAPS = ("primary_key", "partition_keys", "entity_keys")
@@ -183,14 +184,30 @@ def manifest_values(changes: DataFrame, key: str) -> DataFrame:
     return changes.select(F.coalesce(*[F.try_element_at(m, F.lit(key)) for m in MAPS]).alias(key)).where(F.col(key).isNotNull()).distinct()
 
 
-def fold_states(events: DataFrame, entity: str, order_by: list[str], value: str, start: DataFrame | None = None) -> DataFrame:
-    """The state after each event: n, total, last, low, high per entity, going on from a checkpoint (entity, n, total, last, low, high)."""
-    w = Window.partitionBy(entity).orderBy(*ordering(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+_FOLD = (("n", "count"), ("total", "sum"), ("low", "min"), ("high", "max"))
+
+
+def fold_states(events: DataFrame, entity: str, order_by: list[str], value: str, start: DataFrame | None = None, segment_rows: int | None = segments.SEGMENT_ROWS) -> DataFrame:
+    """The state after each event: n, total, last, low, high per entity, going on from a checkpoint (entity, n, total, last, low, high).
+
+    An entity of more than segment_rows events is cut into time ranges, each folded by itself; a state's parts
+    are associative, so what the ranges before hold together is added to it.
+    """
     v = F.col(value)
-    out = events.withColumns({"n": F.count(F.lit(1)).over(w), "total": F.sum(v).over(w), "last": v, "low": F.min(v).over(w), "high": F.max(v).over(w)})
+    fold = lambda name: {"count": F.count(F.lit(1)), "sum": F.sum(v), "min": F.min(v), "max": F.max(v)}[name]
+    w = Window.partitionBy(entity).orderBy(*ordering(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    whole = lambda df: df.withColumns({n: fold(kind).over(w) for n, kind in _FOLD})
+    cuts = segments.hot_cuts(events, entity, order_by[0], segment_rows) if segment_rows else None
+    if cuts is None:
+        out = whole(events)
+    else:
+        cold, hot = segments.parted(events, entity, order_by[0], cuts)
+        hot = segments.running(hot, [entity], order_by, [(n, kind, F.lit(1) if kind == "count" else v) for n, kind in _FOLD], own=True)
+        out = whole(cold).unionByName(hot.drop(segments.SEG))
+    out = out.withColumn("last", v)
     if start is None:
         return out
-    s = start.select(F.col(entity).alias("__e"), *[F.col(c).alias(f"__{c}") for c in ("n", "total", "low", "high")])
+    s = start.select(F.col(entity).alias("__e"), *[F.col(c).alias(f"__{c}") for c, _ in _FOLD])
     out = out.join(s, out[entity] == s["__e"], "left")
     return out.withColumns({
         "n": F.col("n") + F.coalesce("__n", F.lit(0)), "total": F.col("total") + F.coalesce("__total", F.lit(0.0)),
@@ -203,14 +220,25 @@ def latest_state(states: DataFrame, entity: str, order_by: list[str], columns: l
     return states.groupBy(entity).agg(F.max_by(F.struct(*columns), F.struct(*order_by)).alias("s")).select(entity, "s.*")
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, columns: list[str], segment_rows: int | None = segments.SEGMENT_ROWS) -> DataFrame:
     """left with the columns of the last right row of its key at or before its time (right times unique by key).
 
-    Both sides are merged by time and carried forward, so no pair of rows is made.
+    Both sides are merged by time and carried forward, so no pair of rows is made. A key of more than
+    segment_rows rows is dealt out by time, and the last right row of the ranges before is carried into each.
     """
     extra = F.struct(*[F.col(c) for c in columns])
     own = left.select(F.col(by).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(extra.alias("e")).schema[0].dataType).alias("__r"))
     other = right.select(F.col(by).alias("__k"), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(own.schema["__l"].dataType).alias("__l"), extra.alias("__r"))
-    w = Window.partitionBy("__k").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = own.unionByName(other).withColumn("__r", F.last("__r", True).over(w)).where("__side = 1")
-    return out.select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in columns])
+    both = own.unionByName(other)
+    w = Window.partitionBy("__k").orderBy(F.col("__t").asc_nulls_last(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    merged = lambda df: df.withColumn("__r", F.last("__r", True).over(w))
+    cuts = segments.hot_cuts(both.select("__k", "__t"), "__k", "__t", segment_rows) if segment_rows else None
+    if cuts is None:
+        out = merged(both)
+    else:
+        cold, hot = segments.parted(both, "__k", "__t", cuts)
+        hot = segments.running(hot, ["__k"], ["__t", "__side"], [("__now", "last", F.col("__r"))], own=True)
+        out = merged(cold).unionByName(hot.drop("__r", segments.SEG).withColumnRenamed("__now", "__r"))
+    # A row without a time has no row before it.
+    known = F.when(F.col("__t").isNotNull(), F.col("__r"))
+    return out.where("__side = 1").withColumn("__r", known).select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in columns])
