@@ -7,6 +7,7 @@ null, NULL sorts last.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from typing import Any
 
@@ -182,6 +183,17 @@ def param_value(value: Any, kind: str) -> Any:
     raise ValueError(f"unknown parameter type {kind!r}")
 
 
+def _literal(v: Any) -> str:
+    """A value as SQL text."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (int, float)):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def param_filters(filters: Iterable[Mapping[str, Any]], params: Mapping[str, Any], where: str | None = None, required: Iterable[str] = ()) -> tuple[Column, dict[str, Any]]:
     """The condition of parameterised filters, and the parameters that it used.
 
@@ -222,10 +234,15 @@ def param_filters(filters: Iterable[Mapping[str, Any]], params: Mapping[str, Any
     if missing := [p for p in required if p not in params]:
         raise ValueError(f"parameters are required: {', '.join(missing)}")
     if where:
-        for n, v in params.items():
-            text = "NULL" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-            if "{" + n + "}" in where:
-                used[n], where = v, where.replace("{" + n + "}", text)
+        # One pass over the template, so that a value is never looked into for places.
+        places = "|".join(re.escape("{" + n + "}") for n in sorted(params, key=len, reverse=True))
+
+        def filled(m: re.Match) -> str:
+            name = m[0][1:-1]
+            used[name] = params[name]
+            return _literal(params[name])
+
+        where = re.sub(places, filled, where) if params else where
         parts.append(F.expr(where))
     out = F.lit(True)
     for p in parts:

@@ -7,35 +7,48 @@ import uuid
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException, IllegalArgumentException, PySparkTypeError, PySparkValueError
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import ordering
 from tidemill.operators import ml
+from tidemill.operators.metrics import auc
+from tidemill.sources.scratch import stored
 
 RUNS = "experiment string, run_id string, name string, status string, error string, config string"
 METRICS = "run_id string, metric string, value double"
 
 
-def test_metrics(predicted: DataFrame, target: str) -> dict[str, float]:
-    """Accuracy and area under the curve where there are class probabilities, else RMSE, MAE and R squared, in one pass each."""
+def test_metrics(predicted: DataFrame, target: str, binary: str | None = None) -> dict[str, float]:
+    """Accuracy and area under the curve where there are class probabilities, else RMSE, MAE and R squared, in one pass each; with a binary column also a regression's area under its curve."""
     y, p = F.col(f"{target}_actual"), F.col(f"{target}_pred")
     if f"{target}_pred_proba" in predicted.columns:
         accuracy = predicted.agg(F.avg((y == p).cast("double"))).first()[0]
-        auc = ml.area_under_roc(predicted.select(F.col(f"{target}_pred_proba").alias("rawPrediction"), y.alias("label")))
-        return {"test_score": accuracy, "auc": auc}
+        return {"test_score": accuracy, "auc": auc(predicted, f"{target}_actual", f"{target}_pred_proba").first()["auc"]}
     rmse, mae, r2 = predicted.agg(F.sqrt(F.avg((y - p) ** 2)), F.avg(F.abs(y - p)), 1 - F.sum((y - p) ** 2) / (F.var_pop(y) * F.count(y))).first()
-    return {"test_score": r2, "rmse": rmse, "mae": mae}
+    out = {"test_score": r2, "rmse": rmse, "mae": mae}
+    return out | {"auc": auc(predicted, binary, f"{target}_pred").first()["auc"]} if binary else out
+
+
+#: What a configuration can be wrong about; anything else, such as lost executors, ends the experiment.
+FAULTS = (ValueError, KeyError, TypeError, PySparkValueError, PySparkTypeError, AnalysisException, IllegalArgumentException)
 
 
 def run_experiment(train: DataFrame, test: DataFrame, configs: Mapping[str, Mapping[str, Any]], path: str, experiment: str) -> None:
-    """Trains and tests every config in turn and appends its run and metrics to the logs at path; a config that fails is a failed run, and the others go on."""
+    """Trains and tests every config in turn and appends its run and metrics to the logs at path; a config that is at fault is a failed run, and the others go on.
+
+    Both sets are written once and read by every run.
+    """
     spark = train.sparkSession
+    train, test = stored(train, "experiment-train"), stored(test, "experiment-test")
     for name, config in configs.items():
         run_id, metrics, status, error = uuid.uuid4().hex, {}, "success", None
         try:
-            metrics = test_metrics(ml.predictions(ml.train(train, config), test, config, []), config["target"])
-        except Exception as e:
+            binary = config.get("binary_target")
+            predicted = ml.predictions(ml.train(train, config), test, config, [binary] if binary else [])
+            metrics = test_metrics(predicted, config["target"], binary)
+        except FAULTS as e:
             status, error = "failed", str(e).splitlines()[0][:500]
         spark.createDataFrame([(experiment, run_id, name, status, error, json.dumps(config))], RUNS).write.mode("append").parquet(f"{path}/runs")
         spark.createDataFrame([(run_id, k, float(v)) for k, v in metrics.items() if v is not None], METRICS).write.mode("append").parquet(f"{path}/metrics")
@@ -62,3 +75,12 @@ def group_scores(model: Any, df: DataFrame, config: Mapping[str, Any], group: st
     w = Window.partitionBy(group)
     out = out.select(group, *keep, score.alias("score")).withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
     return out.withColumn("share", F.col("e") / F.sum("e").over(w)).drop("e")
+
+
+def compared(runs: DataFrame, metrics: DataFrame, by: Mapping[str, bool]) -> DataFrame:
+    """metric, name and value of the best run by each metric {name: whether higher is better}, such as test_score and auc."""
+    out = None
+    for metric, higher in by.items():
+        row = best_run(runs, metrics, metric, higher).select(F.lit(metric).alias("metric"), "name", "value")
+        out = row if out is None else out.union(row)
+    return out

@@ -84,22 +84,87 @@ def group_metrics(df: DataFrame, group: str, label: str, p: str, tiebreak: list[
     return best.crossJoin(loss)  # two single rows
 
 
-def exact_median(df: DataFrame, column: str) -> float | None:
-    """The median of a numeric column: the mean of the one or two middle values, found among counted distinct values dealt out by ranges."""
-    places = key_positions(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), ["v"])
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    middle = places.where((F.col("before") <= high) & (F.col("before") + F.col("n") > low))
-    return middle.agg((F.min("v") + F.max("v")) / 2).first()[0]
+#: Bars of a step of medians(), and distinct values of a bar that are taken to the driver.
+BARS, FEW_VALUES = 1024, 2048
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Medians of numeric columns: the mean of the one or two middle values; nulls and NaN aside. All columns together, in a few passes.
+
+    A pass counts each column's values in bars of the range that is left, BARS of them, and keeps the bar or bars of
+    the middle values; once these hold few values, or one, the values themselves are counted.
+    """
+    v = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    r = df.agg(*[x for i, c in enumerate(columns) for x in (F.count(v[c]).alias(f"n{i}"), F.min(v[c]).alias(f"a{i}"), F.max(v[c]).alias(f"z{i}"))]).first()
+    # For each column: rows below the range, the range, and the ranks of the middle values.
+    left = {c: [0, r[f"a{i}"], r[f"z{i}"], ((r[f"n{i}"] - 1) // 2, r[f"n{i}"] // 2), r[f"n{i}"]] for i, c in enumerate(columns) if r[f"n{i}"]}
+    out: dict[str, float | None] = dict.fromkeys(columns)
+
+    def melted(kind: str) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(c).alias("c"), v[c].alias("v"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for c, (_, low, high, _, _) in left.items()])
+        each = df.select(F.explode(rows).alias("x")).select("x.*").where("v between low and high")
+        return each.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")) if kind == "values" else each
+
+    while left:
+        done = [c for c, (_, low, high, _, _) in left.items() if low == high]
+        for c in done:
+            out[c] = float(left.pop(c)[1])
+        few = {c: x for c, x in left.items() if x[4] <= FEW_VALUES}
+        if few and len(few) == len(left):
+            held: dict[str, list] = {}
+            for x in melted("values").collect():  # FEW_VALUES a column at most
+                held.setdefault(x["c"], []).append((x["v"], x["n"]))
+            for c, (below, _, _, ranks, _) in left.items():
+                found, at = [], below
+                for value, n in sorted(held[c]):
+                    found += [value for k in ranks if at <= k < at + n]
+                    at += n
+                out[c] = float(sum(found) / 2)
+            break
+        if not left:
+            break
+        bar = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BARS), F.lit(BARS - 1))
+        held = {}
+        for x in melted("bars").groupBy("c", bar.alias("bar")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():  # BARS a column at most
+            held.setdefault(x["c"], []).append((x["low"], x["high"], x["n"]))
+        for c, x in left.items():
+            at, kept = x[0], []
+            for low, high, n in sorted(held[c]):
+                if any(at <= k < at + n for k in x[3]):
+                    kept.append((at, low, high, n))
+                at += n
+            x[0], x[1], x[2], x[4] = kept[0][0], kept[0][1], kept[-1][2], sum(k[3] for k in kept)
+            if len(kept) == 2:  # the middle values end one bar and begin the next, whatever lies in between
+                out[c] = (kept[0][2] + kept[1][1]) / 2
+        for c in [c for c in left if out[c] is not None]:
+            left.pop(c)
+    return out
+
+
+def modes(df: DataFrame, columns: list[str]) -> dict[str, Any]:
+    """The most frequent value of each column, the smallest on ties; nulls aside. One aggregation of counted values for all columns, so no task holds a column's values."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    groups: dict[Any, list[str]] = {}
+    for c in columns:
+        groups.setdefault(kinds[c].simpleString(), []).append(c)
+    out = dict.fromkeys(columns)
+    for same in groups.values():  # one for each type of column
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in same])).alias("x")).select("x.*").where("v is not null")
+        counted = rows.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        top = counted.groupBy("c").agg(F.max("n").alias("top")).withColumnRenamed("c", "k")
+        best_ = counted.join(F.broadcast(top), (F.col("c") == F.col("k")) & (F.col("n") == F.col("top"))).groupBy("c").agg(F.min("v").alias("v"))
+        out |= {r["c"]: r["v"] for r in best_.collect()}  # a row a column
+    return out
 
 
 def impute_stats(df: DataFrame, columns: list[str], approximate: bool = False) -> dict[str, Any]:
     """Medians of numeric columns, the most frequent value of others."""
     kinds = {f.name: f.dataType for f in df.schema}
     numeric = [c for c in columns if isinstance(kinds[c], T.NumericType)]
-    out = df.agg(*[F.mode(c, True).alias(c) for c in columns if c not in numeric]).first().asDict() if len(numeric) < len(columns) else {}
+    out = modes(df, [c for c in columns if c not in numeric])
     if approximate and numeric:
         return out | df.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in numeric]).first().asDict()
-    return out | {c: exact_median(df, c) for c in numeric}
+    return out | medians(df, numeric)
 
 
 def impute(df: DataFrame, stats: dict[str, Any]) -> DataFrame:

@@ -15,8 +15,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.linear import ridge_penalty
+
 MODELS = {
-    "ridge": lambda p: R.LinearRegression(elasticNetParam=0.0, regParam=p.get("alpha", 1.0)),
+    "ridge": lambda p: R.LinearRegression(elasticNetParam=0.0, standardization=False, regParam=p.get("penalty", p.get("alpha", 1.0))),
     "logistic_regression": lambda p: C.LogisticRegression(maxIter=p.get("max_iter", 100), regParam=p.get("reg", 0.0)),
     "random_forest_classifier": lambda p: C.RandomForestClassifier(numTrees=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 5), seed=p.get("seed", 42)),
     "random_forest_regressor": lambda p: R.RandomForestRegressor(numTrees=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 5), seed=p.get("seed", 42)),
@@ -65,7 +67,10 @@ def with_target(df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
 def train(df: DataFrame, config: Mapping[str, Any]) -> PipelineModel:
     """Fits on rows with a target."""
     check_features(df, config)
-    return estimator(config).fit(prepared(with_target(df, config), config))
+    rows = with_target(df, config)
+    if config["model"] == "ridge":  # alpha weighs against the sum of squared errors
+        config = {**config, "params": {**config.get("params", {}), "penalty": ridge_penalty(rows, config)}}
+    return estimator(config).fit(prepared(rows, config))
 
 
 def cross_validated(df: DataFrame, config: Mapping[str, Any], folds: int = 3) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import checks as K
 from tidemill.operators import experiments as EX
+from tidemill.operators import linear
 from tidemill.operators import metrics as M
 from tidemill.operators import ml
 from tidemill.operators.features import aggregate
@@ -125,8 +126,9 @@ def impute_apply(spark: SparkSession, sf: str) -> DataFrame:
     return M.impute(rows, M.impute_stats(rows, ["price", "priority"]))
 
 
-def _share(key: str) -> str:
-    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 10000"
+def _share(*keys: str) -> str:
+    text = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"CAST('0x' || substr(md5({text} || '|42'), 1, 8) AS BIGINT) % 10000"
 
 
 @query("split_random", f"SELECT o_orderkey, {_share('o_orderkey')} < 2000 AS is_test FROM orders")
@@ -244,10 +246,55 @@ def best_run(spark: SparkSession, sf: str) -> DataFrame:
     return M.best(_runs(spark, sf), "test_score").withColumn("test_score", F.round("test_score", 8))
 
 
-@query("compare_models", "(SELECT 'score' AS metric, l_suppkey AS name FROM lineitem GROUP BY 2 ORDER BY AVG(l_discount) DESC, 2 LIMIT 1) UNION ALL (SELECT 'error', l_suppkey FROM lineitem GROUP BY 2 ORDER BY AVG(l_tax), 2 LIMIT 1)")
+def _solved(features: list[str]) -> list[str]:
+    """SQL of the weights w0, w1 ... that solve the ridge's equations, by Cramer's rule, from the columns a{i}{j} (alpha on the diagonal) and b{i}."""
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'+' if k % 2 == 0 else '-'} {m[0][k]} * {det([[*r[:k], *r[k + 1 :]] for r in m[1:]])}" for k in range(len(m))) + ")"
+
+    n = len(features)
+    a = [[f"a{min(i, j)}{max(i, j)}" for j in range(n)] for i in range(n)]
+    return [f"{det([[f'b{i}' if j == k else a[i][j] for j in range(n)] for i in range(n)])} / {det(a)} AS w{k}" for k in range(n)]
+
+
+def _line_sql(features: list[str], target: str, alpha: str, source: str, by: str = "") -> str:
+    """SQL of w0 ... and c (the intercept) of a ridge over a source."""
+    n = len(features)
+    gram = [f"count(*) * covar_pop({features[i]}, {features[j]}){f' + {alpha}' if i == j else ''} AS a{i}{j}" for i in range(n) for j in range(i, n)]
+    rest = [f"count(*) * covar_pop({f}, {target}) AS b{i}, avg({f}) AS x{i}" for i, f in enumerate(features)]
+    group = f" GROUP BY {by}" if by else ""
+    first = f"SELECT {by + ', ' if by else ''}{', '.join(gram + rest)}, avg({target}) AS y FROM {source}{group}"
+    return f"SELECT *, y - {' - '.join(f'w{i} * x{i}' for i in range(n))} AS c FROM (SELECT *, {', '.join(_solved(features))} FROM ({first}))"
+
+
+_LINES = f"lines AS (SELECT *, CAST(l_extendedprice AS DOUBLE) AS price, {_share(*LINE_KEY[:-1])} < 2000 AS is_test FROM lineitem)"
+_ONE_FEATURE = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
+
+
+def _compare_sql() -> str:
+    runs = " UNION ALL ".join(f"SELECT '{n}' AS name, w0, c FROM ({_line_sql([f], 'price', '5.0', '(SELECT * FROM lines WHERE NOT is_test)')})" for n, f in _ONE_FEATURE.items())
+    tested = " UNION ALL ".join(f"SELECT name, price AS y, w0 * {f} + c AS p, price > 30000 AS dear FROM lines, runs WHERE is_test AND name = '{n}'" for n, f in _ONE_FEATURE.items())
+    return f"""
+WITH {_LINES}, runs AS ({runs}), tested AS ({tested}),
+scores AS (SELECT name, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS test_score, sqrt(avg((y - p) * (y - p))) AS rmse FROM tested GROUP BY 1),
+ranked AS (SELECT name, dear, rank() OVER (PARTITION BY name ORDER BY p) + (count(*) OVER (PARTITION BY name, p) - 1) / 2.0 AS r FROM tested),
+aucs AS (SELECT name, (sum(r) FILTER (WHERE dear) - count(*) FILTER (WHERE dear) * (count(*) FILTER (WHERE dear) + 1) / 2.0) / (count(*) FILTER (WHERE dear) * 1.0 * count(*) FILTER (WHERE NOT dear)) AS auc FROM ranked GROUP BY 1)
+(SELECT 'test_score' AS metric, name, round(test_score, 6) AS value FROM scores ORDER BY test_score DESC, name LIMIT 1)
+UNION ALL (SELECT 'rmse', name, round(rmse, 4) FROM scores ORDER BY rmse, name LIMIT 1) UNION ALL (SELECT 'auc', name, round(auc, 6) FROM aucs ORDER BY auc DESC, name LIMIT 1)
+"""
+
+
+@query("compare_models", _compare_sql())
 def compare_models(spark: SparkSession, sf: str) -> DataFrame:
-    runs = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("name")).agg(F.avg("l_discount").alias("score"), F.avg("l_tax").alias("error"))
-    return M.best(runs, "score").select(F.lit("score").alias("metric"), "name").unionByName(M.best(runs, "error", higher=False).select(F.lit("error").alias("metric"), "name"))
+    """The best of an experiment's runs by R squared, by RMSE and by the area under the curve of dear lines."""
+    rows = _training(spark, sf).withColumn("dear", (F.col("l_extendedprice") > 30000).cast("double"))
+    config = {"model": "ridge", "target": "l_extendedprice", "binary_target": "dear", "leakage_columns": ["dear"], "params": {"alpha": 5.0}}
+    path = scratch_path(spark, "comparison")
+    EX.run_experiment(rows.where("not is_test"), rows.where("is_test"), {n: {**config, "features": [f]} for n, f in _ONE_FEATURE.items()}, path, "one feature")
+    out = EX.compared(spark.read.parquet(f"{path}/runs"), spark.read.parquet(f"{path}/metrics"), {"test_score": True, "rmse": False, "auc": True})
+    return out.withColumn("value", F.when(F.col("metric") == "rmse", F.round("value", 4)).otherwise(F.round("value", 6)))
 
 
 # Post-processing ----------------------------------------------------------------------------
@@ -292,7 +339,66 @@ def _trained(name: str):  # noqa: ANN202
 
 
 for _name in _CONFIGS:
-    query(f"train_{_name}")(_trained(_name))
+    if _name != "ridge":
+        query(f"train_{_name}")(_trained(_name))
+
+
+@query("train_ridge", f"""
+WITH {_LINES}, line AS ({_line_sql(_FEATURES, "price", "0.1", "(SELECT * FROM lines WHERE NOT is_test)")})
+SELECT {", ".join(LINE_KEY[:-1])}, {", ".join(_FEATURES)}, price AS l_extendedprice_actual, round({" + ".join(f"w{i} * {f}" for i, f in enumerate(_FEATURES))} + c, 2) AS l_extendedprice_pred FROM lines, line WHERE is_test
+""")
+def train_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of the rows held out, against the ridge's closed form."""
+    return _trained("ridge")(spark, sf).withColumn("l_extendedprice_pred", F.round("l_extendedprice_pred", 2))
+
+
+_FOLDS = ["l_quantity", "l_discount"]
+
+
+def _folds_sql() -> str:
+    rows = "SELECT CAST(l_extendedprice AS DOUBLE) AS price, l_quantity, l_discount, (l_orderkey * 7 + l_linenumber) % 3 AS fold FROM lineitem"
+    left = f"(SELECT r.*, f.f, a.alpha FROM ({rows}) r, (SELECT unnest([0, 1, 2])::BIGINT AS f) f, (SELECT unnest([0.1, 100000.0]::DOUBLE[]) AS alpha) a WHERE r.fold <> f.f)"
+    return f"""
+SELECT alpha, f AS fold, count(*) AS n, round(sqrt(avg((price - p) * (price - p))), 4) AS rmse, round(1 - sum((price - p) * (price - p)) / (var_pop(price) * count(*)), 6) AS r2, round(any_value(c), 4) AS intercept
+FROM (SELECT r.price, l.alpha, l.f, l.c, w0 * r.l_quantity + w1 * r.l_discount + c AS p FROM ({rows}) r JOIN ({_line_sql(_FOLDS, "price", "any_value(alpha)", left, "alpha, f")}) l ON r.fold = l.f) GROUP BY 1, 2
+"""
+
+
+@query("cross_validate", _folds_sql())
+def cross_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """Three folds and two penalties from one pass."""
+    rows = table(spark, sf, "lineitem").withColumn("fold", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 3).cast("bigint"))
+    out = linear.cross_validate(rows, _FOLDS, "l_extendedprice", "fold", [0.1, 100000.0])
+    return out.select("alpha", "fold", "n", F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"), F.round("intercept", 4).alias("intercept"))
+
+
+_CHOICE = """
+WITH RECURSIVE marked AS (
+  SELECT l_orderkey AS g, l_quantity / 50.0 AS x, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) = 1 THEN 1 ELSE 0 END AS y FROM lineitem
+), newton(k, w) AS (
+  SELECT 0, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, any_value(w) + sum(gx) / sum(hx) FROM (
+    SELECT k, any_value(w) AS w, sum(CASE WHEN y = 1 THEN x END) - sum(x * exp(w * x)) / sum(exp(w * x)) AS gx, sum(x * x * exp(w * x)) / sum(exp(w * x)) - (sum(x * exp(w * x)) / sum(exp(w * x))) ** 2 AS hx
+    FROM newton, marked WHERE k < 12 GROUP BY k, g
+  ) GROUP BY k
+)
+SELECT count(*) AS groups, round(any_value(w), 6) AS weight, round(avg(loss), 6) AS log_loss FROM (
+  SELECT any_value(w) AS w, ln(sum(exp(w * x))) - sum(CASE WHEN y = 1 THEN w * x END) AS loss FROM (SELECT w FROM newton WHERE k = 12), marked GROUP BY g
+)
+"""
+
+
+@query("group_training", _CHOICE)
+def group_training(spark: SparkSession, sf: str) -> DataFrame:
+    """Which line of an order is its dearest, by quantity: a model trained inside orders."""
+    rows = table(spark, sf, "lineitem").withColumn("x", F.col("l_quantity") / 50.0)
+    top = rows.groupBy(F.col("l_orderkey").alias("g")).agg(F.min_by(F.struct(*LINE_KEY[1:-1]), F.struct(-F.col("l_extendedprice"), *LINE_KEY[1:-1])).alias("top"))
+    rows = rows.join(top, F.col("l_orderkey") == F.col("g")).withColumn("won", (F.struct(*LINE_KEY[1:-1]) == F.col("top")).cast("int"))
+    m = linear.group_choice(rows, "l_orderkey", "won", ["x"])
+    shares = m.scored(rows, "l_orderkey", ["l_orderkey", "won"])
+    loss = linear.group_log_loss(shares, "l_orderkey", "won")
+    return shares.where("won = 1").agg(F.count(F.lit(1)).alias("groups")).select("groups", F.round(F.lit(m.weights[0]), 6).alias("weight"), F.round(F.lit(loss), 6).alias("log_loss"))
 
 
 @query("feature_importance")
