@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.exprs import partition_segment
 from tidemill.operators import incremental as I
 from tidemill.operators.history import History
+from tidemill.operators.maintained import AggregateView, take_changes
 from tidemill.operators.steps import run_step
 from tidemill.operators.tables import DatedTable, expected_files, rollup, rollup_tiers
 from tidemill.plans.registry import query, table
@@ -362,6 +363,36 @@ def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_files(spark, path)
 
 
+@query("intake_twice", """
+SELECT CAST(user_id AS VARCHAR) AS u, COUNT(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'e' || event_id ELSE event_type || (event_id % 3 = 0) END) AS changes, 0 AS again FROM events GROUP BY 1
+""")
+def intake_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """A feed of which some came before, taken twice: each change is there once, and the second time none is new."""
+    path, changes = scratch_path(spark, "intake"), _changes(spark, sf)
+    first = take_changes(changes.where("event_id % 5 < 3"), path)
+    rest, again = take_changes(changes, path), take_changes(changes, path)
+    by_user = lambda df, name: df.groupBy(F.col("entity_keys")["user_id"].alias("u")).agg(F.count(F.lit(1)).alias(name))
+    taken = by_user(first.select("entity_keys").union(rest.select("entity_keys")), "changes")
+    late = by_user(again, "again").withColumnRenamed("u", "v")
+    return taken.join(late, F.col("u") == F.col("v"), "left").select("u", "changes", F.coalesce("again", F.lit(0)).cast("int").alias("again"))
+
+
+@query("aggregate_refresh", """
+SELECT user_id, event_type, COUNT(*) AS n, COUNT(value) AS filled, round(SUM(value), 4) AS total, round(AVG(value), 6) AS mean, MIN(value) AS low, MAX(value) AS high
+FROM events WHERE NOT (day(ts) < 15 AND event_id % 7 = 0 OR event_type = 'error' AND user_id % 5 = 0) GROUP BY 1, 2
+""")
+def aggregate_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Aggregates of the first two weeks, then what came later added and what was deleted subtracted; equals a full build."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    gone = F.expr("day(ts) < 15 and event_id % 7 = 0 or event_type = 'error' and user_id % 5 = 0")
+    kinds = {"filled": ("count", "value"), "total": ("sum", "value"), "mean": ("avg", "value"), "low": ("min", "value"), "high": ("max", "value")}
+    view = AggregateView(spark, scratch_path(spark, "aggregates"), ["user_id", "event_type"], kinds, buckets=8)
+    early = F.dayofmonth("ts") < 15
+    view.rebuild(e.where(early))
+    view.refresh(e.where(~early & ~gone), e.where(early & gone), e.where(~gone))
+    return view.read().withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
+
+
 def _manifests(spark: SparkSession, sf: str) -> DataFrame:
     """Changes read back from manifests of at most about 50 changes each, built by user."""
     e = table(spark, sf, "events")

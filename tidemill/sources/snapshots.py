@@ -186,6 +186,10 @@ class SnapshotTable:
             for n in plain:
                 remove_path(self.spark, f"{self.path}/{n}")
 
+    def units_of(self, df: DataFrame) -> set[str]:
+        """The units that rows fall into."""
+        return {r[0] for r in self._in_units(df).select(UNIT).distinct().collect()}  # a row a unit
+
     def _in_units(self, df: DataFrame) -> DataFrame:
         entry = self._layout()
         return df.withColumn(UNIT, unit_of(entry["partition"], entry["keys"], entry["buckets"]))
@@ -235,10 +239,42 @@ class SnapshotTable:
             return now | {"schema": self._joined(now, schema), "units": units}
 
         name = self._commit(change, "upsert", rows, stream)
+        self._compact_full()
+        return name
+
+    def insert_new(self, df: DataFrame, stream: tuple[str, int] | None = None) -> str | None:
+        """Adds the rows whose keys the table doesn't have yet, one for each key; a feed that is taken again, in whatever run, adds nothing.
+
+        The keys of the units that df falls into are read, nothing else of the table.
+        """
+        keys = self._layout()["keys"]
+        if not keys:
+            raise ValueError("new rows are told by keys")
+        rows, schema = self._shaped(df.dropDuplicates(keys), self.snapshot())
+        rows = self._in_units(rows)
+        if self.exists():
+            known, same = _keyed(self.read(units=self.units_of(df), with_unit=True), keys)
+            rows = rows.join(known, same & (F.col(UNIT) == F.col("__u")), "left_anti")
+
+        def change(now: Snapshot, name: str | None) -> Snapshot | None:
+            if now["version"] != seen:
+                raise ConflictError(f"{self.path}: another commit came while new rows were told from known ones")
+            units = dict(now["units"])
+            for u in self._written(name):
+                was = units.get(u)
+                units[u] = {"base": was["base"], "deltas": [*was["deltas"], name]} if was else {"base": name, "deltas": []}
+            return now | {"keys": keys, "schema": self._joined(now, schema), "units": units}
+
+        seen = self.snapshot()["version"]
+        name = self._commit(change, "insert_new", rows, stream)
+        self._compact_full()
+        return name
+
+    def _compact_full(self) -> None:
+        """Merges the units that have more deltas than they may."""
         full = {u for u, x in self.snapshot()["units"].items() if len(x["deltas"]) > self.most_deltas}
         if full:
             self.compact(full)
-        return name
 
     def compact(self, units: set[str] | None = None) -> str | None:
         """Merges the deltas of units into new bases. Deltas that are committed meanwhile stay on top of them."""
