@@ -462,6 +462,23 @@ def test_rules_from_whole_urls(spark):
     assert [got[i] for i in range(5000, 5006)] == ["block", "block", "block", "block", "allow", "allow"]
 
 
+def test_tokens_that_always_come_together_make_one_rule(spark):
+    sets = [[f"{s}-{chr(97 + i)}" for i in range(20)] for s in "abcd"]
+    pages, bad = [], {}
+    for i in range(480):
+        on = [bool(i >> k & 1) for k in range(4)]
+        pages.append((i, "http://o.org/" + "/".join(t for s, o in zip(sets, on, strict=True) if o for t in s)))
+        bad[i] = all(on[:3])
+    pages += [(1000, "http://o.org/a-d/b-t/c-a"), (1001, "http://o.org/a-d/b-t/d-a"), (None, "http://o.org/a-d/b-b"), (None, "http://o.org/c-a")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string")
+    labels = spark.createDataFrame(list(bad.items()), "page_id bigint, bad boolean")
+    mined = urls.mine(urls.with_tokens(df), labels, 0.02, 0.7).collect()
+    assert 0 < len(mined) < 20 and any(len(m.classes) == 3 and all(len(c) >= 20 for c in m.classes) for m in mined)
+    got = [(r.page_id, r.verdict) for r in urls.judge(df, labels, (), min_support=0.02, min_confidence=0.7).collect()]
+    assert all(v == ("block" if bad[i] else "allow") for i, v in got if i is not None and i < 1000)
+    assert (1000, "block") in got and (1001, "allow") in got and got.count((None, "allow")) == 2
+
+
 # 7: packing --------------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 Labelled pages are baskets of URL tokens, with one more item where the page is bad. FP-growth mines
 the token combinations in two thirds of them; rules that lead to the bad item and reach the wanted
 confidence and support are candidates, and those whose share of bad pages among the other third is above
-the base rate beyond chance (Wilson's lower bound) are kept. A rule is filed under the rarest token of its left side; a URL looks up its own tokens in
-that index and is blocked if it holds the whole left side of a rule that it finds. Explicit host
+the base rate beyond chance (Wilson's lower bound) are kept. Tokens of the same baskets are one class. A rule is
+filed under the rarest class of its left side; a URL looks up its own tokens' classes in that index and is blocked
+if it has a token of each class of a rule that it finds. Explicit host
 and path rules go first, the longest fitting one wins.
 
 Defined results: a null url, and one without "://", has empty host and path, no tokens and is
@@ -97,7 +98,7 @@ def wilson(bad: Column, n: Column, z: float = DEVIATIONS) -> Column:
 
 
 def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
-    """Rules (rule_id, side: tokens, confidence, support) that lead to bad.
+    """Rules (rule_id, side: tokens, classes: for each of them the tokens of the same baskets, confidence, support) that lead to bad.
 
     labels has page_id and bad (boolean); pages whose hash leaves 0 after division by 3 are held out to test
     the rules. A rule also needs three bad pages' worth of support; a rule
@@ -105,8 +106,8 @@ def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_con
     number of rules is bounded by the support, not by the number of pages.
 
     A side with two tokens of the same baskets is always pruned, as one of the two does; so one token of
-    each such set is mined, and the rules are written out for the others afterwards. Segments and keys that
-    always come together would else double the number of combinations each.
+    each such set, the least, is mined and stands for the set, and there is one rule however large the sets are.
+    Segments and keys that always come together would else double the number of combinations each.
     """
     spark = rows.sparkSession
     known = labels.where(F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("__id")).agg(F.max("bad").alias("bad"))
@@ -114,7 +115,7 @@ def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_con
     labelled = labelled.select(F.monotonically_increasing_id().alias("basket"), "tokens", "bad", (F.pmod(F.xxhash64("page_id"), F.lit(3)) == 0).alias("held"))
     labelled = written(labelled, "url-baskets")
     baskets, held = labelled.where("not held"), labelled.where("held")
-    schema = "rule_id bigint, side array<string>, confidence double, support double"
+    schema = "rule_id bigint, side array<string>, classes array<array<string>>, confidence double, support double"
     n = baskets.count()
     if not n:
         return spark.createDataFrame([], schema)
@@ -135,12 +136,10 @@ def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_con
         .select("side").distinct()
     )
     kept = rules.join(pruned, "side", "left_anti")
-    # Each side with each choice of one token for each set of twins.
-    sets = twins.groupBy("twin").agg(F.collect_list("token").alias("tokens"))
-    choices = kept.select("side", "confidence", "support", F.explode("side").alias("twin")).join(sets, "twin").groupBy("side", "confidence", "support").agg(F.collect_list("tokens").alias("sets"))
-    sides = F.aggregate("sets", F.array(F.array().cast("array<string>")), lambda acc, s: F.flatten(F.transform(acc, lambda a: F.transform(s, lambda t: F.array_append(a, t)))))
-    out = choices.select(F.explode(sides).alias("side"), "confidence", "support").withColumn("side", F.array_sort("side"))
-    out = written(out.select(F.xxhash64("side").alias("rule_id"), "side", "confidence", "support"), "url-candidates")
+    # A token's class is all tokens of the same baskets; a page fits a rule that has a token of each of its classes.
+    sets = twins.groupBy("twin").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    out = kept.select("side", "confidence", "support", F.explode("side").alias("twin")).join(sets, "twin").groupBy("side", "confidence", "support").agg(F.collect_list("tokens").alias("classes"))
+    out = written(out.select(F.xxhash64("side").alias("rule_id"), "side", "classes", "confidence", "support"), "url-candidates")
     # What the rules say about pages that they weren't mined from.
     base = held.agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()[0]
     told = rule_hits(held.select(F.col("basket").alias("page_id"), "tokens"), out).join(held.select("basket", "bad"), F.col("page_id") == F.col("basket"))
@@ -150,14 +149,17 @@ def mine(rows: DataFrame, labels: DataFrame, min_support: float = 0.002, min_con
 
 
 def rule_hits(own: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, rule_id and confidence of the rules that each row (page_id, tokens) fits, through an inverted index."""
-    used = rules.select(F.explode("side").alias("token"), "rule_id").select("token").distinct()
-    seen = own.select("page_id", F.explode("tokens").alias("token"))
-    counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(used, "token")
-    rarest = rules.select("rule_id", "side", "confidence", F.explode("side").alias("token")).join(counts, "token", "left")
-    rarest = rarest.groupBy("rule_id", "side", "confidence").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token"))).alias("token"))
-    found = own.select("page_id", "tokens", F.explode("tokens").alias("token")).join(rarest, "token")
-    return found.where(F.size(F.array_except("side", "tokens")) == 0).select("page_id", "rule_id", "confidence")
+    """page_id, rule_id and confidence of the rules that each row (page_id, tokens) fits, through an inverted index of token classes; only tokens that rules have are moved."""
+    of_class = rules.select(F.explode("classes").alias("c")).select(F.explode("c").alias("t"), F.array_min("c").alias("class")).distinct()
+    # Rows of one id, or without any, are told apart by their tokens.
+    seen = own.select("page_id", F.xxhash64("tokens").alias("url"), F.explode("tokens").alias("token"))
+    held = seen.join(of_class, F.col("token") == F.col("t")).groupBy("page_id", "url").agg(F.collect_set("class").alias("held"))
+    held = written(held, "url-classes")
+    counts = held.select(F.explode("held").alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("df"))
+    rarest = rules.select("rule_id", "side", "confidence", F.explode("side").alias("class")).join(counts, "class", "left")
+    rarest = rarest.groupBy("rule_id", "side", "confidence").agg(F.min_by("class", F.struct(F.coalesce("df", F.lit(0)), F.col("class"))).alias("class"))
+    found = held.select("page_id", "held", F.explode("held").alias("class")).join(rarest, "class")
+    return found.where(F.size(F.array_except("side", "held")) == 0).select("page_id", "rule_id", "confidence")
 
 
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
