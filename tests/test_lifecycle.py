@@ -94,6 +94,23 @@ def test_slice_resolution(spark, prefer, key):
     assert rows(files.where("key like '%_03.%'").select("tier", "start_date", "end_date"), "tier") == [("monthly", dt.date(2026, 3, 1), dt.date(2026, 3, 31))]
 
 
+def test_slices_of_nested_paths_and_odd_spans(spark, tmp_path):
+    """A key that ends another one's path, files of other spans, and dates asked of one table."""
+    day = lambda d: dt.date(2026, 3, d)
+    for key, n in (("a.parquet", 1), ("b/a.parquet", 2)):
+        spark.createDataFrame([(day(1), n), (day(2), n)], "d date, n int").coalesce(1).write.parquet(f"{tmp_path}/{key}")
+    chosen = spark.createDataFrame([("a.parquet", day(1)), ("b/a.parquet", day(2))], "key string, date date")
+    assert rows(R.read_slices(spark, str(tmp_path), chosen, "d"), "d") == [(day(1), 1), (day(2), 2)]
+    assert rows(R.read_slices(spark, f"file://{tmp_path}", chosen, "d"), "d") == [(day(1), 1), (day(2), 2)]
+    files = [("t", "week", "weekly", day(2), day(8)), ("t", "month", "monthly", day(1), day(31)), ("t", "late", "monthly", day(20), dt.date(2026, 4, 10)), ("u", "day", "daily", day(3), day(3)), ("u", "never", "daily", day(9), day(8))]
+    catalogue = spark.createDataFrame(files, "table string, key string, tier string, start_date date, end_date date")
+    ask = [(day(d),) for d in (1, 3, 9, 25)] + [(dt.date(2026, 4, 5),)]
+    got = {(r.table, r.date): r.key for r in R.resolve_slices(catalogue, spark.createDataFrame(ask, "date date"), "monthly").collect()}
+    assert got == {("t", day(1)): "month", ("t", day(3)): "month", ("t", day(9)): "month", ("t", day(25)): "late", ("t", dt.date(2026, 4, 5)): "late", ("u", day(3)): "day"}
+    one = R.resolve_slices(catalogue, spark.createDataFrame([("u", day(3)), ("t", day(3))], "table string, date date"), "daily")
+    assert {(r.table, r.key) for r in one.collect()} == {("t", "month"), ("u", "day")} and one.columns == ["date", *catalogue.columns]
+
+
 def test_sources(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="nowhere"):
         R.register(spark, {"a": {"path": "nowhere.parquet"}}, str(tmp_path))

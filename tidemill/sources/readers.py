@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.sources.scratch import path_exists
@@ -90,16 +90,28 @@ def tier_priority(tier: Column, prefer: str) -> Column:
 def resolve_slices(catalogue: DataFrame, dates: DataFrame, prefer: str = "daily") -> DataFrame:
     """For each (table, date) the covering file by tier preference, then shortest span, then nearest start.
 
-    catalogue has table, key, tier, start_date, end_date; dates has date. Files meet dates by month, an
-    equality key, so no join compares every file with every date.
+    catalogue has table, key, tier, start_date, end_date; dates has date, and table where each date is asked of one
+    table only. A day lies in one day, one month and one year, so each date looks up three keys (table, tier,
+    start); files of other spans meet dates by month. The best file is an aggregate, so nothing is sorted.
     """
-    months = F.explode(F.sequence(F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("interval 1 month")))
-    files = catalogue.withColumn("__month", months)
-    days = dates.select(F.col("date").cast("date").alias("date"), F.trunc(F.col("date").cast("date"), "month").alias("__month"))
-    met = days.join(files, "__month").where("date between start_date and end_date")
-    order = [tier_priority(F.col("tier"), prefer), F.datediff("end_date", "start_date"), F.datediff("date", "start_date"), F.col("key")]
-    w = Window.partitionBy("table", "date").orderBy(*order)
-    return met.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__month")
+    own = ["table"] if "table" in dates.columns else []
+    days = dates.select(*own, F.col("date").cast("date").alias("date")).distinct()
+    units = {"daily": "day", "monthly": "month", "yearly": "year"}
+    ends = {"daily": F.col("start_date"), "monthly": F.last_day("start_date"), "yearly": F.date_add(F.add_months("start_date", 12), -1)}
+    nested = F.lit(False)
+    for tier, unit in units.items():
+        nested |= (F.col("tier") == tier) & (F.col("start_date") == F.date_trunc(unit, "start_date").cast("date")) & (F.col("end_date") == ends[tier])
+    nested = F.coalesce(nested, F.lit(False))
+    start = F.array(*[F.struct(F.lit(t).alias("tier"), F.date_trunc(u, "date").cast("date").alias("start_date")) for t, u in units.items()])
+    asked = days.select(*own, "date", F.explode(start).alias("k")).select(*own, "date", "k.*")
+    met = asked.join(catalogue.where(nested), [*own, "tier", "start_date"]).select("date", *catalogue.columns)
+    month = lambda c: F.trunc(c, "month")
+    odd = catalogue.where(~nested & (F.col("start_date") <= F.col("end_date"))).withColumn("__month", F.explode(F.sequence(month("start_date"), month("end_date"), F.expr("interval 1 month"))))
+    met = met.union(days.withColumn("__month", month("date")).join(odd, [*own, "__month"]).where("date between start_date and end_date").select("date", *catalogue.columns))
+    order = F.struct(tier_priority(F.col("tier"), prefer), F.datediff("end_date", "start_date"), F.datediff("date", "start_date"), F.col("key"))
+    rest = [c for c in catalogue.columns if c != "table"]
+    best = met.groupBy("table", "date").agg(F.min_by(F.struct(*rest), order).alias("__file"))
+    return best.select("date", *[F.col("table") if c == "table" else F.col(f"__file.{c}").alias(c) for c in catalogue.columns])
 
 
 def read_slices(spark: SparkSession, base: str, resolved: DataFrame, date_column: str, fmt: str = "parquet") -> DataFrame:
@@ -113,10 +125,15 @@ def read_slices(spark: SparkSession, base: str, resolved: DataFrame, date_column
         raise FileNotFoundError("no file covers the dates")
     rows = read_files(spark, [f"{base}/{k}" for k in sorted(keys)], fmt, union_by_name=True)
     chosen = resolved.select(F.col("key").alias("__key"), F.col("date").alias("__date")).distinct()
-    # A key is a file, or a folder with part files.
+    # A key is a file, or a folder with part files; what a path has behind the base is its key.
     file = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "/part-[^/]*$", "")
-    rows = rows.select("*", file.alias("__file"), F.col(date_column).cast("date").alias("__day"))
-    return rows.join(chosen, (F.col("__day") == F.col("__date")) & F.col("__file").endswith(F.concat(F.lit("/"), F.col("__key"))), "left_semi").drop("__file", "__day")
+    under = re.sub(r"^\w+:(//[^/]*)?", "", base).rstrip("/") + "/"
+    at = F.instr(F.col("__file"), under)
+    key = F.when(at > 0, F.substring("__file", at + len(under), F.length("__file")))
+    rows = rows.select("*", file.alias("__file"), F.col(date_column).cast("date").alias("__day")).withColumn("__own", key)
+    # A store may show files under another path than they were asked for by; then their ends tell.
+    same = F.coalesce(F.col("__own") == F.col("__key"), F.col("__file").endswith(F.concat(F.lit("/"), F.col("__key"))))
+    return rows.join(chosen, (F.col("__day") == F.col("__date")) & same, "left_semi").drop("__file", "__day", "__own")
 
 
 def load_dataset(spark: SparkSession, name: str, base: str = "", fmt: str | None = None) -> DataFrame:
