@@ -374,7 +374,7 @@ def cross_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 _CHOICE = """
 WITH RECURSIVE marked AS (
-  SELECT l_orderkey AS g, l_quantity / 50.0 AS x, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) = 1 THEN 1 ELSE 0 END AS y FROM lineitem
+  SELECT l_orderkey AS g, l_quantity / 50.0 AS x, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_shipdate) = 1 THEN 1 ELSE 0 END AS y FROM lineitem
 ), newton(k, w) AS (
   SELECT 0, 0.0::DOUBLE
   UNION ALL
@@ -393,8 +393,8 @@ SELECT count(*) AS groups, round(any_value(w), 6) AS weight, round(avg(loss), 6)
 def group_training(spark: SparkSession, sf: str) -> DataFrame:
     """Which line of an order is its dearest, by quantity: a model trained inside orders."""
     rows = table(spark, sf, "lineitem").withColumn("x", F.col("l_quantity") / 50.0)
-    top = rows.groupBy(F.col("l_orderkey").alias("g")).agg(F.min_by(F.struct(*LINE_KEY[1:-1]), F.struct(-F.col("l_extendedprice"), *LINE_KEY[1:-1])).alias("top"))
-    rows = rows.join(top, F.col("l_orderkey") == F.col("g")).withColumn("won", (F.struct(*LINE_KEY[1:-1]) == F.col("top")).cast("int"))
+    top = rows.groupBy(F.col("l_orderkey").alias("g")).agg(F.min_by(F.struct(*LINE_KEY[1:]), F.struct(-F.col("l_extendedprice"), *LINE_KEY[1:])).alias("top"))
+    rows = rows.join(top, F.col("l_orderkey") == F.col("g")).withColumn("won", (F.struct(*LINE_KEY[1:]) == F.col("top")).cast("int"))
     m = linear.group_choice(rows, "l_orderkey", "won", ["x"])
     shares = m.scored(rows, "l_orderkey", ["l_orderkey", "won"])
     loss = linear.group_log_loss(shares, "l_orderkey", "won")
