@@ -64,7 +64,7 @@ class Encoder(dict):
 
     LONG = 64
 
-    def __init__(self, path: str, most: int = 1_600_000, most_bytes: int = 1 << 26) -> None:
+    def __init__(self, path: str, most: int = 1_600_000, most_bytes: int = 1 << 27) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
