@@ -119,3 +119,10 @@ def test_values_that_hold_places_stay_values(spark):
     assert df.where(value).count() == 0 and set(used) == {"a", "b"}
     value, _ = param_filters([], {"a": "{b}", "b": "p", "ab": "no"}, where="x = {a} and y = {b}")
     assert df.where(value).collect()[0].y == "p" and df.where(value).count() == 1
+
+
+def test_time_splits_cut_at_whole_shares(spark):
+    """90 * (1 - 0.3) is 63, though doubles make it 62.99..."""
+    df = spark.range(90).selectExpr("id as g", "timestamp_seconds(id) as t")
+    for out in (M.split_group_time(df, "g", "t", 0.3), M.split_time(df, "t", test_size=0.3, tiebreak=["g"])):
+        assert out.where("not is_test").count() == 63

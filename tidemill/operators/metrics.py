@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -187,7 +188,8 @@ def split_time(df: DataFrame, time: str, cutoff: str | None = None, test_size: f
     if cutoff is not None:
         return df.withColumn("is_test", F.col(time) >= F.lit(cutoff).cast("timestamp"))
     ranked = global_rank(df, [time, *(tiebreak or [])], total=True)
-    return ranked.withColumn("is_test", F.col("rank") > F.floor(F.col("total_rows") * (1 - test_size))).drop("rank", "dense_rank", "percent_rank", "cume_dist", "total_rows")
+    # Decimals, as 90,000 * (1 - 0.3) in doubles is below 63,000.
+    return ranked.withColumn("is_test", F.col("rank") > F.floor(F.col("total_rows") * F.lit(1 - Decimal(str(test_size))))).drop("rank", "dense_rank", "percent_rank", "cume_dist", "total_rows")
 
 
 def split_group_time(df: DataFrame, group: str, time: str, test_size: float) -> DataFrame:
