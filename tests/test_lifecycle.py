@@ -15,6 +15,8 @@ from tidemill.operators.rank import key_positions
 from tidemill.operators.sqlmodels import date_params, model_sql, rendered, run_models
 from tidemill.operators.steps import run_step
 from tidemill.operators.tables import DatedTable, RollupError, rollup, rollup_tiers
+from tidemill.plans import lifecycle
+from tidemill.plans.registry import SQL
 from tidemill.sources import readers as R
 from tidemill.sources import writers as W
 from tidemill.streaming import streams as S
@@ -323,3 +325,14 @@ def test_fold_from_checkpoint_and_asof(spark):
     left = spark.createDataFrame([(1, 0), (1, 5), (2, 1), (3, 1)], "u int, at int")
     right = spark.createDataFrame([(1, 1, "a"), (1, 5, "b"), (2, 2, "c")], "u int, t int, x string")
     assert rows(I.asof(left, right, "u", "at", "t", ["x"]), "u", "at") == [(1, 0, None), (1, 5, "b"), (2, 1, None), (3, 1, None)]
+
+
+def test_a_batch_of_a_feed_is_one_trigger_however_many_files_it_has(spark, tmp_path):
+    """Events that come out of order from a table of several files: none is dropped as late."""
+    duckdb = pytest.importorskip("duckdb")
+    events = spark.range(3000).selectExpr("id as event_id", "timestamp_millis(1704067200000 + id * 800000) as ts", "id % 7 as user_id", "cast(hash(id) % 100 as double) as value")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in lifecycle.stream_ordered_state(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == set(con.sql(SQL["stream_ordered_state"]).fetchall())

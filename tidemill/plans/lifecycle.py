@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import partition_segment
@@ -531,12 +531,30 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_files(spark, path).select("user_id", "day", "event_id", "value")
 
 
+def _feed(spark: SparkSession, rows: DataFrame, batch: Column, files: int | None = None) -> tuple[str, int]:
+    """Writes rows to a folder as a feed of batches, one after another by their number; its path pattern, and the files of a batch, the same for all, which a trigger is to take together.
+
+    Files are taken by their age, so a batch's files are all older than the next one's. Small batches are one file each.
+    """
+    feed, came = scratch_path(spark, "feed"), rows.withColumn("__batch", batch)
+    sizes = dict(came.groupBy("__batch").agg(F.count(F.lit(1))).collect())  # a row a batch
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rows are dealt in turn by each task, so one of them that has a row for every file leaves no file out.
+    if not sizes or min(sizes.values()) < files * came.rdd.getNumPartitions():
+        files = 1
+    for i, n in enumerate(sorted(sizes)):
+        own = came.where(F.col("__batch") == n).drop("__batch")
+        (own.repartition(files) if files > 1 else own.coalesce(1)).write.parquet(f"{feed}/f{i:06d}")
+    if not sizes:
+        rows.write.parquet(f"{feed}/f{0:06d}")
+    return f"{feed}/*", files
+
+
 def _event_feed(spark: SparkSession, sf: str, parts: int = 3) -> DataFrame:
     """A stream of events that come in several batches."""
-    feed, e = scratch_path(spark, "feed"), table(spark, sf, "events")
-    for i in range(parts):
-        e.where(F.pmod("event_id", F.lit(parts)) == i).coalesce(1).write.mode("append").parquet(f"{feed}/f{i}")
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(feed).select("user_id", "ts", "value")
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    feed, files = _feed(spark, e, F.pmod("event_id", F.lit(parts)))
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(feed).select("user_id", "ts", "value")
 
 
 @query("stream_entity_state", "SELECT user_id, COUNT(*) AS n, round(SUM(value), 4) AS total FROM events GROUP BY 1")
@@ -594,17 +612,14 @@ class _Rises(S.StateProcessor):
 
 def _unsorted_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Events in batches of some days, each up to four days late, with a watermark that waits for them."""
-    feed, e = scratch_path(spark, "feed"), table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    came = e.withColumn("batch", F.floor((F.dayofmonth("ts") + F.pmod("event_id", F.lit(5))) / 8))
-    came.write.partitionBy("batch").parquet(feed)
-    names = sorted((r[0] for r in came.select("batch").distinct().collect()))  # a row a batch
-    for i, n in enumerate(names):  # files are taken by their age
-        rename_path(spark, f"{feed}/batch={n}", f"{feed}/f{i:03d}")
-    return S.file_stream(spark, f"{feed}/*", e.schema, "ts", "5d", 1)
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "value").where("ts is not null")
+    feed, files = _feed(spark, e, F.floor((F.unix_date(F.to_date("ts")) + F.pmod("event_id", F.lit(5))) / 8))
+    return S.file_stream(spark, feed, e.schema, "ts", "5d", files)
 
 
+#: Spark's watermark counts whole milliseconds.
 _RISES = """
-WITH w AS (SELECT user_id, ts, event_id, value, value > LAG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rose FROM events WHERE ts <= (SELECT MAX(ts) - INTERVAL 5 DAY FROM events))
+WITH w AS (SELECT user_id, ts, event_id, value, value > LAG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rose FROM events WHERE ts <= (SELECT date_trunc('milliseconds', MAX(ts)) - INTERVAL 5 DAY FROM events))
 SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE rose) AS rises, arg_max(value, (ts, event_id)) AS "last" FROM w GROUP BY 1
 """
 

@@ -196,12 +196,27 @@ class OrderedFold(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.columns)
         self.last = handle.getValueState("last", "at bigint, timer bigint")
 
-    def _millis(self, t: Any) -> int:
-        return pd.Timestamp(t, tz=None if getattr(t, "tzinfo", None) else "UTC").value // 1_000_000
+    @staticmethod
+    def _millis(times: pd.Series) -> pd.Series:
+        """Milliseconds, rounded up: those that are at most the watermark's belong to times that are."""
+        if len(times) and times.dtype == object:
+            times = pd.to_datetime(times)
+        if getattr(times.dtype, "tz", None):
+            times = times.dt.tz_convert("UTC").dt.tz_localize(None)
+        return -(-times.astype("datetime64[us]").astype("int64") // 1000)
+
+    def _tuples(self, events: pd.DataFrame) -> list[tuple]:
+        """Rows of plain values, None for missing ones."""
+        columns = []
+        for c in self.columns.names:
+            v = events[c]
+            plain = list(pd.DatetimeIndex(v).to_pydatetime()) if pd.api.types.is_datetime64_any_dtype(v.dtype) else v.tolist()
+            columns.append([None if gone else x for x, gone in zip(plain, v.isna().tolist(), strict=True)] if v.hasnans else plain)
+        return list(zip(*columns, strict=True))
 
     def _wake(self, at: int) -> None:
         """Sets the entity's timer, if it has none that is earlier."""
-        last, timer = self.last.get() if self.last.exists() else (None, None)
+        last, timer = self.last.get() or (None, None)
         if timer is None or at < timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
@@ -210,17 +225,16 @@ class OrderedFold(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for f in rows:
-            events = f[self.columns.names].astype(object).where(f[self.columns.names].notna(), None)
-            self.waiting.appendList([tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r) for r in events.itertuples(index=False)])
-            self._wake(self._millis(f[self.time].min()))
+            self.waiting.appendList(self._tuples(f))
+            self._wake(int(self._millis(f[self.time]).min()))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        events = pd.DataFrame(list(self.waiting.get()), columns=self.columns.names) if self.waiting.exists() else pd.DataFrame(columns=self.columns.names)
+        events = pd.DataFrame(list(self.waiting.get()), columns=self.columns.names)
         last, _ = self.last.get()
         self.last.update((last, None))
-        at = events[self.time].map(self._millis).astype("int64")
+        at = self._millis(events[self.time])
         due, rest = events[at <= passed], events[at > passed]
         if len(due):
             due = due.assign(__at=at[at <= passed]).sort_values(self.order, kind="stable")
@@ -237,7 +251,7 @@ class OrderedFold(StatefulProcessor):
             names = [c.split()[0] for c in self.own.schema.split(", ")]
             yield pd.DataFrame({self.entity: [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
         if len(rest):
-            self.waiting.put([tuple(r) for r in rest.astype(object).where(rest.notna(), None).itertuples(index=False)])
+            self.waiting.put(self._tuples(rest))
             self._wake(int(at[at > passed].min()))
             return
         self.waiting.clear()
