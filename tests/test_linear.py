@@ -126,3 +126,13 @@ def test_time_splits_cut_at_whole_shares(spark):
     df = spark.range(90).selectExpr("id as g", "timestamp_seconds(id) as t")
     for out in (M.split_group_time(df, "g", "t", 0.3), M.split_time(df, "t", test_size=0.3, tiebreak=["g"])):
         assert out.where("not is_test").count() == 63
+
+
+def test_tasks_of_a_fit_stay_small(spark, monkeypatch):
+    """A fit's rows are dealt to more tasks where there are more of them; the model is the same."""
+    rows, seen, fit = spark.range(3000).selectExpr("cast(id % 10 as double) as x", "cast(id % 10 * 2 as double) as y").coalesce(1), [], ml.R.GBTRegressor.fit
+    monkeypatch.setattr(ml.R.GBTRegressor, "fit", lambda self, df: (seen.extend(df.rdd.glom().map(len).collect()), fit(self, df))[1])
+    model = ml.train(rows, {"model": "gradient_boosting_regressor", "features": ["x"], "target": "y", "params": {"n_estimators": 2}}, rows_a_task=300)
+    assert max(seen) <= 330 and sum(seen) == 3000
+    out = ml.predictions(model, rows, {"features": ["x"], "target": "y"}, [])
+    assert out.where("abs(y_actual - y_pred) > 1").count() == 0

@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.linear import ridge_penalty
+from tidemill.sources.scratch import stored
+
+#: Rows that a task of a fit holds, about; a fit's tasks grow in number with the rows, not in size.
+FIT_ROWS = 500_000
 
 MODELS = {
     "ridge": lambda p: R.LinearRegression(elasticNetParam=0.0, standardization=False, regParam=p.get("penalty", p.get("alpha", 1.0))),
@@ -43,6 +47,11 @@ def check_features(df: DataFrame, config: Mapping[str, Any]) -> None:
         raise LeakageError(f"{binary!r} must be the target or a leakage column")
 
 
+def fit_partitions(rows: DataFrame, rows_a_task: int = FIT_ROWS) -> int:
+    """Tasks for a fit over rows: the session's, or more where these would hold more rows than a task should."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_a_task))
+
+
 def estimator(config: Mapping[str, Any]) -> Pipeline:
     """Imputation by train medians, assembly, the model; feature columns are cast to double beforehand."""
     kind = config["model"]
@@ -64,13 +73,18 @@ def with_target(df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
     return df.na.drop(subset=[config["target"]])
 
 
-def train(df: DataFrame, config: Mapping[str, Any]) -> PipelineModel:
-    """Fits on rows with a target."""
+def train(df: DataFrame, config: Mapping[str, Any], rows_a_task: int = FIT_ROWS) -> PipelineModel:
+    """Fits on rows with a target. Their features and targets are written once, and dealt out so that no task of the fit holds many more than `rows_a_task`."""
     check_features(df, config)
     rows = with_target(df, config)
     if config["model"] == "ridge":  # alpha weighs against the sum of squared errors
         config = {**config, "params": {**config.get("params", {}), "penalty": ridge_penalty(rows, config)}}
-    return estimator(config).fit(prepared(rows, config))
+    x = [f"x_{f}" for f in config["features"]]
+    rows = stored(prepared(rows, config).select(*x, "label"), "training-rows")
+    *first, model = estimator(config).getStages()
+    made = Pipeline(stages=first).fit(rows)
+    dealt = made.transform(rows).select("features", "label").repartition(fit_partitions(rows, rows_a_task))
+    return PipelineModel(stages=[*made.stages, model.fit(dealt)])
 
 
 def cross_validated(df: DataFrame, config: Mapping[str, Any], folds: int = 3) -> float:
