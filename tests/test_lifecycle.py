@@ -336,3 +336,16 @@ def test_a_batch_of_a_feed_is_one_trigger_however_many_files_it_has(spark, tmp_p
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == set(con.sql(SQL["stream_ordered_state"]).fetchall())
+
+
+@pytest.mark.parametrize("kind", [S.Totals, lifecycle._Clicks])
+def test_states_by_aggregates_equal_folds(spark, tmp_path, kind):
+    """Spark holds the state of a processor that states its aggregates, without Python; it is what apply folds."""
+    values = spark.range(400).selectExpr("if(id % 11 = 0, null, id % 9) as id", "timestamp_seconds(id) as ts", "if(id % 13 = 0, null, if(id % 17 = 0, double('NaN'), cast(id % 101 as double))) as value")
+    for i in range(2):
+        values.where(f"hour(ts) = 0 and second(ts) % 2 = {i}").coalesce(1).write.parquet(f"{tmp_path}/f/{i}")
+    stream = lambda: spark.readStream.schema(values.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f/*")
+    fold = type("Fold", (kind,), {"aggregates": lambda self: None})
+    made = [S.entity_states(stream(), "id", "ts", "value", k("value")) for k in (kind, fold)]
+    assert "FlatMapGroupsInPandas" not in made[0]._jdf.queryExecution().analyzed().toString() and made[0].schema.simpleString() == made[1].schema.simpleString()
+    assert rows(S.drained(made[0], "update", ["id"]), "id") == rows(S.drained(made[1], "update", ["id"]), "id")

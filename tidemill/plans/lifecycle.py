@@ -588,6 +588,10 @@ class _Clicks(S.StateProcessor):
     def apply(self, state: tuple, events) -> tuple:  # noqa: ANN001
         return (max(state[0], float(events[self.value].max())), state[1] + int((events[self.value] > 50).sum()))
 
+    def aggregates(self) -> list[Column]:
+        value = S.number(self.value)
+        return [F.greatest(F.lit(0.0), F.max(value)), F.count_if(value > 50)]
+
 
 @query("stream_custom_state", "SELECT user_id, greatest(0, MAX(value)) AS top, COUNT(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY 1")
 def stream_custom_state(spark: SparkSession, sf: str) -> DataFrame:

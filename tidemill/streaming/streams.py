@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -133,6 +133,10 @@ class StateProcessor:
     def apply(self, state: tuple, events: pd.DataFrame) -> tuple:
         raise NotImplementedError
 
+    def aggregates(self) -> list[Column] | None:
+        """For a state that doesn't depend on the order and that Spark's aggregates can hold: one for each of its columns. Spark then keeps the state itself, without a call of apply for each entity and batch."""
+        return None
+
 
 class Totals(StateProcessor):
     """The number of events and the sum of a column."""
@@ -146,6 +150,14 @@ class Totals(StateProcessor):
     def apply(self, state: tuple, events: pd.DataFrame) -> tuple:
         return (state[0] + len(events), state[1] + float(events[self.value].sum()))
 
+    def aggregates(self) -> list[Column] | None:
+        return [F.count(F.lit(1)), F.coalesce(F.sum(number(self.value)), F.lit(0.0))]
+
+
+def number(column: str) -> Column:
+    """A column as doubles, null where it is NaN, as pandas skips these."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
 
 def entity_states(
     df: DataFrame, entity: str, time: str, value: str, processor: StateProcessor | None = None, tiebreak: list[str] | None = None, start: DataFrame | None = None, idle: str | None = None
@@ -161,6 +173,9 @@ def entity_states(
     out = f"{entity} {kind}, {own.schema}"
     names = [c.split()[0] for c in own.schema.split(", ")]
     if not own.ordered and start is None and idle is None:
+        if aggregates := own.aggregates():
+            named = [a.cast(c.split()[1]).alias(n) for a, n, c in zip(aggregates, names, own.schema.split(", "), strict=True)]
+            return df.groupBy(entity).agg(*named)
 
         def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
             now = state.get if state.exists else own.start()
