@@ -136,3 +136,9 @@ def test_tasks_of_a_fit_stay_small(spark, monkeypatch):
     assert max(seen) <= 330 and sum(seen) == 3000
     out = ml.predictions(model, rows, {"features": ["x"], "target": "y"}, [])
     assert out.where("abs(y_actual - y_pred) > 1").count() == 0
+
+
+def test_groups_and_their_loss_in_one_pass(spark, choices):
+    df, rows = choices
+    m = linear.group_choice(df, "g", "won", ["a", "b"])
+    assert linear.group_losses(m.scored(df, "g", ["g", "won"]), "g", "won") == (800, pytest.approx(m.log_loss, rel=1e-6))

@@ -123,18 +123,19 @@ def choice_sums(rows: DataFrame, p: int, weights: np.ndarray) -> tuple[float, np
     e = F.exp(s - F.col("top") * reach)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     one = rows.groupBy("g", "top").agg(
-        F.sum(e).alias("z"), F.sum(F.when(F.col("y") == 1, s)).alias("won"), *[F.sum(e * F.col(f"x{i}")).alias(f"m{i}") for i in range(p)],
-        *[F.sum(F.when(F.col("y") == 1, F.col(f"x{i}"))).alias(f"w{i}") for i in range(p)], *[F.sum(e * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in pairs],
+        F.sum(e).alias("z"), *[F.sum(e * F.col(f"x{i}")).alias(f"m{i}") for i in range(p)], *[F.sum(e * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in pairs],
     )
+    # What the winners add needs no groups, so it isn't shuffled with them.
+    won = rows.where("y = 1").agg(F.sum(s), *[F.sum(f"x{i}") for i in range(p)]).first()
     mean = lambda i: F.col(f"m{i}") / F.col("z")
     r = one.agg(
-        F.sum(F.col("won") - F.log("z") - F.col("top") * reach).alias("ll"), *[F.sum(F.col(f"w{i}") - mean(i)).alias(f"g{i}") for i in range(p)],
+        F.sum(-F.log("z") - F.col("top") * reach).alias("ll"), *[F.sum(-mean(i)).alias(f"g{i}") for i in range(p)],
         *[F.sum(F.col(f"q{i}_{j}") / F.col("z") - mean(i) * mean(j)).alias(f"h{i}_{j}") for i, j in pairs],
     ).first()
     h = np.empty((p, p))
     for i, j in pairs:
         h[i, j] = h[j, i] = -r[f"h{i}_{j}"]
-    return r["ll"], np.array([r[f"g{i}"] for i in range(p)]), h
+    return won[0] + r["ll"], np.array([won[i + 1] + r[f"g{i}"] for i in range(p)]), h
 
 
 def choice_rows(df: DataFrame, group: str, label: str, features: list[str]) -> tuple[DataFrame, int, np.ndarray]:
@@ -179,10 +180,15 @@ def group_choice(df: DataFrame, group: str, label: str, features: list[str], rid
     return GroupChoice(tuple(features), tuple(map(float, w / scale)), -ll / groups, groups)
 
 
+def group_losses(shares: DataFrame, group: str, label: str) -> tuple[int, float]:
+    """The number of groups with exactly one winner, and the mean of -log(share) of these winners."""
+    won = shares.groupBy(group).agg(F.sum(F.col(label).cast("double")).alias("n"), F.sum(F.when(F.col(label) == 1, -F.log("share"))).alias("loss")).where("n = 1")
+    return tuple(won.agg(F.count(F.lit(1)), F.avg("loss")).first())
+
+
 def group_log_loss(shares: DataFrame, group: str, label: str) -> float:
     """The mean of -log(share) of the winners of groups with exactly one."""
-    won = shares.groupBy(group).agg(F.sum(F.col(label).cast("double")).alias("n"), F.sum(F.when(F.col(label) == 1, -F.log("share"))).alias("loss")).where("n = 1")
-    return won.agg(F.avg("loss")).first()[0]
+    return group_losses(shares, group, label)[1]
 
 
 def ridge_penalty(df: DataFrame, config: Mapping) -> float:

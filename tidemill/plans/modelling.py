@@ -392,13 +392,15 @@ SELECT count(*) AS groups, round(any_value(w), 6) AS weight, round(avg(loss), 6)
 @query("group_training", _CHOICE)
 def group_training(spark: SparkSession, sf: str) -> DataFrame:
     """Which line of an order is its dearest, by quantity: a model trained inside orders."""
-    rows = table(spark, sf, "lineitem").withColumn("x", F.col("l_quantity") / 50.0)
+    rows = table(spark, sf, "lineitem").select(*LINE_KEY, "l_extendedprice", (F.col("l_quantity") / 50.0).alias("x"))
     top = rows.groupBy(F.col("l_orderkey").alias("g")).agg(F.min_by(F.struct(*LINE_KEY[1:]), F.struct(-F.col("l_extendedprice"), *LINE_KEY[1:])).alias("top"))
-    rows = rows.join(top, F.col("l_orderkey") == F.col("g")).withColumn("won", (F.struct(*LINE_KEY[1:]) == F.col("top")).cast("int"))
+    won = (F.struct(*LINE_KEY[1:]) == F.col("top")).cast("tinyint").alias("won")
+    # Written once, three columns, as the fit and its shares read them again and again.
+    rows = stored(rows.join(top, F.col("l_orderkey") == F.col("g")).select("l_orderkey", "x", won), "marked-lines")
     m = linear.group_choice(rows, "l_orderkey", "won", ["x"])
     shares = m.scored(rows, "l_orderkey", ["l_orderkey", "won"])
-    loss = linear.group_log_loss(shares, "l_orderkey", "won")
-    return shares.where("won = 1").agg(F.count(F.lit(1)).alias("groups")).select("groups", F.round(F.lit(m.weights[0]), 6).alias("weight"), F.round(F.lit(loss), 6).alias("log_loss"))
+    groups, loss = linear.group_losses(shares, "l_orderkey", "won")
+    return shares.sparkSession.createDataFrame([(groups, m.weights[0], loss)], "groups bigint, weight double, log_loss double").select("groups", F.round("weight", 6).alias("weight"), F.round("log_loss", 6).alias("log_loss"))
 
 
 @query("feature_importance")
