@@ -4,9 +4,9 @@ High-recall generators propose spans, which may overlap: the base kinds' pattern
 that only look like personal data (versions, dates, numbers, handles). Features describe a span's form
 (length, digits, separators) and its surroundings (kind words before it, the characters on either side);
 spelled-out marks such as "(at)" are read as the marks themselves. Gradient-boosted trees are trained in
-Spark on a bounded hash sample of candidates of each kind: base candidates of valid form (octets, check
-digit, number of digits) against invalid ones and decoys, without seeing those checks. A few fixed seed
-candidates are always among them, so a table of any size gives a model. For each kind, a threshold is
+Spark on all candidates, those of equal features as one row with their number: base candidates of valid
+form (octets, check digit, number of digits) against invalid ones and decoys, without seeing those checks.
+A few fixed seed candidates are always among them, so a table of any size gives a model. For each kind, a threshold is
 calibrated on candidates that training didn't see and that pass the kind's check, as looser candidates have
 to; a kind with few of them takes the threshold of all kinds together. Looser candidates that pass the
 check, reach their threshold and overlap neither a base span nor a better looser one are added.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.shared import regex_spans, sha256, span_text, table, written
 
-#: Labelled candidates that training and calibration may use, at most about so many.
+#: What labelled candidates weigh in training together, at most.
 TRAIN_ROWS = 20_000
 PRECISION = 0.98
 #: Held-out candidates of a kind and either label below which it takes the threshold of all kinds together.
@@ -66,7 +66,7 @@ GENERATORS = (
     Generator("handle", "email", r"(?<![A-Za-z0-9._%+-])@[A-Za-z0-9_-]++(?!\.[A-Za-z0-9])", r"@[A-Za-z0-9_-]", decoy=True),
 )
 KINDS = ("email", "ip", "card", "phone")
-#: Weight of the seeds together in training, as a share of the sampled candidates'.
+#: Weight of the seeds together in training, as a share of the candidates' weight.
 SEED_SHARE = 0.3
 #: Seed candidates: generator, text before, span, text after, whether it is personal data.
 SEEDS = (
@@ -170,27 +170,33 @@ def seeds(spark: SparkSession) -> DataFrame:
 
 
 def fit(found: DataFrame, train_rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Model:
-    """Trains on a hash sample of base candidates and decoys, about train_rows / 8 of each kind and label at most, and on the seeds."""
+    """Trains on all base candidates and decoys, and on the seeds.
+
+    Candidates of equal features count as one row with their number, so that what is trained on grows with the forms
+    that there are. Those of a kind and label weigh as many as they are, train_rows / 8 at most.
+    """
     spark = found.sparkSession
     known = [i for i, g in enumerate(GENERATORS) if g.base or g.decoy]
     kind = F.element_at(F.array(*[F.lit(g.kind) for g in GENERATORS]), F.col("gen") + 1)
     label = (F.col("valid") & ~F.col("gen").isin([i for i, g in enumerate(GENERATORS) if g.decoy])).cast("double")
     rows = found.select(F.explode("found").alias("c")).select("c.*").where(F.col("gen").isin(known)).select("gen", "hit", "before", "after", "valid", label.alias("label"))
-    counts = {(r["kind"], r["label"]): r["n"] for r in rows.groupBy(kind.alias("kind"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}  # eight at most
-    share = F.lit(0.0)
+    made = [f"f_{n}" for n in FEATURES]
+    rows = features(rows.withColumn("fold", F.abs(F.hash("hit", "before")) % 4))
+    rows = written(rows.groupBy("gen", "valid", "label", "fold", *made).agg(F.count(F.lit(1)).alias("n")), "pii-forms")
+    counts = {(r["kind"], r["label"]): r["n"] for r in rows.groupBy(kind.alias("kind"), "label").agg(F.sum("n").alias("n")).collect()}  # eight at most
+    weight = F.lit(1.0)
     for (k, y), n in counts.items():
-        share = F.when((kind == k) & (F.col("label") == y), train_rows / 8 / n).otherwise(share)
-    place = F.abs(F.xxhash64("hit", "before", "after")) / float(2**63)
+        weight = F.when((kind == k) & (F.col("label") == y), min(1.0, train_rows / 8 / n)).otherwise(weight)
     expected = sum(min(n, train_rows / 8) for n in counts.values())
-    weight = max(1.0, SEED_SHARE * expected / len(SEEDS))
-    sample = rows.where(place < share).withColumn("weight", F.lit(1.0)).unionByName(seeds(spark).withColumn("weight", F.lit(weight)))
-    sample = assembled(sample.withColumn("fold", F.when(F.col("weight") > 1, 1).otherwise(F.abs(F.hash("hit", "before")) % 4)))
-    sample = written(sample.select("gen", "valid", "label", "weight", "fold", "features"), "pii-sample")
+    seed = max(1.0, SEED_SHARE * expected / len(SEEDS))
+    taught = features(seeds(spark)).select("gen", "valid", "label", F.lit(1).alias("fold"), *made, F.lit(1).cast("long").alias("n"), F.lit(seed).alias("weight"))
+    forms = rows.withColumn("weight", weight * F.col("n")).unionByName(taught)
+    sample = VectorAssembler(inputCols=made, outputCol="features").transform(forms).select("gen", "valid", "label", "n", "weight", "fold", "features")
     trees = GBTClassifier(maxIter=16, maxDepth=4, seed=7, maxBins=32, weightCol="weight").fit(sample.where("fold > 0").repartition(4))
-    scored = trees.transform(sample.where("fold = 0 and valid")).select("gen", "label", vector_to_array("probability")[1].alias("p"))
+    scored = trees.transform(sample.where("fold = 0 and valid")).select("gen", "label", "n", vector_to_array("probability")[1].alias("p"))
     # Counts by kind and score, in 200 steps. A kind's threshold lies between the lowest score from which on its held-out candidates
     # are precise enough and the next lower one that any of them has.
-    bins = scored.groupBy("gen", F.floor(F.col("p") * 200).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
+    bins = scored.groupBy("gen", F.floor(F.col("p") * 200).alias("b")).agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
     thresholds = {}
     for k in (None, *KINDS):
         sums: dict[int, tuple[int, float]] = {}
