@@ -30,6 +30,8 @@ MODELS = {
     "gradient_boosting_regressor": lambda p: R.GBTRegressor(maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 3), seed=p.get("seed", 42)),
 }
 
+TREES = {k for k in MODELS if k.startswith(("random_forest", "gradient_boosting"))}
+
 
 class LeakageError(ValueError):
     """Features that must not be used to predict the target."""
@@ -74,11 +76,13 @@ def with_target(df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
 
 
 def train(df: DataFrame, config: Mapping[str, Any], rows_a_task: int = FIT_ROWS) -> PipelineModel:
-    """Fits on rows with a target. Their features and targets are written once, and dealt out so that no task of the fit holds many more than `rows_a_task`."""
+    """Fits on rows with a target. For trees, which keep their rows in memory, features and targets are written once and dealt out so that no task of the fit holds many more than `rows_a_task`."""
     check_features(df, config)
     rows = with_target(df, config)
     if config["model"] == "ridge":  # alpha weighs against the sum of squared errors
         config = {**config, "params": {**config.get("params", {}), "penalty": ridge_penalty(rows, config)}}
+    if config["model"] not in TREES:
+        return estimator(config).fit(prepared(rows, config))
     x = [f"x_{f}" for f in config["features"]]
     rows = stored(prepared(rows, config).select(*x, "label"), "training-rows")
     *first, model = estimator(config).getStages()
