@@ -233,3 +233,37 @@ def test_idle_entities_are_forgotten(spark, tmp_path):
     stream = event_stream(spark, f"{tmp_path}/a", [[day(0)], [day(1, 5)], [day(2)], [day(20, 5)], [day(21)], [day(30, 5)], [day(40, 5)]])
     out = S.drained(S.entity_states(stream, "id", "ts", "value", chain(), idle="7d"), "update", ["id"])
     assert rows(out.where("id = 1")) == [(1, 1, 21.0, 0)]  # the events of the first days are no part of it
+
+
+def test_ordered_states_are_kept_by_bucket(spark, tmp_path):
+    """Many entities, a missing one and large ids beside it, in few keys of Spark's state; more events than a piece holds."""
+    rng, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    ids = [None, *(2**60 + i for i in range(400))]
+    event = lambda b: (rng.choice(ids), t0 + dt.timedelta(hours=10 * b, microseconds=rng.randrange(54_000_000_000)), rng.randrange(1000) / 8)
+    batches = [[event(b) for _ in range(6000)] for b in range(4)]
+    batches.append([(ids[1], t0 + dt.timedelta(days=9), 0.0)])
+    states, out = {}, {}
+
+    def put(batch, stream):
+        new = batch.collect()
+        assert len(new) == len({r[0] for r in new})
+        out.update({r[0]: tuple(r)[1:] for r in new})
+
+    stream = event_stream(spark, f"{tmp_path}/a", batches, "6h")
+    S.for_each_batch(S.entity_states(stream, "id", "ts", "value", chain(), buckets=2), put, "update", f"{tmp_path}/state")
+    for i, _, v in sorted((e for b in batches[:-1] for e in b), key=lambda e: e[1]):
+        n, last, falls = states.get(i, (0, None, 0))
+        states[i] = (n + 1, v, falls + int(last is not None and v < last))
+    assert out == states and len(states) == len(ids)
+    kept = spark.read.format("statestore").option("stateVarName", "states").load(f"{tmp_path}/state")
+    assert kept.count() == 3
+
+
+def test_an_event_at_the_watermark_is_folded(spark, tmp_path):
+    """Also where another one of its bucket comes a millisecond later, which waits and isn't lost."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda ms: t0 + dt.timedelta(milliseconds=ms)
+    stream = event_stream(spark, f"{tmp_path}/a", [[(1, at(0), 1.0)], [(2, at(1), 2.0), (3, at(3_600_000), 3.0)], [(3, at(3_600_001), 4.0)]])
+    out, log = S.entity_states(stream, "id", "ts", "value", chain(), buckets=1), []
+    S.for_each_batch(out, lambda batch, _: log.append(rows(batch.select("id", "n"), "id")), "update")
+    assert [b for b in log if b] == [[(1, 1)], [(2, 1)]]

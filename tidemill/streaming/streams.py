@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from tidemill.operators.incremental import key_upsert, partition_replace
 from tidemill.sources.scratch import path_exists, scratch_path, stored
@@ -160,13 +161,14 @@ def number(column: str) -> Column:
 
 
 def entity_states(
-    df: DataFrame, entity: str, time: str, value: str, processor: StateProcessor | None = None, tiebreak: list[str] | None = None, start: DataFrame | None = None, idle: str | None = None
+    df: DataFrame, entity: str, time: str, value: str, processor: StateProcessor | None = None, tiebreak: list[str] | None = None, start: DataFrame | None = None, idle: str | None = None, buckets: int = 1024
 ) -> DataFrame:
     """entity and its state after each batch of events; the state goes on between batches, and begins with that of `start` (entity and the state's columns), such as a checkpoint's.
 
     Events for an ordered processor wait in the state until the watermark, which df needs, has passed them; a timer
     then folds them in order of time and tiebreak. Events that come after the watermark are dropped, as by
     Spark's windows. idle: an entity's state begins anew after more than so long without events, and is removed when the watermark has come so far.
+    buckets: into how many groups an ordered processor's entities are dealt; a task holds one at a time. A stream that goes on keeps its number.
     """
     own = processor or Totals(value)
     kind = dict(df.dtypes)[entity]
@@ -185,10 +187,23 @@ def entity_states(
             yield pd.DataFrame({entity: [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
 
         return df.groupBy(entity).applyInPandasWithState(fold, out, own.schema, "update", GroupStateTimeout.NoTimeout)
-    columns = df.drop(entity).schema
-    wait = OrderedFold(own, entity, time, [time, *(tiebreak or [])], columns, 1000 * _seconds(idle) if idle else None)
-    begin = start.select(entity, *names).groupBy(entity) if start is not None else None
-    return df.groupBy(entity).transformWithStateInPandas(wait, out, "Update", "EventTime", begin)
+    bucket, micros = (_free_name([*df.columns, *names], n) for n in ("bucket", "micros"))
+    # A missing entity has a bucket of its own, and a stand-in, as pandas would make doubles of longs among which one is missing.
+    whole = lambda rows: rows.withColumn(entity, F.coalesce(F.col(entity), F.lit(0).cast(kind))) if kind == "bigint" else rows
+    dealt = lambda rows: whole(rows.withColumn(bucket, F.when(F.isnull(entity), -1).otherwise(F.pmod(F.hash(entity), F.lit(buckets)))))
+    wait = OrderedFold(own, entity, bucket, micros, tiebreak or [], df.drop(entity).columns, 1000 * _seconds(idle) if idle else None)
+    begin = dealt(start.select(F.col(entity).cast(kind).alias(entity), *(F.col(n).cast("decimal(20,0)") if k in _INTEGRAL else F.col(n) for n, k in wait.kinds.items()))).groupBy(bucket) if start is not None else None
+    return dealt(df.withColumn(micros, F.unix_micros(F.col(time).cast("timestamp")))).groupBy(bucket).transformWithStateInPandas(wait, out, "Update", "EventTime", begin)
+
+
+_INTEGRAL = ("tinyint", "byte", "smallint", "short", "int", "integer", "bigint", "long")
+
+
+def _free_name(columns: list[str], name: str) -> str:
+    """A name that no column has."""
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def _seconds(text: str) -> int:
@@ -197,103 +212,122 @@ def _seconds(text: str) -> int:
 
 
 class OrderedFold(StatefulProcessor):
-    """An entity's state, its events that wait for the watermark, and one timer: for the earliest of them, else for the entity's end."""
+    """The states of a bucket's entities, its events that wait for the watermark, and one timer: for the earliest of them, or the first entity's end.
+
+    Spark asks for state over a socket, several times for each key and batch, which takes longer than the folds of an
+    entity's few events. So a key is a bucket of entities, whose states are one value. Events wait in pieces that are cut by
+    time, so that those that the watermark hasn't reached aren't read.
+    """
 
-    #: Events that a processor gets at a time.
+    #: Events that a processor gets at a time, and those of a piece.
     FRAME = 10_000
+    PIECE = 2_000
 
-    def __init__(self, own: StateProcessor, entity: str, time: str, order: list[str], columns: StructType, idle_ms: int | None) -> None:
-        self.own, self.entity, self.time, self.order, self.columns, self.idle_ms = own, entity, time, order, columns, idle_ms
+    def __init__(self, own: StateProcessor, entity: str, bucket: str, micros: str, tiebreak: list[str], columns: list[str], idle_ms: int | None) -> None:
+        self.own, self.entity, self.bucket, self.micros, self.tiebreak, self.columns, self.idle_ms = own, entity, bucket, micros, tiebreak, columns, idle_ms
+        self.kinds = {c.split()[0]: c.split(maxsplit=1)[1].lower() for c in own.schema.split(", ")}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.own.schema)
-        self.waiting = handle.getListState("waiting", self.columns)
-        self.last = handle.getValueState("last", "at bigint, timer bigint")
+        self.states = handle.getValueState("states", "states binary")
+        self.waiting = handle.getMapState("waiting", "first bigint, last bigint, number bigint", "events binary")
+        self.mark = handle.getValueState("mark", "timer bigint, pieces bigint")
 
-    @staticmethod
-    def _millis(times: pd.Series) -> pd.Series:
+    def _millis(self, events: pd.DataFrame) -> np.ndarray:
         """Milliseconds, rounded up: those that are at most the watermark's belong to times that are."""
-        if len(times) and times.dtype == object:
-            times = pd.to_datetime(times)
-        if getattr(times.dtype, "tz", None):
-            times = times.dt.tz_convert("UTC").dt.tz_localize(None)
-        return -(-times.astype("datetime64[us]").astype("int64") // 1000)
-
-    def _tuples(self, events: pd.DataFrame) -> list[tuple]:
-        """Rows of plain values, None for missing ones."""
-        columns = []
-        for c in self.columns.names:
-            v = events[c]
-            plain = list(pd.DatetimeIndex(v).to_pydatetime()) if pd.api.types.is_datetime64_any_dtype(v.dtype) else v.tolist()
-            columns.append([None if gone else x for x, gone in zip(plain, v.isna().tolist(), strict=True)] if v.hasnans else plain)
-        return list(zip(*columns, strict=True))
-
-    def _wake(self, at: int) -> None:
-        """Sets the entity's timer, if it has none that is earlier."""
-        last, timer = self.last.get() or (None, None)
-        if timer is None or at < timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(at)
-            self.last.update((last, at))
+        return -(-events[self.micros].to_numpy() // 1000)
+
+    def _wait(self, events: pd.DataFrame, pieces: int) -> tuple[int, int]:
+        """Puts events among those that wait; the first one's time, and the number of pieces since the bucket's beginning."""
+        events = events.drop(columns=self.bucket).sort_values(self.micros, kind="stable")
+        at = self._millis(events)
+        for i in range(0, len(events), self.PIECE):
+            piece = events.iloc[i : i + self.PIECE]
+            self.waiting.updateValue((int(at[i]), int(at[i + len(piece) - 1]), pieces), (pickle.dumps({c: piece[c].to_numpy() for c in piece}, 5),))
+            pieces += 1
+        return int(at[0]), pieces
+
+    def _known(self) -> dict:
+        """Each entity's state, and the time of its last event, if it has come here."""
+        known = self.states.get()
+        return pickle.loads(known[0]) if known else {}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        timer, pieces = self.mark.get() or (None, 0)
+        at = timer
         for f in rows:
-            self.waiting.appendList(self._tuples(f))
-            self._wake(int(self._millis(f[self.time]).min()))
+            first, pieces = self._wait(f, pieces)
+            at = first if at is None else min(at, first)
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+        self.mark.update((at, pieces))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        events = pd.DataFrame(list(self.waiting.get()), columns=self.columns.names)
-        last, _ = self.last.get()
-        self.last.update((last, None))
-        at = self._millis(events[self.time])
-        due, rest = events[at <= passed], events[at > passed]
-        if len(due):
-            due = due.assign(__at=at[at <= passed]).sort_values(self.order, kind="stable")
-            now = self.state.get() if self.state.exists() else self.own.start()
-            for run in self._runs(due, last):
-                if run is None:
-                    now = self.own.start()
-                    continue
-                for i in range(0, len(run), self.FRAME):
-                    now = self.own.apply(now, run.iloc[i : i + self.FRAME])
-            last = int(due["__at"].max())
-            self.state.update(now)
-            self.last.update((last, None))
-            names = [c.split()[0] for c in self.own.schema.split(", ")]
-            yield pd.DataFrame({self.entity: [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
-        if len(rest):
-            self.waiting.put(self._tuples(rest))
-            self._wake(int(at[at > passed].min()))
-            return
-        self.waiting.clear()
-        if self.idle_ms is not None and last is not None:
-            if last + self.idle_ms > passed:
-                self._wake(last + self.idle_ms)
-            else:
-                self.state.clear()
-                self.last.clear()
-
-    def _runs(self, due: pd.DataFrame, last: int | None) -> Iterator[pd.DataFrame | None]:
-        """Events in order, with None where the entity was idle for too long before the next ones."""
+        _, pieces = self.mark.get()
+        known, out = self._known(), None
+        keys = list(self.waiting.keys())
+        ends = [k[0] for k in keys if k[0] > passed]
+        if reached := [k for k in keys if k[0] <= passed]:
+            events = pd.concat([pd.DataFrame(pickle.loads(self.waiting.getValue(k)[0])) for k in reached], ignore_index=True)
+            for k in reached:
+                self.waiting.removeKey(k)
+            due = self._millis(events) <= passed
+            if not due.all():
+                first, pieces = self._wait(events[~due].assign(**{self.bucket: 0}), pieces)
+                ends.append(first)
+            out = self._folded(events[due], known, key[0] < 0)
+        if self.idle_ms is not None:
+            known = {e: s for e, s in known.items() if s[1] is None or s[1] + self.idle_ms > passed}
+            ends += [last + self.idle_ms for _, last in known.values() if last is not None]
+        if known:
+            self.states.update((pickle.dumps(known, 5),))
+        else:
+            self.states.clear()
+        timer = min(ends, default=None)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.mark.update((timer, pieces))
+        if out is not None:
+            yield out
+
+    def _folded(self, due: pd.DataFrame, known: dict, missing: bool) -> pd.DataFrame:
+        """Folds events in order into the states of their entities, and returns these. missing: they have no entity."""
+        codes, names = pd.factorize(pd.Series(0, due.index) if missing else due[self.entity], use_na_sentinel=False)
+        due = due.assign(**{self.bucket: codes}).sort_values([self.bucket, self.micros, *self.tiebreak], kind="stable")
+        codes, at, events = due[self.bucket].to_numpy(), self._millis(due), due[self.columns]
+        names = [None if missing or n != n else n for n in names.tolist()]
+        begins = np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+        now = {}
+        for a, b in zip(begins, [*begins[1:], len(due)], strict=True):
+            name = names[codes[a]]
+            state, last = known.get(name) or (self.own.start(), None)
+            for i, j, anew in self._runs(at, a, b, last):
+                state = self.own.start() if anew else state
+                for k in range(i, j, self.FRAME):
+                    state = self.own.apply(state, events.iloc[k : min(k + self.FRAME, j)])
+            known[name] = now[name] = (tuple(state), int(at[b - 1]))
+        columns = zip(*(s for s, _ in now.values()), strict=True)
+        # Among objects, whole numbers stay what they are beside missing ones.
+        return pd.DataFrame({self.entity: list(now), **{n: pd.Series(list(v), dtype=object if k in _INTEGRAL else None) for (n, k), v in zip(self.kinds.items(), columns, strict=True)}})
+
+    def _runs(self, at: np.ndarray, a: int, b: int, last: int | None) -> list[tuple[int, int, bool]]:
+        """An entity's events from a to b, cut where it was idle for too long before the next ones; with whether its state begins anew."""
         if self.idle_ms is None:
-            yield due
-            return
-        before = due["__at"].shift()
-        before.iloc[0] = due["__at"].iloc[0] if last is None else last
-        number = (due["__at"] - before > self.idle_ms).cumsum()
-        for n, run in due.groupby(number):
-            if n:
-                yield None
-            yield run
+            return [(a, b, False)]
+        gaps = (a + np.flatnonzero(np.diff(at[a:b], prepend=at[a] if last is None else last) > self.idle_ms)).tolist()
+        cuts = sorted({a, *gaps})
+        return [(i, j, i in gaps) for i, j in zip(cuts, [*cuts[1:], b], strict=True)]
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N802, N803
-        names = [c.split()[0] for c in self.own.schema.split(", ")]
-        values = initialState[names].astype(object).where(initialState[names].notna(), None)
-        self.state.update(tuple(values.iloc[0].tolist()))
+        known, names = self._known(), [None] * len(initialState) if key[0] < 0 else initialState[self.entity].tolist()
+        columns = [[None if gone else int(v) if k in _INTEGRAL else v for v, gone in zip(initialState[n].tolist(), initialState[n].isna(), strict=True)] for n, k in self.kinds.items()]
+        for name, *state in zip(names, *columns, strict=True):
+            known[None if name != name else name] = (tuple(state), None)
+        self.states.update((pickle.dumps(known, 5),))
 
     def close(self) -> None:
         pass
